@@ -90,17 +90,20 @@ def body_nodes(nodes: DataFrame) -> DataFrame:
     ).drop("_body")
 
 
-def element_extents(nodes: DataFrame, running: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``end_pos``, the position of each open tag's own close (page end when unclosed).
+def element_extents(nodes: DataFrame, running: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``end_pos``, the position of each open tag's own close.
+
+    An unclosed element ends one past the last node of the page (or of its ``within`` group);
+    a stray close has a NULL end.
 
     For every page-ordered running column in ``running``, ``<column>_end`` is its value there.
     Opens and closes of one tag alternate within one nesting level, so the close is the next
     row of the level.
     """
-    by_tag = Window.partitionBy("page_id", "tag").orderBy("pos")
+    by_tag = Window.partitionBy("page_id", *within, "tag").orderBy("pos")
     tag_so_far = by_tag.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = by_tag.rowsBetween(Window.unboundedPreceding, -1)
-    by_level = Window.partitionBy("page_id", "tag", "_level").orderBy("pos")
+    by_level = Window.partitionBy("page_id", *within, "tag", "_level").orderBy("pos")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     floor = F.least(F.lit(0), F.coalesce(F.col("_lowest"), F.lit(0)))
     level = (
@@ -109,12 +112,16 @@ def element_extents(nodes: DataFrame, running: tuple[str, ...] = ()) -> DataFram
         .otherwise(F.lit(-1))
     )
     next_close = F.lead(F.when(F.col("kind") == "close", F.col("pos"))).over(by_level)
-    end = F.when(F.col("kind") == "open", F.coalesce(next_close, F.col("_last") + 1)).otherwise(F.col("pos"))
+    end = (
+        F.when(F.col("kind") == "open", F.coalesce(next_close, F.col("_last") + 1))
+        .when((F.col("kind") == "close") & (F.col("_level") < 0), F.lit(None))
+        .otherwise(F.col("pos"))
+    )
     extents = (
         nodes.withColumn("_total", F.sum(step).over(tag_so_far))
         .withColumn("_lowest", F.min("_total").over(earlier))
         .withColumn("_level", level)
-        .withColumn("_last", F.max("pos").over(page()))
+        .withColumn("_last", F.max("pos").over(Window.partitionBy("page_id", *within)))
         .withColumn("end_pos", end)
     )
     for column in running:

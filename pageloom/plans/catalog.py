@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pageloom.plans import expressions
+from pageloom.plans import expressions, media_contract, page_content
 
-QUERIES = {**expressions.QUERIES}
+QUERIES = {**expressions.QUERIES, **page_content.QUERIES, **media_contract.QUERIES}

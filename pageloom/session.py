@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,21 @@ def build_session(app_name: str = "pageloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate tables (``spark.checkpoint.dir``).
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary
-    folder is used only where that setting is absent (local tests).
+    A temporary folder is used only where that setting is absent (local tests).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or tempfile.mkdtemp(prefix="pageloom-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and lets several readers of one stage prune
+    columns instead of computing the stage again.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/pageloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from verification import expressions
+from verification import expressions, media_contract, page_content
 
-SQL = {**expressions.SQL}
+SQL = {**expressions.SQL, **page_content.SQL, **media_contract.SQL}
