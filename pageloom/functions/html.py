@@ -55,7 +55,9 @@ def attribute(tok: Column, name: str) -> Column:
     names = F.transform(F.regexp_extract_all(tok, F.lit(ATTR_PATTERN), F.lit(1)), F.lower)
     values = F.regexp_extract_all(tok, F.lit(ATTR_PATTERN), F.lit(3))
     raw = F.get(values, (F.array_position(names, name) - 1).cast("int"))
-    return decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
+    # The transform over one element binds the value, so that it is written once in the plan.
+    bound = F.transform(F.array(F.regexp_replace(raw, "^[\"']|[\"']$", "")), decode_entities)
+    return F.get(bound, F.lit(0))
 
 
 def attribute_of(tok: Column, name: str) -> Column:
@@ -70,7 +72,8 @@ def _code_point(number: Column) -> Column:
 
 
 def _decode_piece(piece: Column) -> Column:
-    names = F.create_map(*[F.lit(v) for name, code in name2codepoint.items() for v in (name, chr(code))])
+    table = "\n".join(f"{name}\t{chr(code)}" for name, code in name2codepoint.items())
+    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
     body = F.substring_index(F.substring(piece, 2, 1000), ";", 1)
     hexadecimal = F.conv(F.substring(body, 3, 6), 16, 10).cast("bigint")
     return (

@@ -9,6 +9,11 @@ TITLE_SEPARATOR = "(?U)\\s+[|–—-]\\s+"
 UNSAFE_NAME = r"[^A-Za-z0-9._-]+"
 
 
+def or_else(text: Column, default: Column) -> Column:
+    """``text``, or ``default`` when it is empty or NULL; ``text`` is written once in the plan."""
+    return F.coalesce(F.nullif(text, F.lit("")), default)
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace on both ends (plain ``trim`` removes spaces only)."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -22,14 +27,14 @@ def collapse_ws(text: Column) -> Column:
 def slugify(title: Column) -> Column:
     """Lower-case ASCII slug; 'page' when nothing is left."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(slug == "", F.lit("page")).otherwise(slug)
+    return or_else(slug, F.lit("page"))
 
 
 def trim_title_suffix(title: Column) -> Column:
     """First part before a spaced `|` or dash, the whole title when that part is empty."""
     stripped = strip(title)
     first = strip(F.get(F.split(stripped, TITLE_SEPARATOR), F.lit(0)))
-    return F.when(first == "", stripped).otherwise(first)
+    return or_else(first, stripped)
 
 
 def strip_code_fence(text: Column) -> Column:

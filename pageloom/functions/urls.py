@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pageloom.functions.text import UNSAFE_NAME, slugify, strip
+from pageloom.functions.text import UNSAFE_NAME, or_else, slugify, strip
 
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?"
 
@@ -65,14 +65,12 @@ def url_path(url: Column) -> Column:
 def url_slug(url: Column) -> Column:
     """Slug of the path, 'index' for an empty one; the query is ignored."""
     path = F.regexp_replace(url_path(url), "^/+|/+$", "")
-    return F.when(path == "", F.lit("index")).otherwise(slugify(path))
+    return slugify(or_else(path, F.lit("index")))
 
 
 def raw_file_name(ordinal: Column, url: Column) -> Column:
     """``007-some-slug.html``; numbers over three digits keep their width."""
-    number = ordinal.cast("string")
-    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
-    return F.concat(padded, F.lit("-"), url_slug(url), F.lit(".html"))
+    return F.concat(F.regexp_replace(F.concat(F.lit("00"), ordinal.cast("string")), "^0{1,2}(?=[0-9]{3})", ""), F.lit("-"), url_slug(url), F.lit(".html"))
 
 
 def _remove_dots(path: Column, drop_empty: bool) -> Column:
@@ -92,16 +90,14 @@ def _remove_dots(path: Column, drop_empty: bool) -> Column:
     closed = F.when(
         F.element_at(segments, -1).isin(".", ".."), F.concat(resolved, F.array(F.lit("")))
     ).otherwise(resolved)
-    joined = F.array_join(closed, "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    return F.concat(F.lit("/"), F.regexp_replace(F.array_join(closed, "/"), "^/", ""))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """Absolute form of ``ref`` seen from ``base``."""
     site = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
     path, tail = _part(ref, 3), F.concat(_part(ref, 4), _part(ref, 5))
-    folder = F.regexp_replace(_part(base, 3), "[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    folder = or_else(F.regexp_replace(_part(base, 3), "[^/]*$", ""), F.lit("/"))
     return (
         F.when(ref == "", base)
         .when(ref.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
@@ -116,7 +112,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
 def unquote(text: Column) -> Column:
     """Percent-decoding that leaves ``+`` alone and keeps undecodable text."""
     decoded = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    return F.when(text.contains("%"), F.coalesce(decoded, text)).otherwise(text)
+    return F.coalesce(decoded, text)
 
 
 def url_basename(url: Column) -> Column:
@@ -127,7 +123,7 @@ def image_title(src: Column) -> Column:
     """Readable title from the file name, 'image' when nothing is left."""
     stem = F.regexp_replace(url_basename(src), r"(?<=[^.])\.[^.]*$", "")
     words = strip(F.translate(unquote(stem), "_-", "  "))
-    return F.when(words == "", F.lit("image")).otherwise(words)
+    return or_else(words, F.lit("image"))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -147,13 +143,13 @@ def mime_type(content_type: Column, name: Column) -> Column:
     """Content type as sent, else by file name, else ``image/jpeg``."""
     sent = bare_mime(content_type)
     by_name = _lookup(EXTENSION_MIMES, F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)))
-    return F.coalesce(F.when(sent != "", sent), by_name, F.lit("image/jpeg"))
+    return or_else(sent, F.coalesce(by_name, F.lit("image/jpeg")))
 
 
 def safe_filename(url: Column, content_type: Column | None = None) -> Column:
     """File-system safe name of an asset."""
     name = unquote(url_basename(url))
     ext = F.lit(".jpg") if content_type is None else mime_extension(content_type)
-    named = F.when(name.contains("."), name).otherwise(F.concat(F.lit("image"), ext))
+    named = or_else(F.regexp_extract(name, r"(?s)^.*\..*$", 0), F.concat(F.lit("image"), ext))
     safe = F.regexp_replace(F.regexp_replace(named, UNSAFE_NAME, "-"), "^-+|-+$", "")
-    return F.when(safe == "", F.lit("image.jpg")).otherwise(safe)
+    return or_else(safe, F.lit("image.jpg"))

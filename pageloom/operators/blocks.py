@@ -178,8 +178,8 @@ def balance_inline(segmented: DataFrame) -> DataFrame:
 
 
 def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__table",
-               escape_url: bool = False) -> DataFrame:
-    """``(page_id, url, block_id, sub, block_type, level, inner, markup, img_index)``, empties included.
+               escape_url: bool = False, carry: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``(page_id, *carry, block_id, sub, block_type, level, inner, markup, img_index)``, empties included.
 
     Every page has at least one row, so pages without content stay visible to the outcome stage.
     """
@@ -189,14 +189,14 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
     text = F.coalesce(F.expr("listagg(piece, '') within group (order by k1, k2, k3)"), F.lit(""))
     # A block's tag is on its first row; inside a container it is also the context.
     tag_here = F.coalesce("block_tag", F.when(F.col("context") != "", F.col("context")))
-    items = rows.withColumn("_tag", tag_here).groupBy("page_id", "url", "block_id", "sub", "item_id").agg(
+    items = rows.withColumn("_tag", tag_here).groupBy("page_id", *carry, "block_id", "sub", "item_id").agg(
         F.max("_tag").alias("tag"), text.alias("inner"), F.max("img_index").alias("img_index"),
         F.max("media_url").alias("media_url"), F.max("media_id").alias("media_id"), F.max("alt").alias("alt"),
     )
     item = F.when(F.col("item_id") > 0, F.when(F.col("tag").isin(*LISTS), list_item(strip(F.col("inner"))))
                   .when(F.col("tag") == "blockquote", paragraph_block(strip(F.col("inner")))))
     items = items.withColumn("_item", F.when(item != "", item))
-    blocks = items.groupBy("page_id", "url", "block_id", "sub").agg(
+    blocks = items.groupBy("page_id", *carry, "block_id", "sub").agg(
         F.max("tag").alias("tag"),
         F.coalesce(F.max(F.when(F.col("item_id") == 0, F.col("inner"))), F.lit("")).alias("inner"),
         F.expr("listagg(_item, '\\n') within group (order by item_id)").alias("_items"),
@@ -226,7 +226,7 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
         .otherwise(paragraph_block(inner))
     )
     return blocks.select(
-        "page_id", "url", "block_id", "sub", kind.alias("block_type"), level.cast("bigint").alias("level"),
+        "page_id", *carry, "block_id", "sub", kind.alias("block_type"), level.cast("bigint").alias("level"),
         F.when(tag.isin(*LISTS, "blockquote"), items_text).otherwise(inner).alias("inner"),
         markup.alias("markup"), "img_index",
     )
@@ -240,10 +240,10 @@ def segment_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def join_blocks(rows: DataFrame) -> DataFrame:
-    """``(page_id, url, body, blocks, images)``: blocks joined by a blank line; '' for an empty page."""
+def join_blocks(rows: DataFrame, carry: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``(page_id, *carry, body, blocks, images)``: blocks joined by a blank line; '' for an empty page."""
     filled = rows.withColumn("_m", F.when(F.col("markup") != "", F.col("markup")))
-    return filled.groupBy("page_id", "url").agg(
+    return filled.groupBy("page_id", *carry).agg(
         F.coalesce(F.expr("listagg(_m, '\\n\\n') within group (order by block_id, sub)"), F.lit("")).alias("body"),
         F.count("_m").alias("blocks"), F.count("img_index").alias("images"),
     )

@@ -22,11 +22,7 @@ def token_text(index: Column) -> Column:
 
 
 def _first_attr(*names: str) -> Column:
-    def filled(name: str) -> Column:
-        value = attribute_of(F.col("tok"), name)
-        return F.when(value != "", value)
-
-    return F.coalesce(*[filled(n) for n in names])
+    return F.coalesce(*[F.nullif(attribute_of(F.col("tok"), n), F.lit("")) for n in names])
 
 
 def index_images(content: DataFrame, extended: bool = False) -> DataFrame:
@@ -39,7 +35,7 @@ def index_images(content: DataFrame, extended: bool = False) -> DataFrame:
     sources = _first_attr("src", "data-src", "url")
     if extended:
         srcset = F.regexp_extract(strip(attribute_of(F.col("tok"), "srcset")), r"^[^\s,]+", 0)
-        sources = F.coalesce(_first_attr("src", "data-src", "data-lazy-src", "url"), F.when(srcset != "", srcset))
+        sources = F.coalesce(_first_attr("src", "data-src", "data-lazy-src", "url"), F.nullif(srcset, F.lit("")))
         content = _with_captions(content)
     rows = content.withColumn("_image", F.coalesce(is_image, F.lit(False)))
     rows = rows.withColumn("_ref", F.when(F.col("_image"), sources))
@@ -80,8 +76,10 @@ def _with_captions(content: DataFrame) -> DataFrame:
 
 def extract_images(content: DataFrame, extended: bool = False) -> DataFrame:
     """``(page_id, img_index, src, alt[, caption])`` in document order."""
-    columns = ["page_id", "img_index", "src", "alt"] + (["caption"] if extended else [])
-    return index_images(content, extended).filter(F.col("kind") == "image").select(*columns)
+    rows = index_images(content, extended).filter(F.col("kind") == "image")
+    # Declared non-null, so that joins on the source add no filter that computes it twice.
+    columns = ["page_id", "img_index", F.coalesce("src", F.lit("")).alias("src"), "alt"]
+    return rows.select(*columns, *(["caption"] if extended else []))
 
 
 def tokenize_images(indexed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.urls import safe_filename
 from pageloom.operators import content as C, contract as K, media as M, nodes as N
+from pageloom.session import materialize
 from pageloom.sources.tables import augmented_pages, test_pages
 
 
@@ -25,6 +26,11 @@ def _images(spark, sf_dir) -> DataFrame:
     return M.extract_images(_content(spark, sf_dir))
 
 
+def _image_table(spark, sf_dir) -> DataFrame:
+    """The image table as a stored stage, for queries that read it more than once."""
+    return materialize(_images(spark, sf_dir))
+
+
 def _filled(df: DataFrame) -> DataFrame:
     return df.filter(F.col("kind").isNotNull())
 
@@ -71,7 +77,7 @@ def _results(images: DataFrame) -> DataFrame:
 
 
 def plan_media(spark, sf_dir):
-    images = _images(spark, sf_dir)
+    images = _image_table(spark, sf_dir)
     return M.plan_media(images, "upload", _results(images))
 
 
@@ -81,7 +87,7 @@ def plan_media_sideload(spark, sf_dir):
 
 def ingest_media_results(spark, sf_dir):
     """Outside upload results joined to every image reference: how each asset fared, by use."""
-    images = _images(spark, sf_dir)
+    images = _image_table(spark, sf_dir)
     planned = M.plan_media(images, "upload", _results(images))
     return planned.groupBy("src", "url", "media_id").agg(F.count("*").alias("refs"))
 
@@ -92,7 +98,7 @@ def assign_filenames(spark, sf_dir):
         "src", safe_filename(F.col("src")).alias("name"), F.sha2("src", 256).alias("sha256"),
         (F.col("first_page") * 1000 + F.col("first_index")).alias("ordinal"),
     )
-    return M.assign_filenames(keyed).select("src", "name", "file_name", "conflict")
+    return M.assign_filenames(materialize(keyed)).select("src", "name", "file_name", "conflict")
 
 
 def map_tokens_to_media(spark, sf_dir):
