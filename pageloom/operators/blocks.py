@@ -179,7 +179,7 @@ def balance_inline(segmented: DataFrame) -> DataFrame:
 
 def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__table",
                escape_url: bool = False, carry: tuple[str, ...] = ("url",)) -> DataFrame:
-    """``(page_id, *carry, block_id, sub, block_type, level, inner, markup, img_index)``, empties included.
+    """``(page_id, *carry, block_id, sub, block_type, level, inner_html, markup, img_index)``, empties included.
 
     Every page has at least one row, so pages without content stay visible to the outcome stage.
     """
@@ -227,16 +227,16 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
     )
     return blocks.select(
         "page_id", *carry, "block_id", "sub", kind.alias("block_type"), level.cast("bigint").alias("level"),
-        F.when(tag.isin(*LISTS, "blockquote"), items_text).otherwise(inner).alias("inner"),
+        F.when(tag.isin(*LISTS, "blockquote"), items_text).otherwise(inner).alias("inner_html"),
         markup.alias("markup"), "img_index",
     )
 
 
 def segment_blocks(rows: DataFrame) -> DataFrame:
-    """``(page_id, block_pos, block_type, level, inner, markup)`` of the non-blank blocks."""
+    """``(page_id, block_pos, block_type, level, inner_html, markup)`` of the non-blank blocks."""
     order = Window.partitionBy("page_id").orderBy("block_id", "sub")
     return rows.filter(F.col("markup") != "").select(
-        "page_id", F.row_number().over(order).cast("bigint").alias("block_pos"), "block_type", "level", "inner", "markup"
+        "page_id", F.row_number().over(order).cast("bigint").alias("block_pos"), "block_type", "level", "inner_html", "markup"
     )
 
 
