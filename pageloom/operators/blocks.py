@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageloom.functions.html import html_escape
 from pageloom.functions.text import strip
-from pageloom.operators.nodes import closes, element_extents, node_depth, opens, so_far
+from pageloom.operators.nodes import closes, node_depths, opens, so_far
 from pageloom.operators.vocab import CONTAINER_TAGS, INLINE_TAGS, TABLE_TAGS
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -108,42 +108,52 @@ def segment_rows(cleaned: DataFrame) -> DataFrame:
     block's or item's own tag).
     """
     flow = ("p", *HEADINGS)
-    rows = node_depth(cleaned, CONTAINER_TAGS, "_deep")
+    no = F.lit(False)
+    rows = node_depths(cleaned, {"_deep": CONTAINER_TAGS}, _unit=F.sum(F.when(_ends_unit(), 1).otherwise(0)).over(so_far()))
     top = F.col("_deep") == 0
     top_open = (opens(*flow) & top) | (opens(*CONTAINER_TAGS) & (F.col("_deep") == 1))
     top_close = closes(*flow, *CONTAINER_TAGS) & top
-    single = top & (((F.col("kind") == "void") & (F.col("tag") == "hr")) | F.col("kind").isin("image", "break"))
-    no = F.lit(False)
-    rows = (
-        rows.withColumn("_opens", F.coalesce(top_open, no))
-        .withColumn("_single", F.coalesce(single, no))
-        .withColumn("_ends", F.coalesce(top_close, no) | F.col("_single"))
-        .withColumn("_starts", F.col("_opens") | F.col("_single"))
+    single = F.coalesce(
+        top & (((F.col("kind") == "void") & (F.col("tag") == "hr")) | F.col("kind").isin("image", "break")), no
     )
-    bumps = F.when(F.col("_starts"), 1).otherwise(0) + F.when(F.col("_ends"), 1).otherwise(0)
-    rows = rows.withColumn(
-        "block_id", (F.sum(bumps).over(so_far()) - F.when(F.col("_ends"), 1).otherwise(0)).cast("bigint")
-    )
-    started = F.last(F.when(F.col("_starts"), F.col("tag")), ignorenulls=True).over(so_far())
+    rows = rows.withColumns({
+        "_starts": F.coalesce(top_open, no) | single, "_ends": F.coalesce(top_close, no) | single,
+    })
+    ends = F.when(F.col("_ends"), 1).otherwise(0)
+    bumps = F.when(F.col("_starts"), 1).otherwise(0) + ends
+    rows = rows.withColumns({
+        "block_id": (F.sum(bumps).over(so_far()) - ends).cast("bigint"),
+        "_container": F.last(F.when(F.col("_starts"), F.col("tag")), ignorenulls=True).over(so_far()),
+    })
     deep = F.col("_deep") > 0
-    rows = rows.withColumn("_container", started).withColumn("context", F.when(deep, F.col("_container")).otherwise(""))
+    rows = rows.withColumn("context", F.when(deep, F.col("_container")).otherwise(""))
     in_list = F.col("context").isin(*LISTS) & (F.col("tag") == "li")
     in_quote = (F.col("context") == "blockquote") & (F.col("tag") == "p")
     mark = (F.col("_deep") == 1) & (in_list | in_quote)
     item_open, item_close = mark & (F.col("kind") == "open"), mark & (F.col("kind") == "close")
     state = F.when(item_open, 1).when(F.col("_starts") | item_close | F.col("_ends"), 0)
-    count = F.sum(F.when(item_open, 1).otherwise(0)).over(so_far())
-    inside = F.coalesce(F.last(state, ignorenulls=True).over(so_far()), F.lit(0)) == 1
+    rows = rows.withColumns({
+        "_count": F.sum(F.when(item_open, 1).otherwise(0)).over(so_far()),
+        "_state": F.coalesce(F.last(state, ignorenulls=True).over(so_far()), F.lit(0)),
+    })
     hoisted = (F.col("kind") == "image") & deep
-    return (
-        rows.withColumn("item_id", F.when(inside & deep, count).otherwise(0).cast("bigint"))
-        .withColumn("outer", F.col("_opens") | F.col("_ends") | item_open | item_close)
-        .withColumn("sub", F.when(hoisted, F.col("pos")).otherwise(F.lit(AFTER_HOISTED)).cast("bigint"))
-        .withColumn("block_tag", F.when(F.col("kind") == "image", F.lit("image"))
-                    .when(F.col("_starts") & (F.col("kind") == "break"), F.lit("break"))
-                    .when(F.col("_starts"), F.col("tag")))
-        .drop("_deep", "_opens", "_single", "_ends", "_starts", "_container")
-    )
+    return rows.withColumns({
+        "item_id": F.when((F.col("_state") == 1) & deep, F.col("_count")).otherwise(0).cast("bigint"),
+        "outer": F.col("_starts") | F.col("_ends") | item_open | item_close,
+        "sub": F.when(hoisted, F.col("pos")).otherwise(F.lit(AFTER_HOISTED)).cast("bigint"),
+        "block_tag": F.when(F.col("kind") == "image", F.lit("image"))
+        .when(F.col("_starts") & (F.col("kind") == "break"), F.lit("break"))
+        .when(F.col("_starts"), F.col("tag")),
+    }).drop("_deep", "_ends", "_starts", "_container", "_count", "_state")
+
+
+def _inline() -> Column:
+    return F.col("kind").isin("open", "close", "void") & F.col("tag").isin(*INLINE_TAGS)
+
+
+def _ends_unit() -> Column:
+    """A tag, image or break that inline markup may not cross."""
+    return F.col("kind").isNotNull() & (F.col("kind") != "text") & ~_inline()
 
 
 def balance_inline(segmented: DataFrame) -> DataFrame:
@@ -152,29 +162,35 @@ def balance_inline(segmented: DataFrame) -> DataFrame:
     A unit ends at the next tag that is not inline. Closes without an open are dropped; an open
     without a close gets one at the end of its unit.
     """
-    inline = F.col("kind").isin("open", "close", "void") & F.col("tag").isin(*INLINE_TAGS)
-    other = F.col("kind").isNotNull() & (F.col("kind") != "text") & ~inline
-    rows = segmented.withColumn("_unit", F.sum(F.when(other, 1).otherwise(0)).over(so_far()))
-    rows = element_extents(rows, within=("_unit",))
-    # Past the end of the unit: nothing in the unit closes this tag.
-    rows = rows.withColumn("_unit_end", F.max("pos").over(Window.partitionBy("page_id", "_unit")))
+    inline = _inline()
+    step = F.when(inline & (F.col("kind") == "open"), 1).when(inline & (F.col("kind") == "close"), -1).otherwise(0)
+    by_tag = Window.partitionBy("page_id", "_unit", "tag").orderBy("pos")
+    rows = segmented.withColumn("_total", F.sum(step).over(
+        by_tag.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lowest = F.least(F.lit(0), F.coalesce(F.min("_total").over(by_tag.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Opens and closes of one level alternate; a stray close gets no level.
+    level = F.when(step == 1, F.col("_total") - F.col("_lowest")).when(
+        (step == -1) & (F.col("_total") >= F.col("_lowest")), F.col("_total") - F.col("_lowest") + 1)
+    rows = rows.withColumn("_lowest", lowest).withColumn("_level", level)
+    by_level = Window.partitionBy("page_id", "_unit", "tag", "_level").orderBy("pos")
+    rows = rows.withColumn("_closed", F.lead("kind").over(by_level) == "close")
+    stray = (step == -1) & F.col("_level").isNull()
     inline_context = F.col("context").isin("", *LISTS, "blockquote")
     kept = (
         F.when(F.col("outer"), F.lit(None))
         .when((F.col("kind") == "text") & (F.col("context") == "pre"),
               F.replace(F.replace("tok", F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;")))
         .when(F.col("kind") == "text", F.col("tok"))
-        .when(inline & inline_context & F.col("end_pos").isNotNull(), F.col("tok"))
+        .when(inline & inline_context & ~stray, F.col("tok"))
         .when((F.col("context") == "table") & F.col("kind").isin("open", "close") & F.col("tag").isin(*TABLE_TAGS),
               F.col("tok"))
     )
-    dangling = (F.col("kind") == "open") & inline & inline_context & (F.col("end_pos") > F.col("_unit_end"))
-    own = F.struct(F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).cast("bigint").alias("k3"),
-                   kept.alias("piece"))
-    closer = F.struct(F.col("_unit_end").alias("k1"), F.lit(1).alias("k2"), (-F.col("pos")).alias("k3"),
+    dangling = (step == 1) & inline_context & ~F.coalesce(F.col("_closed"), F.lit(False))
+    own = F.struct(F.col("_unit").alias("k1"), F.lit(0).alias("k2"), F.col("pos").alias("k3"), kept.alias("piece"))
+    closer = F.struct(F.col("_unit").alias("k1"), F.lit(1).alias("k2"), (-F.col("pos")).alias("k3"),
                       F.concat(F.lit("</"), F.col("tag"), F.lit(">")).alias("piece"))
     pieces = F.when(dangling, F.array(own, closer)).otherwise(F.array(own))
-    return rows.withColumn("_p", F.explode(pieces)).select("*", "_p.*").drop("_p", "_unit", "_unit_end", "end_pos")
+    return rows.withColumn("_p", F.explode(pieces)).select(*segmented.columns, "_p.*").drop("_unit")
 
 
 def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__table",

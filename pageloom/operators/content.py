@@ -8,7 +8,8 @@ from pageloom.functions.html import attribute_of, decode_entities
 from pageloom.functions.text import collapse_ws, word_count
 from pageloom.functions.urls import resolve_url, url_host, url_netloc
 from pageloom.operators.nodes import (
-    before, body_nodes, closes, element_extents, flag_first, html_nodes, node_depth, opens, page, so_far,
+    before, body_nodes, closes, element_extents, first_element, flag_first, html_nodes, node_depth, node_depths, opens,
+    page, so_far,
 )
 from pageloom.operators.skew import salted_join
 from pageloom.operators.vocab import BLOCK_TAGS, CHROME_TAGS, IMAGE_TAGS
@@ -121,47 +122,69 @@ def text_blocks(nodes: DataFrame, carry: tuple[str, ...] = ("url",)) -> DataFram
     )
 
 
-def flag_auto(nodes: DataFrame, name: str = "_auto") -> DataFrame:
-    """Boolean column: the node belongs to the automatically found content.
+def flag_content(nodes: DataFrame, hit: Column | None = None) -> DataFrame:
+    """Boolean columns ``_auto`` and, with a selector ``hit``, ``_selected`` and ``_matched``.
 
-    Outside chrome, a text block stays when at most a third of its words are link text and it
-    or a neighbouring block has fifteen words or more. Only shallow features, on purpose: the
-    neighbours supply the recall.
+    ``_auto``: outside chrome, a text block stays when at most a third of its words are link text
+    and it or a neighbouring block has fifteen words or more. Only shallow features, on purpose:
+    the neighbours supply the recall. ``_selected``: inside the first element that ``hit`` marks.
+    Both are worked out together, level by level, so that windows over the page order share
+    operators and one sort; the block sums need the second sort.
     """
-    rows = node_depth(nodes, CHROME_TAGS, "_chrome")
-    rows = node_depth(rows, ("a",), "_in_link")
-    rows = rows.withColumn("_body", F.min(F.when(opens("body"), F.col("pos"))).over(page()))
-    open_area = (
+    rows = nodes
+    at = F.when(hit if hit is not None else F.lit(False), F.col("pos"))
+    body = F.min(F.when(opens("body"), F.col("pos"))).over(page())
+    first = {"_first": F.min(at).over(page()), "_first_tag": F.min_by("tag", at).over(page())}
+    rows = rows.withColumns({"_body": body, **(first if hit is not None else {})})
+
+    border = F.col("kind").isin("open", "close", "void") & F.col("tag").isin(*BLOCK_TAGS)
+    running = {"_border": F.coalesce(F.max(F.when(border, F.col("pos"))).over(so_far()), F.lit(-1))}
+    started, nest = first_element()
+    if hit is not None:
+        running["_nest"] = nest
+    totals = {"_chrome": CHROME_TAGS, "_in_link": ("a",)}
+    rows = node_depths(rows, totals, **running)
+    area = (
         (F.col("_chrome") == 0) & ~closes(*CHROME_TAGS)
         & (F.col("_body").isNull() | (F.col("pos") > F.col("_body"))) & ~closes("body", "html")
     )
-    rows = rows.withColumn("_area", F.coalesce(open_area, F.lit(False)))
-    # Text outside the area neither forms nor feeds a block.
-    rows = _text_runs(rows.withColumn("_kind", F.col("kind")).withColumn(
-        "kind", F.when(F.col("_area") | (F.col("kind") != "text"), F.col("kind"))
-    )).withColumn("kind", F.col("_kind")).drop("_kind")
-    words = F.when(F.col("_filled"), word_count(F.col("tok"))).otherwise(0)
-    rows = rows.withColumn("_words", words).withColumn(
-        "_linked", F.when(F.col("_in_link") > 0, F.col("_words")).otherwise(0)
+    filled = (F.col("kind") == "text") & F.col("tok").rlike(r"\S")
+    rows = rows.withColumn("_area", F.coalesce(area, F.lit(False))).withColumn(
+        "_filled", F.col("_area") & F.coalesce(filled, F.lit(False))
     )
-    by_block = page().orderBy("block_id")
+    text_at = F.coalesce(F.max(F.when(F.col("_filled"), F.col("pos"))).over(before()), F.lit(-2))
+    levels = {"_fresh": F.col("_border") > text_at}
+    if hit is not None:
+        levels["_ended"] = F.min(F.when(started, F.col("_nest"))).over(so_far())
+    rows = rows.withColumns(levels)
+    block = F.sum(F.when(F.col("_filled") & F.col("_fresh"), 1).otherwise(0)).over(so_far())
+    ahead = F.col("kind").isin("open", "void") & F.col("_fresh")
+    words = F.when(F.col("_filled"), word_count(F.col("tok"))).otherwise(0)
+    rows = rows.withColumns({"_block": (block + F.when(ahead, 1).otherwise(0)).cast("bigint"), "_words": words})
+    rows = rows.withColumn("_linked", F.when(F.col("_in_link") > 0, F.col("_words")).otherwise(0))
+    by_block = page().orderBy("_block")
     here, previous, following = (by_block.rangeBetween(i, i) for i in (0, -1, 1))
-    total = F.coalesce(F.sum("_words").over(here), F.lit(0))
-    longest = F.greatest(
-        total, F.coalesce(F.sum("_words").over(previous), F.lit(0)),
-        F.coalesce(F.sum("_words").over(following), F.lit(0)),
-    )
-    linked = F.coalesce(F.sum("_linked").over(here), F.lit(0))
-    keep = (linked * MAX_LINK_SHARE <= total) & (longest >= MIN_BLOCK_WORDS)
-    return (
-        rows.withColumn(name, F.col("_area") & F.coalesce(keep, F.lit(False)))
-        .drop("_chrome", "_in_link", "_body", "_area", "_filled", "_words", "_linked", "block_id")
+    rows = rows.withColumns({
+        "_own": F.coalesce(F.sum("_words").over(here), F.lit(0)),
+        "_previous": F.coalesce(F.sum("_words").over(previous), F.lit(0)),
+        "_following": F.coalesce(F.sum("_words").over(following), F.lit(0)),
+        "_own_linked": F.coalesce(F.sum("_linked").over(here), F.lit(0)),
+    })
+    keep = (F.col("_own_linked") * MAX_LINK_SHARE <= F.col("_own")) & (
+        F.greatest("_own", "_previous", "_following") >= MIN_BLOCK_WORDS
     )
+    flags = {"_auto": F.col("_area") & F.coalesce(keep, F.lit(False))}
+    if hit is not None:
+        inside = F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))
+        flags["_selected"] = inside & (F.coalesce(F.col("_ended"), F.lit(1)) >= 1)
+        flags["_matched"] = F.col("_first").isNotNull()
+    kept = [c for c in nodes.columns]
+    return rows.withColumns(flags).select(*kept, *flags)
 
 
 def auto_content(nodes: DataFrame) -> DataFrame:
     """Nodes of the automatically found main content."""
-    return flag_auto(nodes).filter("_auto").drop("_auto")
+    return flag_content(nodes).filter("_auto").drop("_auto")
 
 
 def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,
@@ -183,15 +206,13 @@ def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str
         max_parts = len(css.split()) if css else 1
 
     rows = _selector_hit(nodes.withColumn("_parts", selector_parts(F.col("css"))), max_parts)
-    rows = flag_first(rows, F.col("_hit"), "_selected", inner=True)
-    rows = rows.withColumn("_matched", F.max("_hit").over(page())).drop("_hit", "_parts")
-    rows = flag_auto(rows)
+    rows = flag_content(rows, F.col("_hit"))
     source = (
         F.when(F.col("css").isNull(), F.lit("auto")).when(F.col("_matched"), F.lit("selector"))
         .otherwise(F.lit("fallback"))
     )
     keep = F.coalesce(F.when(F.col("_matched"), F.col("_selected")).otherwise(F.col("_auto")), F.lit(False))
-    rows = rows.withColumn("content_source", source).withColumn("_keep", keep)
+    rows = rows.withColumns({"content_source": source, "_keep": keep})
     sentinel = F.coalesce(F.col("pos"), F.lit(0)) == 0
     blank = [F.when(F.col("_keep"), F.col(c)).alias(c) for c in ("tok", "kind")]
     return rows.filter(F.col("_keep") | sentinel).select(
@@ -219,9 +240,8 @@ def content_summary(content: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """``(page_id, link_id, href, url_to, text)`` of every ``<a href>`` in document order."""
-    rows = node_depth(nodes, ("a",), "_in_link").withColumn(
-        "link_id", F.sum(F.when(opens("a"), 1).otherwise(0)).over(so_far()).cast("bigint")
-    ).filter(F.col("_in_link") > 0)
+    number = F.sum(F.when(opens("a"), 1).otherwise(0)).over(so_far()).cast("bigint")
+    rows = node_depths(nodes, {"_in_link": ("a",)}, link_id=number).filter(F.col("_in_link") > 0)
     rows = rows.withColumn("_href", F.when(opens("a"), attribute_of(F.col("tok"), "href"))).withColumn(
         "_text", F.when(F.col("kind") == "text", decode_entities(F.col("tok")))
     )
@@ -237,12 +257,13 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def tables(nodes: DataFrame) -> DataFrame:
     """``(page_id, table_no, row_no, col_no, is_header, text)``, one row per table cell."""
-    rows = node_depth(nodes, ("table",), "_in_table").withColumn(
-        "table_no", F.sum(F.when(opens("table"), 1).otherwise(0)).over(so_far())
-    ).withColumn("_tr", F.sum(F.when(opens("tr"), 1).otherwise(0)).over(so_far())).withColumn(
-        "_cell", F.sum(F.when(opens("td", "th"), 1).otherwise(0)).over(so_far())
-    )
-    rows = node_depth(rows, ("td", "th"), "_in_cell").filter((F.col("_in_table") > 0) & (F.col("_in_cell") > 0))
+    def count(*tags: str) -> Column:
+        return F.sum(F.when(opens(*tags), 1).otherwise(0)).over(so_far())
+
+    rows = node_depths(
+        nodes, {"_in_table": ("table",), "_in_cell": ("td", "th")},
+        table_no=count("table"), _tr=count("tr"), _cell=count("td", "th"),
+    ).filter((F.col("_in_table") > 0) & (F.col("_in_cell") > 0))
     rows = rows.withColumn("_text", F.when(F.col("kind") == "text", decode_entities(F.col("tok"))))
     cells = rows.groupBy("page_id", "table_no", "_tr", "_cell").agg(
         F.coalesce(F.expr("listagg(_text, '') within group (order by pos)"), F.lit("")).alias("text"),
@@ -311,12 +332,12 @@ def suggest_selector(pages: DataFrame, coverage: float = 0.9) -> DataFrame:
 
     Per page, the smallest container holding ``coverage`` of the automatically found words.
     """
-    rows = flag_auto(html_nodes(pages))
+    rows = flag_content(html_nodes(pages))
     words = F.when(F.col("kind") == "text", word_count(F.col("tok"))).otherwise(0)
     rows = rows.withColumn("_w", words)
-    rows = rows.withColumn("_all", F.sum("_w").over(so_far())).withColumn(
-        "_good", F.sum(F.when(F.col("_auto"), F.col("_w")).otherwise(0)).over(so_far())
-    ).withColumn("_page_good", F.max("_good").over(page()))
+    good = F.when(F.col("_auto"), F.col("_w")).otherwise(0)
+    rows = rows.withColumns({"_all": F.sum("_w").over(so_far()), "_good": F.sum(good).over(so_far())})
+    rows = rows.withColumn("_page_good", F.max("_good").over(page()))
     rows = element_extents(rows, ("_all", "_good"))
     ident = F.coalesce(attribute_of(F.col("tok"), "id"), F.lit(""))
     first_class = F.regexp_extract(F.coalesce(attribute_of(F.col("tok"), "class"), F.lit("")), r"\S+", 0)

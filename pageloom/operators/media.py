@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pageloom.functions.html import attribute_of, decode_entities, html_escape
 from pageloom.functions.text import strip
 from pageloom.functions.urls import resolve_url, url_host
-from pageloom.operators.nodes import node_depth, opens, so_far
+from pageloom.operators.nodes import node_depths, opens, so_far
 from pageloom.operators.skew import bucketed_prefix, salted_join
 from pageloom.operators.vocab import IMAGE_TAGS
 
@@ -42,23 +42,24 @@ def index_images(content: DataFrame, extended: bool = False) -> DataFrame:
     rows = rows.filter(~F.col("_image") | F.col("_ref").isNotNull())
     closing_tags = F.col("tag").isin(*IMAGE_TAGS) & F.col("closing")
     alt = strip(F.coalesce(_first_attr("alt", "title"), F.lit("")))
+    number = F.sum(F.when(F.col("_image"), 1).otherwise(0)).over(so_far()) - 1
     return (
         rows.filter(~F.coalesce(closing_tags, F.lit(False)))
-        .withColumn("img_index", F.when(
-            F.col("_image"), F.sum(F.when(F.col("_image"), 1).otherwise(0)).over(so_far()) - 1).cast("bigint"))
-        .withColumn("src", F.when(F.col("_image"), resolve_url(F.col("url"), F.col("_ref"))))
-        .withColumn("alt", F.when(F.col("_image"), alt))
-        .withColumn("kind", F.when(F.col("_image"), F.lit("image")).otherwise(F.col("kind")))
-        .withColumn("tag", F.when(F.col("_image"), F.lit("")).otherwise(F.col("tag")))
+        .withColumns({
+            "img_index": F.when(F.col("_image"), number.cast("bigint")),
+            "src": F.when(F.col("_image"), resolve_url(F.col("url"), F.col("_ref"))),
+            "alt": F.when(F.col("_image"), alt),
+            "kind": F.when(F.col("_image"), F.lit("image")).otherwise(F.col("kind")),
+            "tag": F.when(F.col("_image"), F.lit("")).otherwise(F.col("tag")),
+        })
         .drop("_image", "_ref")
     )
 
 
 def _with_captions(content: DataFrame) -> DataFrame:
     """Add ``caption`` to every row of a figure and drop the caption's own nodes."""
-    rows = node_depth(content, ("figure",), "_in_figure")
-    rows = rows.withColumn("_figure", F.sum(F.when(opens("figure"), 1).otherwise(0)).over(so_far()))
-    rows = node_depth(rows, ("figcaption",), "_in_caption")
+    figure = F.sum(F.when(opens("figure"), 1).otherwise(0)).over(so_far())
+    rows = node_depths(content, {"_in_figure": ("figure",), "_in_caption": ("figcaption",)}, _figure=figure)
     text = F.when(
         (F.col("_in_caption") > 0) & (F.col("_in_figure") > 0) & (F.col("kind") == "text"),
         decode_entities(F.col("tok")),

@@ -66,14 +66,23 @@ def _step(tags: tuple[str, ...]) -> Column:
     return F.when(opens(*tags), 1).when(closes(*tags), -1).otherwise(0)
 
 
+def node_depths(nodes: DataFrame, classes: dict[str, tuple[str, ...]], **running: Column) -> DataFrame:
+    """Nesting of several tag classes after each node; stray closes never go below zero.
+
+    All classes, and any further ``running`` window columns of the same page order, share two
+    window operators and one sort.
+    """
+    totals = {f"_t_{name}": F.sum(_step(tags)).over(so_far()) for name, tags in classes.items()}
+    depths = {
+        name: (F.col(f"_t_{name}") - F.least(F.lit(0), F.min(f"_t_{name}").over(so_far()))).cast("bigint")
+        for name in classes
+    }
+    return nodes.withColumns({**totals, **running}).withColumns(depths).drop(*totals)
+
+
 def node_depth(nodes: DataFrame, tags: tuple[str, ...], name: str = "depth") -> DataFrame:
-    """Nesting of a class of tags after each node; stray closes never go below zero."""
-    total = F.sum(_step(tags)).over(so_far())
-    return (
-        nodes.withColumn("_total", total)
-        .withColumn(name, (F.col("_total") - F.least(F.lit(0), F.min("_total").over(so_far()))).cast("bigint"))
-        .drop("_total")
-    )
+    """Nesting of one class of tags after each node."""
+    return node_depths(nodes, {name: tags})
 
 
 def drop_chrome(nodes: DataFrame, tags: tuple[str, ...] = CHROME_TAGS) -> DataFrame:
@@ -171,20 +180,21 @@ def flag_first(nodes: DataFrame, hit: Column, name: str, inner: bool = False) ->
     zero, so the page order is the only sort needed. With ``inner`` the element's own tags
     are left out.
     """
-    same = F.col("tag") == F.col("_first_tag")
-    step = (
-        F.when((F.col("pos") < F.col("_first")) | F.col("_first").isNull(), 0)
-        .when(same & (F.col("kind") == "open"), 1)
-        .when(same & (F.col("kind") == "close"), -1)
-        .otherwise(0)
-    )
-    started = F.coalesce(F.col("pos") >= F.col("_first"), F.lit(False))
+    at = F.when(hit, F.col("pos"))
+    started, nest = first_element()
     inside = F.coalesce(F.col("pos") > F.col("_first"), F.lit(False)) if inner else started
     return (
-        nodes.withColumn("_first", F.min(F.when(hit, F.col("pos"))).over(page()))
-        .withColumn("_first_tag", F.max(F.when(F.col("pos") == F.col("_first"), F.col("tag"))).over(page()))
-        .withColumn("_nest", F.sum(step).over(so_far()))
+        nodes.withColumns({"_first": F.min(at).over(page()), "_first_tag": F.min_by("tag", at).over(page())})
+        .withColumn("_nest", nest)
         .withColumn("_ended", F.min(F.when(started, F.col("_nest"))).over(so_far()))
         .withColumn(name, inside & (F.coalesce(F.col("_ended"), F.lit(1)) >= 1))
         .drop("_first", "_first_tag", "_nest", "_ended")
     )
+
+
+def first_element() -> tuple[Column, Column]:
+    """``(started, nesting)`` of the element at ``_first`` with tag ``_first_tag``."""
+    started = F.coalesce(F.col("pos") >= F.col("_first"), F.lit(False))
+    same = started & (F.col("tag") == F.col("_first_tag"))
+    step = F.when(same & (F.col("kind") == "open"), 1).when(same & (F.col("kind") == "close"), -1).otherwise(0)
+    return started, F.sum(step).over(so_far())

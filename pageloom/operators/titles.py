@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.html import attribute_of, decode_entities
 from pageloom.functions.text import strip, trim_title_suffix
-from pageloom.operators.nodes import flag_first, html_nodes, node_depth, opens, page, so_far
-from pageloom.operators.vocab import BOILERPLATE_HEADINGS, CTA_ID, HEADING_TAGS
+from pageloom.operators.nodes import flag_first, html_nodes, node_depths, opens, page, so_far
+from pageloom.operators.vocab import BOILERPLATE_HEADINGS, CHROME_TAGS, CTA_ID, HEADING_TAGS
 
 
-def _heading_rows(nodes: DataFrame) -> DataFrame:
-    marked = node_depth(nodes, HEADING_TAGS, "_in_heading")
-    return marked.withColumn(
-        "heading_id", F.sum(F.when(opens(*HEADING_TAGS), 1).otherwise(0)).over(so_far()).cast("bigint")
-    )
+def _heading_number():
+    return F.sum(F.when(opens(*HEADING_TAGS), 1).otherwise(0)).over(so_far()).cast("bigint")
 
 
 def headings(nodes: DataFrame) -> DataFrame:
@@ -22,7 +19,8 @@ def headings(nodes: DataFrame) -> DataFrame:
 
     Text nodes are trimmed and joined without a separator, as in ``Foo <b>bar</b>`` to ``Foobar``.
     """
-    rows = _heading_rows(nodes).filter(F.col("_in_heading") > 0)
+    rows = node_depths(nodes, {"_in_heading": HEADING_TAGS}, heading_id=_heading_number())
+    rows = rows.filter(F.col("_in_heading") > 0)
     rows = rows.withColumn("_text", F.when(F.col("kind") == "text", strip(decode_entities(F.col("tok")))))
     is_open = opens(*HEADING_TAGS)
     return rows.groupBy("page_id", "heading_id").agg(
@@ -56,18 +54,17 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     base = html_nodes(pages, carry) if nodes is None else nodes
     override = F.col("title_override") if "title_override" in base.columns else F.lit(None).cast("string")
 
-    # Flags computed on the whole page, so that the page is never scanned twice.
-    flagged = node_depth(base, ("title",), "_in_title")
-    flagged = flagged.withColumn(
-        "_title_no", F.sum(F.when(opens("title"), 1).otherwise(0)).over(so_far())
+    # All page-ordered flags in shared window operators, so that the page is scanned once.
+    flagged = node_depths(
+        base.withColumn("_body", F.min(F.when(opens("body"), F.col("pos"))).over(page())),
+        {"_in_title": ("title",), "_chrome": CHROME_TAGS, "_in_heading": HEADING_TAGS},
+        _title_no=F.sum(F.when(opens("title"), 1).otherwise(0)).over(so_far()), heading_id=_heading_number(),
     )
-    flagged = node_depth(flagged, ("nav", "header", "footer", "aside", "form"), "_chrome")
-    flagged = flagged.withColumn("_body", F.min(F.when(opens("body"), F.col("pos"))).over(page()))
     flagged = flagged.withColumn(
         "_work", (F.col("_chrome") == 0) & (F.col("_body").isNull() | (F.col("pos") >= F.col("_body")))
     )
-    flagged = _drop_cta(flagged)
-    flagged = _heading_rows(flagged)
+    cta = F.col("_work") & (F.col("kind") == "open") & (attribute_of(F.col("tok"), "id") == CTA_ID)
+    flagged = flag_first(flagged, cta, "_cta")
 
     is_text = F.col("kind") == "text"
     og = (F.col("tag") == "meta") & (attribute_of(F.col("tok"), "property") == "og:title")
@@ -118,9 +115,3 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         .when(og_ok, F.lit("og"))
         .otherwise(F.lit("none")).alias("title_source"),
     )
-
-
-def _drop_cta(nodes: DataFrame) -> DataFrame:
-    """Flag the first call-to-action subtree inside the working area."""
-    hit = F.col("_work") & (F.col("kind") == "open") & (attribute_of(F.col("tok"), "id") == CTA_ID)
-    return flag_first(nodes, hit, "_cta")
