@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from pageloom.plans import blocks_export, expressions, media_contract, page_content
+from pageloom.plans import blocks_export, discovery, expressions, media_contract, page_content
 
-QUERIES = {**expressions.QUERIES, **page_content.QUERIES, **media_contract.QUERIES, **blocks_export.QUERIES}
+QUERIES = {**expressions.QUERIES, **page_content.QUERIES, **media_contract.QUERIES, **blocks_export.QUERIES,
+    **discovery.QUERIES,
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from verification import blocks_export, expressions, media_contract, page_content
+from verification import blocks_export, discovery, expressions, media_contract, page_content
 
-SQL = {**expressions.SQL, **page_content.SQL, **media_contract.SQL, **blocks_export.SQL}
+SQL = {**expressions.SQL, **page_content.SQL, **media_contract.SQL, **blocks_export.SQL,
+    **discovery.SQL,
+}
