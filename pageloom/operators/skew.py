@@ -58,10 +58,10 @@ def bucketed_lag(df: DataFrame, by: str, order: Column, value: str, name: str, b
     inside = Window.partitionBy(by, "_bucket").orderBy("_order")
     last = rows.groupBy(by, "_bucket").agg(F.max_by(value, "_order").alias("_last"))
     previous = last.select(
-        by, "_bucket", F.lag("_last").over(Window.partitionBy(by).orderBy("_bucket")).alias("_previous")
+        by, "_bucket", F.lag("_last").over(Window.partitionBy(by).orderBy("_bucket")).alias("_carried")
     )
     return (
         rows.join(previous, [by, "_bucket"])
-        .withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_previous")))
-        .drop("_bucket", "_order", "_previous")
+        .withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_carried")))
+        .drop("_bucket", "_order", "_carried")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from verification import blocks_export, discovery, expressions, media_contract, page_content
+from verification import blocks_export, discovery, expressions, layout_quality, media_contract, page_content, streams
 
 SQL = {**expressions.SQL, **page_content.SQL, **media_contract.SQL, **blocks_export.SQL,
     **discovery.SQL,
+    **layout_quality.SQL,
+    **streams.SQL,
 }
