@@ -15,6 +15,11 @@ def build_session(app_name: str = "pageloom", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Parsing a page costs far more than reading its bytes: let small inputs use all cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+        # A conversion plan has more generated classes than the default cache holds; without
+        # room for them every task would compile its code again.
+        "spark.sql.codegen.cache.maxEntries": "2000",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
