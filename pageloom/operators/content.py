@@ -9,7 +9,7 @@ from pageloom.functions.text import collapse_ws, word_count
 from pageloom.functions.urls import resolve_url, url_host, url_netloc
 from pageloom.operators.nodes import (
     before, body_nodes, closes, element_extents, first_element, flag_first, html_nodes, node_depth, node_depths, opens,
-    page, so_far,
+    page, whole_page, so_far,
 )
 from pageloom.operators.skew import salted_join
 from pageloom.operators.vocab import BLOCK_TAGS, CHROME_TAGS, IMAGE_TAGS
@@ -133,8 +133,8 @@ def flag_content(nodes: DataFrame, hit: Column | None = None) -> DataFrame:
     """
     rows = nodes
     at = F.when(hit if hit is not None else F.lit(False), F.col("pos"))
-    body = F.min(F.when(opens("body"), F.col("pos"))).over(page())
-    first = {"_first": F.min(at).over(page()), "_first_tag": F.min_by("tag", at).over(page())}
+    body = F.min(F.when(opens("body"), F.col("pos"))).over(whole_page())
+    first = {"_first": F.min(at).over(whole_page()), "_first_tag": F.min_by("tag", at).over(whole_page())}
     rows = rows.withColumns({"_body": body, **(first if hit is not None else {})})
 
     border = F.col("kind").isin("open", "close", "void") & F.col("tag").isin(*BLOCK_TAGS)
@@ -318,7 +318,7 @@ def meta_duplication(nodes: DataFrame) -> DataFrame:
     """``(page_id, blocks, echoed)``: text blocks whose text also stands in the meta description."""
     is_description = (F.col("tag") == "meta") & (F.lower(attribute_of(F.col("tok"), "name")) == "description")
     described = nodes.withColumn(
-        "description", F.max(F.when(is_description, collapse_ws(attribute_of(F.col("tok"), "content")))).over(page())
+        "description", F.max(F.when(is_description, collapse_ws(attribute_of(F.col("tok"), "content")))).over(whole_page())
     ).filter(F.col("description").isNotNull())
     blocks = text_blocks(described, ("url", "description"))
     return blocks.groupBy("page_id").agg(
@@ -337,7 +337,7 @@ def suggest_selector(pages: DataFrame, coverage: float = 0.9) -> DataFrame:
     rows = rows.withColumn("_w", words)
     good = F.when(F.col("_auto"), F.col("_w")).otherwise(0)
     rows = rows.withColumns({"_all": F.sum("_w").over(so_far()), "_good": F.sum(good).over(so_far())})
-    rows = rows.withColumn("_page_good", F.max("_good").over(page()))
+    rows = rows.withColumn("_page_good", F.max("_good").over(whole_page()))
     rows = element_extents(rows, ("_all", "_good"))
     ident = F.coalesce(attribute_of(F.col("tok"), "id"), F.lit(""))
     first_class = F.regexp_extract(F.coalesce(attribute_of(F.col("tok"), "class"), F.lit("")), r"\S+", 0)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pageloom.functions.html import attribute_of, decode_entities, escape_text
 from pageloom.functions.text import collapse_ws, strip_code_fence, word_count
 from pageloom.operators.media import TOKEN_PATTERN, token_text
-from pageloom.operators.nodes import before, drop_subtrees, element_extents, node_depth, opens, page, so_far
+from pageloom.operators.nodes import before, drop_subtrees, element_extents, node_depth, opens, whole_page, so_far
 from pageloom.operators.vocab import (
     BLOCK_TAGS, BOILERPLATE_CONTAINERS, BOILERPLATE_RULES, CONTAINER_TAGS, INLINE_TAGS, TAG_RENAMES, WHITELIST,
     WRAPPER_TAGS,
@@ -84,11 +84,11 @@ def unwrap_page_wrapper(nodes: DataFrame) -> DataFrame:
     """
     is_tag = F.coalesce(F.col("kind").isin(*_TAG_KINDS), F.lit(False))
     rows = nodes.withColumn("_rank", F.sum(F.when(is_tag, 1).otherwise(0)).over(so_far()))
-    rows = element_extents(rows, ("_rank",)).withColumn("_count", F.max("_rank").over(page()))
+    rows = element_extents(rows, ("_rank",)).withColumn("_count", F.max("_rank").over(whole_page()))
     mirrored = opens(*WRAPPER_TAGS) & (F.col("_rank_end") == F.col("_count") - F.col("_rank") + 1)
     peels = F.min(F.when(is_tag, F.coalesce(mirrored, F.lit(False)))).over(so_far())
     rows = rows.withColumn("_peel", is_tag & peels)
-    rows = rows.withColumn("_peeled", F.sum(F.when(F.col("_peel"), 1).otherwise(0)).over(page()))
+    rows = rows.withColumn("_peeled", F.sum(F.when(F.col("_peel"), 1).otherwise(0)).over(whole_page()))
     tail = is_tag & (F.col("_rank") > F.col("_count") - F.col("_peeled"))
     return rows.filter(~F.col("_peel") & ~tail).drop("_rank", "_rank_end", "_count", "_peel", "_peeled", "end_pos")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.functions.html import cdata_wrap, html_escape
 from pageloom.functions.text import gmt_stamp, or_else, rfc1123, slugify, strip
 from pageloom.functions.urls import image_title
-from pageloom.operators.skew import bucketed_prefix
+from pageloom.operators.skew import bucketed_prefix, ranged_prefix
 
 
 @dataclass(frozen=True)
@@ -24,11 +24,17 @@ class ExportOptions:
     sideload: bool = False
 
 
-def assign_post_ids(pages: DataFrame, sideload: bool, order: str = "page_id", bucket: int = 100_000) -> DataFrame:
-    """``(page_id, post_id)``: dense ids in page order, leaving room for each page's attachments."""
+def assign_post_ids(pages: DataFrame, sideload: bool, order: str = "page_id", bucket: int | None = 100_000) -> DataFrame:
+    """``(page_id, post_id)``: dense ids in page order, leaving room for each page's attachments.
+
+    ``bucket=None`` is for page numbers that are not dense.
+    """
     weight = F.lit(1) + (F.col("images") if sideload else F.lit(0))
     slim = pages.select("page_id", *([] if order == "page_id" else [order]), "images")
-    ranked = bucketed_prefix(slim, order, weight, "_before", bucket)
+    if bucket is None:
+        ranked = ranged_prefix(slim, order, weight, "_before")
+    else:
+        ranked = bucketed_prefix(slim, order, weight, "_before", bucket)
     return ranked.select("page_id", (F.col("_before") + 1).alias("post_id"))
 
 

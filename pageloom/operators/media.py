@@ -214,7 +214,7 @@ def asset_sharing(images: DataFrame, pages: DataFrame, template_share: float = 0
     per_host = hosts.groupBy("host").agg(F.count("*").alias("host_pages"))
     used = images.select("page_id", "src").dropDuplicates(["page_id", "src"]).join(hosts, "page_id")
     shared = used.groupBy("host", "src").agg(F.count("*").alias("pages"))
-    return shared.join(per_host, "host").select(
+    return salted_join(shared, per_host, ["host"], "inner", "src").select(
         "host", "src", "pages", "host_pages",
         ((F.col("pages") > 1) & (F.col("pages") >= F.col("host_pages") * template_share)).alias("is_template"),
     )

@@ -16,6 +16,11 @@ def page() -> WindowSpec:
     return Window.partitionBy("page_id")
 
 
+def whole_page() -> WindowSpec:
+    """The full page, in page order, so that it shares the sort of the running windows."""
+    return page().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def so_far() -> WindowSpec:
     """The page up to and including the current node."""
     return page().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,7 +98,7 @@ def drop_chrome(nodes: DataFrame, tags: tuple[str, ...] = CHROME_TAGS) -> DataFr
 
 def body_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes after the first ``<body>``, or all when there is none."""
-    start = F.min(F.when(opens("body"), F.col("pos"))).over(page())
+    start = F.min(F.when(opens("body"), F.col("pos"))).over(whole_page())
     return nodes.withColumn("_body", start).filter(
         F.col("_body").isNull() | (F.col("pos") >= F.col("_body")) | F.col("tok").isNull()
     ).drop("_body")
@@ -136,7 +141,7 @@ def element_extents(nodes: DataFrame, running: tuple[str, ...] = (), within: tup
     for column in running:
         at_close = F.lead(F.when(F.col("kind") == "close", F.col(column))).over(by_level)
         extents = extents.withColumn(
-            f"{column}_end", F.coalesce(at_close, F.max(column).over(page()))
+            f"{column}_end", F.coalesce(at_close, F.max(column).over(whole_page()))
         )
     return extents.drop("_total", "_lowest", "_level", "_last")
 
@@ -146,7 +151,7 @@ def drop_subtrees(extents: DataFrame, condition: Column, first_only: bool = Fals
     hit = (F.col("kind") == "open") & F.coalesce(condition, F.lit(False))
     rows = extents.withColumn("_hit", hit)
     if first_only:
-        first = F.min(F.when(F.col("_hit"), F.col("pos"))).over(page())
+        first = F.min(F.when(F.col("_hit"), F.col("pos"))).over(whole_page())
         rows = rows.withColumn("_hit", F.col("_hit") & (F.col("pos") == first))
     reach = F.max(F.when(F.col("_hit"), F.col("end_pos"))).over(so_far())
     return (
@@ -184,7 +189,7 @@ def flag_first(nodes: DataFrame, hit: Column, name: str, inner: bool = False) ->
     started, nest = first_element()
     inside = F.coalesce(F.col("pos") > F.col("_first"), F.lit(False)) if inner else started
     return (
-        nodes.withColumns({"_first": F.min(at).over(page()), "_first_tag": F.min_by("tag", at).over(page())})
+        nodes.withColumns({"_first": F.min(at).over(whole_page()), "_first_tag": F.min_by("tag", at).over(whole_page())})
         .withColumn("_nest", nest)
         .withColumn("_ended", F.min(F.when(started, F.col("_nest"))).over(so_far()))
         .withColumn(name, inside & (F.coalesce(F.col("_ended"), F.lit(1)) >= 1))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pageloom.session import materialize
+
 SALTS = 16
 
 
@@ -28,7 +30,8 @@ def bucketed_prefix(df: DataFrame, order: str, weight: Column, name: str, bucket
 
     Two levels: sums per bucket of ``bucket`` order values, a running sum over the buckets,
     then a running sum inside each bucket. No task holds more than one bucket's rows or one
-    key's buckets, so a key with a third of all rows is spread like any other.
+    key's buckets, so a key with a third of all rows is spread like any other. Meant for list
+    ordinals and other dense numbers; :func:`ranged_prefix` takes any.
     """
     rows = df.withColumn("_weight", weight.cast("bigint")).withColumn(
         "_bucket", F.floor(F.col(order) / F.lit(bucket)).cast("bigint")
@@ -48,6 +51,28 @@ def bucketed_prefix(df: DataFrame, order: str, weight: Column, name: str, bucket
     )
 
 
+def ranged_prefix(df: DataFrame, order: str, weight: Column, name: str, by: tuple[str, ...] = (),
+                  parts: int | None = None) -> DataFrame:
+    """Like :func:`bucketed_prefix` for sparse or uneven ``order`` values, such as hashes.
+
+    Buckets are ``parts`` sampled ranges of equal size. They are written out before use, since
+    sampling again could cut elsewhere; ``df`` should hold only the columns needed here.
+    """
+    count = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_weight", weight.cast("bigint")).repartitionByRange(count, order)
+    rows = materialize(ranged.withColumn("_bucket", F.spark_partition_id()))
+    keys = list(by)
+    sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.join(offsets, [*keys, "_bucket"])
+        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+        .drop("_weight", "_bucket", "_offset")
+    )
+
+
 def bucketed_lag(df: DataFrame, by: str, order: Column, value: str, name: str, bucket_of: Column,
                  tie: str) -> DataFrame:
     """Previous ``value`` of the same key in ``(order, tie)`` order, per time bucket.

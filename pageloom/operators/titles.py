@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.html import attribute_of, decode_entities
 from pageloom.functions.text import strip, trim_title_suffix
-from pageloom.operators.nodes import flag_first, html_nodes, node_depths, opens, page, so_far
+from pageloom.operators.nodes import flag_first, html_nodes, node_depths, opens, whole_page, so_far
 from pageloom.operators.vocab import BOILERPLATE_HEADINGS, CHROME_TAGS, CTA_ID, HEADING_TAGS
 
 
@@ -56,7 +56,7 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     # All page-ordered flags in shared window operators, so that the page is scanned once.
     flagged = node_depths(
-        base.withColumn("_body", F.min(F.when(opens("body"), F.col("pos"))).over(page())),
+        base.withColumn("_body", F.min(F.when(opens("body"), F.col("pos"))).over(whole_page())),
         {"_in_title": ("title",), "_chrome": CHROME_TAGS, "_in_heading": HEADING_TAGS},
         _title_no=F.sum(F.when(opens("title"), 1).otherwise(0)).over(so_far()), heading_id=_heading_number(),
     )

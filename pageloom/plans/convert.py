@@ -8,7 +8,7 @@ from pageloom.operators.blocks import block_rows, join_blocks
 from pageloom.operators.content import content_nodes
 from pageloom.operators.contract import clean_rows
 from pageloom.operators.media import index_images, plan_media
-from pageloom.operators.nodes import page
+from pageloom.operators.nodes import whole_page
 from pageloom.operators.titles import page_titles
 
 NO_CONTENT = "no main content extracted"
@@ -22,7 +22,7 @@ def extracted_rows(pages: DataFrame, selectors: DataFrame | None = None, css: st
     solid = F.col("kind").isin("open", "close", "void", "image") | (
         (F.col("kind") == "text") & F.col("tok").rlike(r"(?U)\S")
     )
-    return rows.withColumn("has_content", F.max(F.coalesce(solid, F.lit(False))).over(page()))
+    return rows.withColumn("has_content", F.max(F.coalesce(solid, F.lit(False))).over(whole_page()))
 
 
 def convert_pages(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,

@@ -126,6 +126,16 @@ def test_bucketed_prefix_with_one_hot_key(spark):
     assert [r.n for r in got] == list(range(334))
 
 
+def test_prefix_over_hashed_ids(spark):
+    rows = spark.range(500).select(F.xxhash64("id").alias("page_id"), (F.col("id") % 4).alias("images"))
+    got = {r.page_id: r.post_id for r in X.assign_post_ids(rows, True, bucket=None).collect()}
+    expected, following = {}, 1
+    for row in rows.orderBy("page_id").collect():
+        expected[row.page_id] = following
+        following += 1 + row.images
+    assert got == expected
+
+
 def test_salted_join_keeps_rows(spark):
     left = spark.range(200).select("id", F.when(F.col("id") < 150, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("160", 2)], "k string, v int")
