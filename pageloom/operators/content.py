@@ -188,11 +188,12 @@ def auto_content(nodes: DataFrame) -> DataFrame:
 
 
 def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,
-                  carry: tuple[str, ...] = ("url",)) -> DataFrame:
+                  carry: tuple[str, ...] = ("url",), prune: bool = False) -> DataFrame:
     """Content rows of every page with ``content_source`` (selector, auto or fallback).
 
     A page without content keeps one row with a NULL token, so it is never lost. ``css`` sets
-    one selector for all pages; ``selectors`` is a ``(host, css)`` table.
+    one selector for all pages; ``selectors`` is a ``(host, css)`` table. ``prune`` as in
+    :func:`html_nodes`.
     """
     max_parts = 1
     if selectors is not None:
@@ -200,9 +201,9 @@ def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str
         found = selectors.agg(F.max(F.size(F.split(F.trim("css"), r"\s+")))).first()[0]
         max_parts = max(1, found or 1)
         keyed = pages.select("page_id", *carry, "html").repartition("page_id").join(css_of_page, "page_id", "left")
-        nodes = html_nodes(keyed, (*carry, "css"), partitioned=True)
+        nodes = html_nodes(keyed, (*carry, "css"), partitioned=True, prune=prune)
     else:
-        nodes = html_nodes(pages, carry).withColumn("css", F.lit(css).cast("string"))
+        nodes = html_nodes(pages, carry, prune=prune).withColumn("css", F.lit(css).cast("string"))
         max_parts = len(css.split()) if css else 1
 
     rows = _selector_hit(nodes.withColumn("_parts", selector_parts(F.col("css"))), max_parts)

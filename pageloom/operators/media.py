@@ -196,7 +196,7 @@ def unmapped_tokens(tokens: DataFrame, media: DataFrame) -> DataFrame:
 def page_attachments(images: DataFrame, mode: str) -> DataFrame:
     """Every image of a page, repeats included, in ``sideload`` mode; none otherwise."""
     rows = images.select("page_id", "img_index", "src", "alt")
-    return rows if mode == "sideload" else rows.limit(0)
+    return rows if mode == "sideload" else rows.filter(F.lit(False))
 
 
 def image_inventory(images: DataFrame, placed: DataFrame) -> DataFrame:

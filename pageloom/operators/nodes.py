@@ -31,10 +31,13 @@ def before() -> WindowSpec:
     return page().orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def html_nodes(pages: DataFrame, carry: tuple[str, ...] = ("url",), partitioned: bool = False) -> DataFrame:
+def html_nodes(pages: DataFrame, carry: tuple[str, ...] = ("url",), partitioned: bool = False,
+               prune: bool = False) -> DataFrame:
     """``(page_id, *carry, pos, tok, tag, closing, kind)``; an empty page keeps one NULL row.
 
-    Set ``partitioned`` when the pages come from a table bucketed by ``page_id``.
+    Set ``partitioned`` when the pages come from a table bucketed by ``page_id``. ``prune`` leaves
+    out scripts, styles and comments before any window sees them, often most of a page's bytes;
+    positions stay, and so does a page's first row, without its text.
     """
     source = pages.select("page_id", *carry, "html")
     if not partitioned:
@@ -56,7 +59,11 @@ def html_nodes(pages: DataFrame, carry: tuple[str, ...] = ("url",), partitioned:
         .when(tag.isin(*VOID_TAGS), F.lit("void"))
         .otherwise(F.lit("open"))
     )
-    return tagged.withColumn("kind", kind)
+    nodes = tagged.withColumn("kind", kind)
+    if not prune:
+        return nodes
+    useless = F.coalesce(F.col("kind").isin("raw", "comment", "doctype"), F.lit(False))
+    return nodes.filter(~useless | (F.col("pos") == 0)).withColumn("tok", F.when(~useless, F.col("tok")))
 
 
 def opens(*tags: str) -> Column:

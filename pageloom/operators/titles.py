@@ -51,7 +51,7 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     aggregations on the page's own partition pick the winner.
     """
     carry = tuple(c for c in ("url", "title_override") if c in pages.columns)
-    base = html_nodes(pages, carry) if nodes is None else nodes
+    base = html_nodes(pages, carry, prune=True) if nodes is None else nodes
     override = F.col("title_override") if "title_override" in base.columns else F.lit(None).cast("string")
 
     # All page-ordered flags in shared window operators, so that the page is scanned once.

@@ -16,9 +16,13 @@ EMPTY = "empty after conversion"
 CARRY = ("url", "content_source", "has_content")
 
 
-def extracted_rows(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None) -> DataFrame:
-    """Content rows with numbered images and ``has_content`` per page."""
-    rows = index_images(content_nodes(pages, selectors, css))
+def extracted_rows(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,
+                   prune: bool = False) -> DataFrame:
+    """Content rows with numbered images and ``has_content`` per page.
+
+    ``prune`` leaves out scripts and comments, which only the raw export keeps.
+    """
+    rows = index_images(content_nodes(pages, selectors, css, prune=prune))
     solid = F.col("kind").isin("open", "close", "void", "image") | (
         (F.col("kind") == "text") & F.col("tok").rlike(r"(?U)\S")
     )
@@ -34,7 +38,7 @@ def convert_pages(pages: DataFrame, selectors: DataFrame | None = None, css: str
     bundle modes add a join on the image source. A page that goes wrong becomes a row with a
     status, never an error.
     """
-    rows = extracted_rows(pages, selectors, css)
+    rows = extracted_rows(pages, selectors, css, prune=True)
     if mode in ("upload", "bundle"):
         images = rows.filter("kind = 'image'")
         media = plan_media(images, mode, results).select(

@@ -124,3 +124,26 @@ def test_same_result_for_any_partitioning(pages_of):
         shuffled = pages.orderBy(F.rand(parts)).repartition(parts)
         results.append(sorted(map(tuple, C.content_summary(C.content_nodes(shuffled, css="body")).collect())))
     assert results[0] == results[1] == results[2]
+
+
+def test_bucketed_archive_needs_no_exchange(spark, tmp_path, pages_of):
+    from pageloom.sources.sinks import archive_raw_pages
+
+    pages = pages_of(*[f"<nav><p>{i}</p></nav>" for i in range(20)])
+    archive_raw_pages(pages, str(tmp_path / "archive"), table="bucketed_pages", buckets=4)
+    depth = N.node_depth(N.html_nodes(spark.table("bucketed_pages"), partitioned=True), ("nav",))
+    assert "Exchange" not in depth._jdf.queryExecution().executedPlan().toString()
+    assert depth.count() == 100
+    spark.sql("drop table bucketed_pages")
+
+
+def test_one_exchange_for_a_page_job(pages_of):
+    plan = T.page_titles(pages_of("<h1>x</h1>"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pruned_nodes_keep_positions_and_pages(pages_of):
+    pages = pages_of("<!--c--><p>a</p><script>x</script>", "<!--only-->", "")
+    rows = N.html_nodes(pages, prune=True).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.tok) for r in rows] == [
+        (0, 0, None), (0, 1, "<p>"), (0, 2, "a"), (0, 3, "</p>"), (1, 0, None), (2, None, None)]
