@@ -7,28 +7,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pageloom.functions.html import attribute_of, decode_entities, escape_text, html_escape
 from pageloom.functions.text import collapse_ws, strip
 from pageloom.functions.urls import resolve_url
-from pageloom.operators.blocks import image_block, list_block, paragraph_block, segment_rows
+from pageloom.operators.blocks import block_rows, image_block, list_block, paragraph_block, segment_rows
 from pageloom.operators.content import links
+from pageloom.operators.contract import clean_rows
 from pageloom.operators.media import TOKEN_PATTERN
-from pageloom.operators.nodes import before, closes, element_extents, node_depths, opens, so_far
+from pageloom.operators.nodes import before, closes, element_extents, html_nodes, node_depths, opens, so_far
 from pageloom.operators.vocab import EMBED_PROVIDERS, INLINE_TAGS
 
 
-def flatten_token_elements(nodes: DataFrame, media: DataFrame) -> DataFrame:
-    """``(page_id, block_pos, block_type, markup)`` of elements that still hold image tokens.
-
-    Such an element is layout: its text becomes escaped paragraphs and its tokens image blocks,
-    in order. Tokens without media drop out. ``nodes`` is the node table of cleaned HTML.
-    """
-    rows = segment_rows(nodes.filter(F.coalesce(F.col("kind"), F.lit("")).isin("open", "close", "void", "text")))
-    texts = rows.filter("kind = 'text'").withColumn("_text", decode_entities(F.col("tok"))).groupBy(
-        "page_id", "block_id"
+def _flattened(segmented: DataFrame, media: DataFrame) -> DataFrame:
+    """``(page_id, block_id, sub, n, img_index, block_type, markup)`` of the blocks that hold image tokens."""
+    texts = segmented.filter("kind = 'text'").withColumn("_text", decode_entities(F.col("tok"))).groupBy(
+        "page_id", "block_id", "sub"
     ).agg(F.expr("listagg(_text, ' ') within group (order by pos)").alias("_text")).filter(
         F.col("_text").rlike(TOKEN_PATTERN)
     )
     cut = F.regexp_extract_all("_text", F.lit(r"⟦IMG_\d+⟧|(?:[^⟦]++|⟦(?!IMG_\d+⟧))++"), F.lit(0))
     index = F.regexp_extract("_piece", "^" + TOKEN_PATTERN + "$", 1)
-    pieces = texts.select("page_id", "block_id", F.posexplode(cut).alias("_n", "_piece")).withColumn(
+    pieces = texts.select("page_id", "block_id", "sub", F.posexplode(cut).alias("n", "_piece")).withColumn(
         "img_index", F.when(index != "", index.try_cast("bigint"))
     )
     placed = pieces.join(media.select("page_id", "img_index", "url", "media_id", "alt"), ["page_id", "img_index"], "left")
@@ -36,13 +32,40 @@ def flatten_token_elements(nodes: DataFrame, media: DataFrame) -> DataFrame:
     markup = F.when(is_image & F.col("url").isNotNull(), image_block(F.col("url"), F.col("alt"), F.col("media_id"))).when(
         ~is_image, paragraph_block(html_escape(collapse_ws(F.col("_piece"))))
     )
-    order = Window.partitionBy("page_id").orderBy("block_id", "_n")
     return placed.withColumn("markup", markup).filter(F.coalesce("markup", F.lit("")) != "").select(
-        "page_id", F.row_number().over(order).cast("bigint").alias("block_pos"),
+        "page_id", "block_id", "sub", "n", "img_index",
         F.when(is_image, F.lit("image")).otherwise("paragraph").alias("block_type"), "markup",
     )
 
 
+def flatten_token_elements(nodes: DataFrame, media: DataFrame) -> DataFrame:
+    """``(page_id, block_pos, block_type, markup)`` of elements that still hold image tokens.
+
+    Such an element is layout: its text becomes escaped paragraphs and its tokens image blocks,
+    in order. Tokens without media drop out. ``nodes`` is the node table of cleaned HTML.
+    """
+    segmented = segment_rows(nodes.filter(F.coalesce(F.col("kind"), F.lit("")).isin("open", "close", "void", "text")))
+    order = Window.partitionBy("page_id").orderBy("block_id", "sub", "n")
+    return _flattened(segmented, media).select(
+        "page_id", F.row_number().over(order).cast("bigint").alias("block_pos"), "block_type", "markup"
+    )
+
+
+def cleaned_blocks(cleaned: DataFrame, media: DataFrame) -> DataFrame:
+    """``(page_id, block_id, sub, n, img_index, block_type, markup)`` from cleaned HTML ``(page_id, url, html)``.
+
+    Elements with image tokens are flattened, all others become their block. ``media`` is
+    ``(page_id, img_index, url, media_id, alt)``. Empty pages keep a row with empty markup.
+    """
+    none = {c: F.lit(None).cast(t) for c, t in (("img_index", "bigint"), ("src", "string"), ("alt", "string"))}
+    rows = clean_rows(html_nodes(cleaned, prune=True).withColumns(none))
+    plain = block_rows(rows).filter(~F.col("markup").rlike(TOKEN_PATTERN)).select(
+        "page_id", "block_id", "sub", F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("img_index"),
+        "block_type", "markup",
+    )
+    return plain.unionByName(_flattened(segment_rows(rows), media))
+
+
 def nested_list_block(cleaned: DataFrame) -> DataFrame:
     """``(page_id, list_no, markup)`` with lists inside list items kept as list blocks.
 

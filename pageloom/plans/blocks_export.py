@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.urls import url_host
 from pageloom.operators import blocks as B, contract as K, export as X, media as M
-from pageloom.plans.convert import convert_pages, extracted_rows
+from pageloom.plans.convert import convert_cleaned as run_cleaned, convert_pages, extracted_rows
 from pageloom.session import materialize, shared_folder
 from pageloom.sources import sinks
 from pageloom.sources.tables import augmented_pages, test_pages
@@ -136,9 +136,42 @@ def export_roundtrip(spark, sf_dir):
                        F.md5("content").alias("content_md5"))
 
 
+def fallback_paragraph(spark, sf_dir):
+    """An element of no known kind at the end of every article."""
+    unknown = F.concat(F.lit("<section>Unknown <span>element</span> <i>"), F.col("page_id").cast("string"),
+                       F.lit("</i></section></article>"))
+    pages = test_pages(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("</article>"), unknown))
+    blocks = B.segment_blocks(B.block_rows(K.clean_rows(extracted_rows(pages, css="article"))))
+    return blocks.filter(F.col("markup").contains("Unknown")).select("page_id", "block_type", "markup")
+
+
+def convert_cleaned(spark, sf_dir):
+    """Tokenized articles as an outside cleaner's output, some refused, some missing."""
+    pages = _aug(spark, sf_dir)
+    rows = extracted_rows(pages, css="article")
+    cleaned = M.tokenize_images(rows).filter("page_id % 9 != 4").select(
+        "page_id", F.concat(F.lit("```html\n"), "html", F.lit("\n```")).alias("html"), (F.col("page_id") % 9 == 5).alias("refused"))
+    media = M.plan_media(rows.filter("kind = 'image'"), "remote")
+    done = run_cleaned(pages, cleaned, media)
+    return done.select("page_id", "title", "blocks", "images", "status", "message", F.md5("body").alias("body_md5"))
+
+
+def write_wxr(spark, sf_dir):
+    """Shape of every written file: first and last line, and the items between them."""
+    pages = _converted(spark, sf_dir)
+    path = f"{shared_folder(spark).rstrip('/')}/pageloom/{uuid.uuid4().hex}"
+    sinks.write_wxr(X.content_items(pages, X.assign_post_ids(pages, sideload=False)), path, items_per_shard=100)
+    files = spark.read.text(path, wholetext=True)
+    return files.groupBy("shard").agg(
+        F.count("*").alias("files"),
+        F.sum(F.size(F.regexp_extract_all("value", F.lit("(?m)^    <item>$"), F.lit(0)))).alias("items"),
+        F.min(F.col("value").rlike(r'(?s)\A<\?xml version="1.0".*</rss>\s*\z')).alias("complete"),
+    ).withColumn("shard", F.col("shard").cast("bigint"))
+
+
 TYPES = ("paragraph", "heading", "list", "quote", "code", "table", "separator", "image")
 QUERIES = {f.__name__: f for f in (
     segment_blocks, *[_of_type(t) for t in TYPES], join_blocks, block_stats, page_outcomes, job_summary,
     assign_post_ids, content_items, attachment_items, item_markup, raw_items, slug_collisions, compare_exports,
-    archive_raw_pages, export_roundtrip,
+    archive_raw_pages, export_roundtrip, write_wxr, fallback_paragraph, convert_cleaned,
 )}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.operators.blocks import block_rows, join_blocks
 from pageloom.operators.content import content_nodes
-from pageloom.operators.contract import clean_rows
+from pageloom.operators.contract import clean_rows, ingest_cleaned
+from pageloom.operators.layout import cleaned_blocks
 from pageloom.operators.media import index_images, plan_media
 from pageloom.operators.nodes import whole_page
 from pageloom.operators.titles import page_titles
@@ -54,3 +55,27 @@ def convert_pages(pages: DataFrame, selectors: DataFrame | None = None, css: str
         "page_id", "url", "title", "content_source", "body", "blocks", "images",
         status.alias("status"), message.alias("message"),
     )
+
+
+def convert_cleaned(pages: DataFrame, cleaned: DataFrame, media: DataFrame) -> DataFrame:
+    """``(page_id, url, title, body, blocks, images, status, message)`` from an outside cleaner's HTML.
+
+    ``cleaned(page_id, html, refused)`` carries image tokens, ``media(page_id, img_index, url,
+    media_id, alt)`` what they stand for. A page that was refused or is missing has failed.
+    """
+    taken = ingest_cleaned(pages, cleaned)
+    html = pages.select("page_id", "url").join(taken, "page_id")
+    rows = cleaned_blocks(html.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), media)
+    filled = rows.withColumn("_m", F.when(F.col("markup") != "", F.col("markup")))
+    bodies = filled.groupBy("page_id").agg(
+        F.coalesce(F.expr("listagg(_m, '\\n\\n') within group (order by block_id, sub, n)"), F.lit("")).alias("body"),
+        F.count("_m").alias("blocks"), F.count("img_index").alias("images"),
+    )
+    titles = page_titles(pages).select("page_id", "title")
+    empty = (F.col("status") == "ok") & (F.coalesce("body", F.lit("")) == "")
+    return html.drop("html").join(bodies, "page_id", "left").join(titles, "page_id").select(
+        "page_id", "url", "title", F.coalesce("body", F.lit("")).alias("body"),
+        F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("images", F.lit(0)).alias("images"),
+        F.when(empty, F.lit("skipped")).otherwise(F.col("status")).alias("status"),
+        F.when(empty, F.lit(EMPTY)).otherwise(F.col("message")).alias("message"),
+    )

@@ -104,7 +104,7 @@ def bad_sitemaps(spark, sf_dir):
     return S.bad_sitemaps(docs.withColumn("body", F.coalesce(cut, F.col("body"))))
 
 
-def gzip_sitemaps(spark, sf_dir):
+def read_gzip_sitemaps(spark, sf_dir):
     """Documents compressed by Spark's own text writer, then read as files."""
     docs = _sitemap_docs(spark, sf_dir)
     path = f"{shared_folder(spark).rstrip('/')}/pageloom/{uuid.uuid4().hex}"
@@ -153,5 +153,5 @@ def write_dual_export(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     read_url_list, inline_urls, dedup_urls_ordered, cap_urls, selectors_table, sitemap_entries, bad_sitemaps,
-    gzip_sitemaps, expand_sitemaps, bundle_add, bundle_remove, write_dual_export,
+    read_gzip_sitemaps, expand_sitemaps, bundle_add, bundle_remove, write_dual_export,
 )}

@@ -10,7 +10,7 @@ from pageloom.operators.skew import bucketed_prefix
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """``(ordinal, url, title_override)`` from a text file; see :func:`parse_url_lines`."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
     return parse_url_lines(lines)
 

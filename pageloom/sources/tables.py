@@ -8,18 +8,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """``(page_id, url, html)`` from a table file, in any format Spark reads with those columns.
 
-    ``fmt`` "html_files" reads one file per page, named by its URL-encoded address.
+    ``fmt`` "html_files" reads one file per page, named by its URL-encoded address. Spark skips
+    files of length zero; join with the URL list to see them.
     """
     if fmt != "html_files":
         return spark.read.format(fmt).load(path).select("page_id", "url", "html")
-    files = spark.read.option("wholetext", True).text(path).withColumn("_file", F.input_file_name())
-    name = F.regexp_replace(F.regexp_extract("_file", "[^/]*$", 0), r"\.html$", "")
+    files = spark.read.format("binaryFile").load(path)
+    name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.html$", "")
+    # Listed paths are URL-encoded once more by the file system layer.
     return files.select(
-        F.xxhash64("_file").alias("page_id"), F.try_url_decode(F.try_url_decode(name)).alias("url"),
-        F.col("value").alias("html"),
+        F.xxhash64("path").alias("page_id"), F.coalesce(_decoded(_decoded(name)), name).alias("url"),
+        F.col("content").cast("string").alias("html"),
     )
 
 
+def _decoded(name: Column) -> Column:
+    return F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def test_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_pages(spark, f"{sf_dir}/pages.parquet")
 

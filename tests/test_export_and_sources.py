@@ -211,3 +211,13 @@ def test_streams_equal_batch_over_two_triggers(spark, tmp_path, pages_of):
     events = stream().select(F.lit("j").alias("job_id"), F.when(F.col("page_id") == 0, F.lit("failed")).otherwise("ok").alias("status"))
     P.stream_job_progress(events, str(tmp_path / "jobs"), str(tmp_path / "c3")).awaitTermination()
     assert [tuple(r) for r in P.latest_progress(spark, str(tmp_path / "jobs")).collect()] == [("j", 6, 5, 1)]
+
+
+def test_pages_from_files(spark, tmp_path):
+    from urllib.parse import quote
+
+    from pageloom.sources.tables import load_pages
+    for url, html in (("https://h.org/a b?x=1", "<p>one\ntwo</p>\n"), ("http://h/ä+b", "x")):
+        (tmp_path / f"{quote(url, safe='')}.html").write_text(html, encoding="utf-8")
+    rows = {r.url: r.html for r in load_pages(spark, str(tmp_path), "html_files").collect()}
+    assert rows == {"https://h.org/a b?x=1": "<p>one\ntwo</p>\n", "http://h/ä+b": "x"}

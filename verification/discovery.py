@@ -23,7 +23,7 @@ SQL = {
                        "FROM pages WHERE page_id % 3 < 2 GROUP BY 1",
     "sitemap_entries": f"WITH {MAPS} SELECT {DOC} AS doc_url, 'urlset' AS root, url AS loc FROM m",
     "bad_sitemaps": f"WITH {MAPS} SELECT DISTINCT {DOC} AS doc_url FROM m WHERE contains({DOC}, 'sitemap-1')",
-    "gzip_sitemaps": f"""WITH {MAPS}, d AS (SELECT host, part, {DOC} AS name, ' <?xml version="1.0" encoding="UTF-8"?><urlset {SPACE} xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'
+    "read_gzip_sitemaps": f"""WITH {MAPS}, d AS (SELECT host, part, {DOC} AS name, ' <?xml version="1.0" encoding="UTF-8"?><urlset {SPACE} xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'
           || string_agg({ENTRY}, '' ORDER BY page_id) || '</urlset>' AS body FROM m GROUP BY host, part),
         i AS (SELECT host, part // 1000 AS k, '<sitemapindex {SPACE}><sitemap><loc>https://' || host || '/index-' || part // 1000 || '.xml</loc></sitemap>'
           || string_agg('<sitemap><loc>' || name || '</loc></sitemap>', '' ORDER BY part) || '</sitemapindex>' AS body FROM d GROUP BY host, part // 1000)
