@@ -63,6 +63,9 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     flagged = flagged.withColumn(
         "_work", (F.col("_chrome") == 0) & (F.col("_body").isNull() | (F.col("pos") >= F.col("_body")))
     )
+    # Body text is done with; only text of headings and titles goes through the windows below.
+    needless = (F.col("kind") == "text") & (F.col("_in_heading") == 0) & (F.col("_in_title") == 0) & (F.col("pos") > 0)
+    flagged = flagged.filter(~F.coalesce(needless, F.lit(False)))
     cta = F.col("_work") & (F.col("kind") == "open") & (attribute_of(F.col("tok"), "id") == CTA_ID)
     flagged = flag_first(flagged, cta, "_cta")
 
