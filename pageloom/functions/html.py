@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
-# One alternative per node kind. Comments, scripts and styles that never close run to the
+# One alternative per node kind. Quotes count after "=" only. Comments, scripts and styles that never close run to the
 # end of the page, and an unquoted attribute may not contain "<"; both keep the match linear.
 NODE_PATTERN = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b.*?(?:</script\s*>|\z)"
     r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>"
-    r"|<![^>]*>"
-    r"|(?:[^<]|<[^a-z/!<])[^<]*(?:<[^a-z/!<][^<]*)*+"
+    r"|</?[a-z](?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+>"
+    r"|<[!?][^>]*(?:>|\z)"
+    r"|(?:[^<]|<[^a-z/!?<])[^<]*(?:<[^a-z/!?<][^<]*)*+"
     r"|<"
 )
 ATTR_PATTERN = r"""\s([a-zA-Z_:][-a-zA-Z0-9_:.]*)(\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-ENTITY_PATTERN = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
+ENTITY_PATTERN = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
 
 # Entities replaced directly; "&amp;" is last so that a decoded "&" is never read again.
 COMMON_ENTITIES = (
@@ -56,7 +56,7 @@ def attribute(tok: Column, name: str) -> Column:
     values = F.regexp_extract_all(tok, F.lit(ATTR_PATTERN), F.lit(3))
     raw = F.get(values, (F.array_position(names, name) - 1).cast("int"))
     # The transform over one element binds the value, so that it is written once in the plan.
-    bound = F.transform(F.array(F.regexp_replace(raw, "^[\"']|[\"']$", "")), decode_entities)
+    bound = F.transform(F.array(F.regexp_replace(raw, "^[\"']|[\"']$", "")), decode_attribute)
     return F.get(bound, F.lit(0))
 
 
@@ -65,27 +65,50 @@ def attribute_of(tok: Column, name: str) -> Column:
     return F.when(F.lower(tok).contains(name), attribute(tok, name))
 
 
+# Numbers 128-159 mean the characters of the old Western code page.
+_WESTERN = bytes(range(128, 160)).decode("cp1252", errors="replace")
+# The names of the standard, and those among them that count without the semicolon, longest first.
+_NAMES = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+_BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def _code_point(number: Column) -> Column:
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     encoded = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return F.when(valid, F.decode(encoded, "UTF-32")).otherwise(F.lit("\ufffd"))
+    western = F.substring(F.lit(_WESTERN), (number - 127).cast("int"), F.lit(1))
+    return F.when(number.between(128, 159) & (western != "\ufffd"), western).when(
+        valid, F.decode(encoded, "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
+def _number(digits: Column, base: int) -> Column:
+    """Value of a run of digits, whatever its leading zeros; too large for a character gives -1."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    value = F.conv(short, 16, 10) if base == 16 else short
+    return F.when(F.length(short) <= 8, value.cast("bigint")).otherwise(F.lit(-1))
 
 
 def _decode_piece(piece: Column) -> Column:
-    table = "\n".join(f"{name}\t{chr(code)}" for name, code in name2codepoint.items())
-    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
-    body = F.substring_index(F.substring(piece, 2, 1000), ";", 1)
-    hexadecimal = F.conv(F.substring(body, 3, 6), 16, 10).cast("bigint")
+    table = "\x02".join(f"{name}\x01{chars}" for name, chars in _NAMES.items())
+    names = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x01"))
+    known = F.element_at(names, F.regexp_extract(piece, "^&(.*);$", 1))
+    bare = F.regexp_extract(piece, f"^&({_BARE})", 1)
     return (
-        F.when(piece.rlike("^&#[xX][0-9a-fA-F]+;$"), _code_point(hexadecimal))
-        .when(piece.rlike("^&#[0-9]+;$"), _code_point(F.substring(body, 2, 7).try_cast("bigint")))
-        .when(piece.rlike("^&[a-zA-Z][a-zA-Z0-9]*;$"), F.coalesce(F.element_at(names, body), piece))
+        F.when(piece.rlike("^&#[xX]"), _code_point(_number(F.regexp_extract(piece, "[xX]([0-9a-fA-F]+)", 1), 16)))
+        .when(piece.rlike("^&#"), _code_point(_number(F.regexp_extract(piece, "#([0-9]+)", 1), 10)))
+        .when(piece.rlike("^&[a-zA-Z]"), F.coalesce(
+            known,
+            F.when(bare != "", F.concat(F.element_at(names, bare), F.substr(piece, F.length(bare) + 2))),
+            piece))
         .otherwise(piece)
     )
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references to characters; unknown names stay as written."""
+    """Character references to characters; unknown names stay as written.
+
+    All names of the standard count, the old ones also without their semicolon, and numbers of any
+    length; what names no character becomes U+FFFD.
+    """
     common = text
     for entity, char in COMMON_ENTITIES:
         common = F.replace(common, F.lit(entity), F.lit(char))
@@ -97,6 +120,12 @@ def decode_entities(text: Column) -> Column:
     )
 
 
+def decode_attribute(text: Column) -> Column:
+    """Like :func:`decode_entities`, but a name without semicolon stays, as in ``?a=1&copy=2``."""
+    shielded = F.regexp_replace(text, "&(?=[a-zA-Z][a-zA-Z0-9]*(?![a-zA-Z0-9;]))", "&amp;")
+    return F.when(~text.contains("&"), text).otherwise(decode_entities(shielded))
+
+
 def escape_text(text: Column) -> Column:
     """Serializer escaping of text nodes: only & < >."""
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, functions as F
 
 from pageloom.functions.text import UNSAFE_NAME, or_else, slugify, strip
@@ -44,6 +46,14 @@ EXTENSION_MIMES = {
 }
 
 
+# All other types and extensions as the standard library lists them.
+_STANDARD = mimetypes.MimeTypes()
+MIME_EXTENSIONS = {
+    **{t: _STANDARD.guess_extension(t) for t in sorted(set(_STANDARD.types_map[1].values()))}, **MIME_EXTENSIONS
+}
+EXTENSION_MIMES = {**_STANDARD.types_map[1], **EXTENSION_MIMES}
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _SPLIT, group)
 
@@ -110,9 +120,10 @@ def resolve_url(base: Column, ref: Column) -> Column:
 
 
 def unquote(text: Column) -> Column:
-    """Percent-decoding that leaves ``+`` alone and keeps undecodable text."""
-    decoded = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(decoded, text)
+    """Percent-decoding run by run: ``+`` and any ``%`` without two digits stay as they are."""
+    pieces = F.regexp_extract_all(text, F.lit("(?:%[0-9a-fA-F]{2})+|[^%]+|%"), F.lit(0))
+    decoded = F.transform(pieces, lambda p: F.when(p.rlike("^%.."), F.coalesce(F.try_url_decode(p), p)).otherwise(p))
+    return F.when(text.contains("%"), F.array_join(decoded, "")).otherwise(text)
 
 
 def url_basename(url: Column) -> Column:

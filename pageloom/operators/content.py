@@ -70,9 +70,18 @@ def select_first(nodes: DataFrame, css: str) -> DataFrame:
 
 
 def match_selector(pages: DataFrame, selectors: DataFrame) -> DataFrame:
-    """``(page_id, css)``: by host, else by the raw authority; NULL when neither is configured."""
+    """``(page_id, css)``: by host, else by the raw authority; NULL when neither is configured.
+
+    The last row of a host counts, by ``line_no`` if ``selectors`` has it; without that order, two different
+    selectors of one host are an error.
+    """
     keyed = pages.select("page_id", url_host(F.col("url")).alias("_host"), url_netloc(F.col("url")).alias("_netloc"))
-    rules = selectors.filter(F.col("css") != "")
+    if "line_no" in selectors.columns:
+        css = F.max_by("css", "line_no")
+    else:
+        several = F.raise_error(F.concat(F.lit("several selectors for host "), F.first("host")))
+        css = F.when(F.min("css") == F.max("css"), F.max("css")).otherwise(several.cast("string"))
+    rules = selectors.filter(F.col("css") != "").groupBy("host").agg(css.alias("css"))
     by_host = rules.select(F.col("host").alias("_host"), F.col("css").alias("_css_host"))
     by_netloc = rules.select(F.col("host").alias("_netloc"), F.col("css").alias("_css_netloc"))
     joined = salted_join(keyed, by_host, ["_host"], "left", "page_id")
@@ -188,29 +197,33 @@ def auto_content(nodes: DataFrame) -> DataFrame:
 
 
 def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,
-                  carry: tuple[str, ...] = ("url",), prune: bool = False) -> DataFrame:
-    """Content rows of every page with ``content_source`` (selector, auto or fallback).
+                  carry: tuple[str, ...] = ("url",), prune: bool = False, partitioned: bool = False,
+                  max_parts: int | None = None) -> DataFrame:
+    """Content rows of every page with ``content_source`` (selector, auto, fallback or unsupported).
 
     A page without content keeps one row with a NULL token, so it is never lost. ``css`` sets
-    one selector for all pages; ``selectors`` is a ``(host, css)`` table. ``prune`` as in
-    :func:`html_nodes`.
+    one selector for all pages; ``selectors`` is a ``(host, css)`` table. ``prune`` and ``partitioned`` as in
+    :func:`html_nodes`. ``fallback`` is a selector that matched nothing, ``unsupported`` one that was not
+    understood; both take the automatic content. ``max_parts``, the compounds of the longest selector, saves
+    the look at ``selectors`` while the plan is built.
     """
-    max_parts = 1
     if selectors is not None:
         css_of_page = match_selector(pages, selectors)
-        found = selectors.agg(F.max(F.size(F.split(F.trim("css"), r"\s+")))).first()[0]
-        max_parts = max(1, found or 1)
-        keyed = pages.select("page_id", *carry, "html").repartition("page_id").join(css_of_page, "page_id", "left")
+        if max_parts is None:
+            max_parts = selectors.agg(F.max(F.size(F.split(F.trim("css"), r"\s+")))).first()[0]
+        max_parts = max(1, max_parts or 1)
+        keyed = pages.select("page_id", *carry, "html")
+        keyed = (keyed if partitioned else keyed.repartition("page_id")).join(css_of_page, "page_id", "left")
         nodes = html_nodes(keyed, (*carry, "css"), partitioned=True, prune=prune)
     else:
-        nodes = html_nodes(pages, carry, prune=prune).withColumn("css", F.lit(css).cast("string"))
+        nodes = html_nodes(pages, carry, partitioned, prune).withColumn("css", F.lit(css).cast("string"))
         max_parts = len(css.split()) if css else 1
 
     rows = _selector_hit(nodes.withColumn("_parts", selector_parts(F.col("css"))), max_parts)
     rows = flag_content(rows, F.col("_hit"))
     source = (
         F.when(F.col("css").isNull(), F.lit("auto")).when(F.col("_matched"), F.lit("selector"))
-        .otherwise(F.lit("fallback"))
+        .when(selector_parts(F.col("css")).isNull(), F.lit("unsupported")).otherwise(F.lit("fallback"))
     )
     keep = F.coalesce(F.when(F.col("_matched"), F.col("_selected")).otherwise(F.col("_auto")), F.lit(False))
     rows = rows.withColumns({"content_source": source, "_keep": keep})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageloom.functions.html import cdata_wrap, html_escape
 from pageloom.functions.text import gmt_stamp, or_else, rfc1123, slugify, strip
@@ -12,6 +12,10 @@ from pageloom.functions.urls import image_title
 from pageloom.operators.skew import bucketed_prefix, ranged_prefix
 
 
+#: Step of ``bucket`` for page numbers that are known to be dense.
+DENSE = 100_000
+
+
 @dataclass(frozen=True)
 class ExportOptions:
     """Settings of one export; ``stamp`` is a parameter so that runs can be repeated."""
@@ -24,10 +28,11 @@ class ExportOptions:
     sideload: bool = False
 
 
-def assign_post_ids(pages: DataFrame, sideload: bool, order: str = "page_id", bucket: int | None = 100_000) -> DataFrame:
+def assign_post_ids(pages: DataFrame, sideload: bool, order: str = "page_id", bucket: int | None = None) -> DataFrame:
     """``(page_id, post_id)``: dense ids in page order, leaving room for each page's attachments.
 
-    ``bucket=None`` is for page numbers that are not dense.
+    ``bucket`` may be given where the numbers are known to be dense; any others, such as hashes, are counted
+    by sampled ranges.
     """
     weight = F.lit(1) + (F.col("images") if sideload else F.lit(0))
     slim = pages.select("page_id", *([] if order == "page_id" else [order]), "images")
@@ -56,11 +61,15 @@ def content_items(pages: DataFrame, ids: DataFrame, options: ExportOptions = Exp
 
 
 def attachment_items(images: DataFrame, ids: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:
-    """One item per image reference, numbered after its page."""
+    """One item per image reference, numbered after its page in the order of ``img_index``.
+
+    Numbers leave no gap, so they fit the room that ``images`` gave the page, whatever the indexes are.
+    """
     title = or_else(strip(F.col("alt")), image_title(F.col("src")))
-    rows = images.join(ids, "page_id").withColumn("title", title)
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("img_index"))
+    rows = images.join(ids, "page_id").withColumns({"title": title, "_number": number})
     return rows.select(
-        (F.col("post_id") + 1 + F.col("img_index")).alias("post_id"), F.col("post_id").alias("parent_id"),
+        (F.col("post_id") + F.col("_number")).alias("post_id"), F.col("post_id").alias("parent_id"),
         F.lit("attachment").alias("kind"), "title", F.col("src").alias("link"),
         rfc1123(_stamp(options)).alias("pub_date"), F.lit(options.author).alias("creator"),
         F.lit("").alias("content"), gmt_stamp(_stamp(options)).alias("post_date"),

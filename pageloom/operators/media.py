@@ -8,7 +8,7 @@ from pageloom.functions.html import attribute_of, decode_entities, html_escape
 from pageloom.functions.text import strip
 from pageloom.functions.urls import resolve_url, url_host
 from pageloom.operators.nodes import node_depths, opens, so_far
-from pageloom.operators.skew import bucketed_prefix, salted_join
+from pageloom.operators.skew import ranged_prefix, salted_join
 from pageloom.operators.vocab import IMAGE_TAGS
 
 # The image token around its index.
@@ -160,14 +160,16 @@ def plan_media(images: DataFrame, mode: str, results: DataFrame | None = None) -
     )
 
 
-def assign_filenames(assets: DataFrame, bucket: int = 100_000) -> DataFrame:
+def assign_filenames(assets: DataFrame) -> DataFrame:
     """``(src, name, sha256, file_name, conflict)`` from ``assets(src, name, sha256, ordinal)``.
 
+    ``ordinal`` may be of any type with an order, such as a struct of page and image.
+
     The same name with the same bytes shares a file; other bytes get ``stem-1``, ``stem-2`` in
     order of first appearance. ``conflict`` marks a generated name that another asset has by nature.
     """
     files = assets.groupBy("name", "sha256").agg(F.min("ordinal").alias("ordinal"))
-    ranked = bucketed_prefix(files, "ordinal", F.lit(1), "suffix", bucket, ("name",))
+    ranked = ranged_prefix(files, "ordinal", F.lit(1), "suffix", ("name",))
     extension = F.regexp_extract("name", r"(?<=[^.])\.[^.]*$", 0)
     stem = F.expr("substring(name, 1, length(name) - length(_ext))")
     named = ranked.withColumn("_ext", extension).withColumn(

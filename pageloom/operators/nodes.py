@@ -51,7 +51,7 @@ def html_nodes(pages: DataFrame, carry: tuple[str, ...] = ("url",), partitioned:
     tag = F.col("tag")
     kind = (
         F.when(tok.isNull(), F.lit(None).cast("string"))
-        .when(tok.startswith("<!--"), F.lit("comment"))
+        .when(tok.startswith("<!--") | tok.startswith("<?"), F.lit("comment"))
         .when(tag.isin(*RAW_TAGS) & ~F.col("closing"), F.lit("raw"))
         .when(tok.startswith("<!"), F.lit("doctype"))
         .when(tag == "", F.lit("text"))

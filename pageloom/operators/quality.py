@@ -8,11 +8,11 @@ from pageloom.functions.html import attribute_of, decode_entities
 from pageloom.functions.text import collapse_ws
 from pageloom.functions.urls import url_host, url_netloc
 from pageloom.operators.nodes import before, element_extents, opens
-from pageloom.operators.skew import bucketed_lag, bucketed_prefix, salted_join
-from pageloom.operators.vocab import ATTENTION_RULES
+from pageloom.operators.skew import bucketed_lag, bucketed_prefix, ranged_prefix, salted_join
+from pageloom.operators.vocab import ATTENTION_CLASSES, ATTENTION_CONTAINERS, ATTENTION_RULES
 
+# Fixed value: back-off of one failed attempt.
 BACKOFF_SECONDS = 1.5
-MAX_ATTEMPTS = 3
 AUTO_CONFIDENCE = 0.5
 
 
@@ -51,14 +51,18 @@ def job_progress(events: DataFrame) -> DataFrame:
 
 
 def politeness_schedule(urls: DataFrame, rate_seconds: float = 1.0, order: str = "page_id",
-                        bucket: int = 100_000) -> DataFrame:
+                        bucket: int | None = None) -> DataFrame:
     """``(page_id, netloc, start_second)``: earliest start with the given gap per authority.
 
     The position within an authority is counted in two levels, so one busy site does not end up
-    in one task.
+    in one task: by sampled ranges of ``order``, or by steps of ``bucket`` where the numbers are known
+    to be dense. Pages without URL form an authority of their own (NULL).
     """
     keyed = urls.select("page_id", *([] if order == "page_id" else [order]), url_netloc(F.col("url")).alias("netloc"))
-    ranked = bucketed_prefix(keyed, order, F.lit(1), "_before", bucket, ("netloc",))
+    if bucket is None:
+        ranked = ranged_prefix(keyed, order, F.lit(1), "_before", ("netloc",))
+    else:
+        ranked = bucketed_prefix(keyed, order, F.lit(1), "_before", bucket, ("netloc",))
     return ranked.select("page_id", "netloc", (F.col("_before") * F.lit(rate_seconds)).alias("start_second"))
 
 
@@ -71,24 +75,24 @@ def rate_audit(log: DataFrame, key: str, ident: str, rate_seconds: float, bucket
     return lagged.filter(gap < int(rate_seconds * 1_000_000)).select(ident, key, gap.alias("gap_us"))
 
 
-def retry_ledger(attempts: DataFrame) -> DataFrame:
-    """``(fetch_id, attempts, succeeded, last_error, waited)`` from ``(fetch_id, attempt, ok, error)``.
+def retry_ledger(attempts: DataFrame, max_attempts: int | None = None) -> DataFrame:
+    """``(fetch_id, attempts, succeeded, last_error, waited, over_limit)`` from ``(fetch_id, attempt, ok, error)``.
 
-    Attempts after the first success, or past the limit, do not count; each failure but the last
-    allowed one waits 1.5 s times its number.
+    Attempts after the first success do not count; each failure but the last waits 1.5 s times its
+    number. With ``max_attempts``, later attempts are counted in ``over_limit`` only.
     """
-    tried = attempts.filter(F.col("attempt") <= MAX_ATTEMPTS)
-    first_ok = F.min(F.when(F.col("ok"), F.col("attempt")))
-    summary = tried.groupBy("fetch_id").agg(
-        first_ok.alias("_first_ok"), F.max("attempt").alias("_last"),
-        F.max_by("error", F.when(~F.col("ok"), F.col("attempt"))).alias("_error"),
+    number, ok = F.col("attempt"), F.col("ok")
+    within = F.lit(True) if max_attempts is None else number <= max_attempts
+    summary = attempts.groupBy("fetch_id").agg(
+        F.min(F.when(ok & within, number)).alias("_first_ok"), F.max(F.when(within, number)).alias("_last"),
+        F.max_by("error", F.when(~ok & within, number)).alias("_error"), F.count_if(~within).alias("over_limit"),
     )
     used = F.coalesce("_first_ok", "_last")
     waits = used - 1
     return summary.select(
         "fetch_id", used.alias("attempts"), F.col("_first_ok").isNotNull().alias("succeeded"),
         F.when(F.col("_first_ok").isNull(), F.col("_error")).alias("last_error"),
-        (waits * (waits + 1) / 2 * F.lit(BACKOFF_SECONDS)).alias("waited"),
+        (waits * (waits + 1) / 2 * F.lit(BACKOFF_SECONDS)).alias("waited"), "over_limit",
     )
 
 
@@ -96,7 +100,10 @@ def retry_ledger(attempts: DataFrame) -> DataFrame:
 
 
 def _attention() -> Column:
+    names = F.lower(F.concat_ws(" ", attribute_of(F.col("tok"), "class"), attribute_of(F.col("tok"), "id")))
     reason = F.lit(None).cast("string")
+    for name, pattern in reversed(ATTENTION_CLASSES):
+        reason = F.when(opens(*ATTENTION_CONTAINERS) & names.rlike(pattern), F.lit(name)).otherwise(reason)
     for tag, name in reversed(ATTENTION_RULES):
         reason = F.when(opens(tag), F.lit(name)).otherwise(reason)
     return reason
@@ -160,23 +167,26 @@ def classify_structures(nodes: DataFrame, patterns: DataFrame, min_confidence: f
 
 
 def learn_patterns(patterns: DataFrame, findings: DataFrame) -> DataFrame:
-    """New ``(shape, block_type, confidence, n_confirmed)`` snapshot from ``findings(shape, block_type, confirmed)``.
+    """New ``(shape, block_type, confidence, n_confirmed, n_seen)`` snapshot from ``findings(shape, block_type, confirmed)``.
 
     Old snapshot and findings are counted in one aggregation. Confidence is the share of
-    confirmations, smoothed by one of each kind.
+    confirmations among the sightings ``n_seen``, smoothed by one of each kind.
     """
-    seen = F.round(F.col("n_confirmed") / F.col("confidence")).cast("bigint")
-    old = patterns.select("shape", "block_type", F.col("n_confirmed").alias("_ok"), seen.alias("_seen"))
+    old = patterns.select("shape", "block_type", F.col("n_confirmed").alias("_ok"), F.col("n_seen").alias("_seen"))
     new = findings.groupBy("shape", "block_type").agg(F.count_if("confirmed").alias("_ok"), F.count("*").alias("_seen"))
     merged = old.unionByName(new).groupBy("shape", "block_type").agg(F.sum("_ok").alias("_ok"), F.sum("_seen").alias("_seen"))
     return merged.select(
         "shape", "block_type", F.round((F.col("_ok") + 1) / (F.col("_seen") + 2), 4).alias("confidence"),
-        F.col("_ok").alias("n_confirmed"),
+        F.col("_ok").alias("n_confirmed"), F.col("_seen").alias("n_seen"),
     )
 
 
-def pick_template(blocks: DataFrame, templates: DataFrame) -> DataFrame:
-    """``(page_id, template, score)``: the template whose block vocabulary overlaps most with the page's."""
+def pick_template(blocks: DataFrame, templates: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``(page_id, template, score)``: the template whose block vocabulary overlaps most with the page's.
+
+    A page that shares no block type with any template has template NULL and score 0; ``pages`` adds those
+    that have no block at all.
+    """
     used = blocks.select("page_id", "block_type").distinct()
     vocabulary = templates.select("template", "block_type").distinct()
     sizes = vocabulary.groupBy("template").agg(F.count("*").alias("_theirs"))
@@ -189,14 +199,18 @@ def pick_template(blocks: DataFrame, templates: DataFrame) -> DataFrame:
     scored = salted_join(pairs, sizes, ["template"], "inner", "page_id").withColumn(
         "score", F.round(F.col("_both") / (F.col("_mine") + F.col("_theirs") - F.col("_both")), 4))
     best = F.min_by(F.struct("template", "score"), F.struct(-F.col("score"), F.col("template")))
-    return scored.groupBy("page_id").agg(best.alias("_b")).select("page_id", "_b.*")
+    chosen = scored.groupBy("page_id").agg(best.alias("_b"))
+    every = (blocks if pages is None else pages).select("page_id").distinct()
+    return every.join(chosen, "page_id", "left").select(
+        "page_id", F.col("_b.template").alias("template"), F.coalesce("_b.score", F.lit(0.0)).alias("score"))
 
 
 def template_conformance(blocks: DataFrame, chosen: DataFrame, templates: DataFrame) -> DataFrame:
     """``(page_id, block_pos, block_type, problem)``: blocks the template lacks, out of order, or at another level."""
     sections = templates.groupBy("template", "block_type").agg(
         F.min("section_pos").alias("_section"), F.collect_set("level").alias("_levels"))
-    rows = salted_join(blocks.join(chosen.select("page_id", "template"), "page_id"), sections,
+    known = chosen.filter(F.col("template").isNotNull()).select("page_id", "template")
+    rows = salted_join(blocks.join(known, "page_id"), sections,
                        ["template", "block_type"], "left", "page_id")
     order = Window.partitionBy("page_id").orderBy("block_pos")
     previous = F.last("_section", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -14,8 +14,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
     """Join to a table with unique keys, spreading each left key over ``salts`` tasks.
 
     ``how`` is left, inner, left_semi or left_anti. The right side is repeated ``salts``
-    times, so it should be the smaller, deduplicated one; Spark may still broadcast it when
-    its own size check allows.
+    times, so it should be the smaller one; its keys must be unique, as each row of a key counts
+    (callers aggregate by ``on`` first). Spark may still broadcast it when its own size check allows.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -24,6 +24,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join in which a NULL key equals a NULL key; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & left[c].eqNullSafe(renamed[f"_on_{c}"])
+    return left.join(renamed, condition, how).drop(*[f"_on_{c}" for c in on])
+
+
 def bucketed_prefix(df: DataFrame, order: str, weight: Column, name: str, bucket: int = 100_000,
                     by: tuple[str, ...] = ()) -> DataFrame:
     """Sum of ``weight`` over all earlier rows (by unique integer ``order``), per ``by`` keys.
@@ -45,7 +54,7 @@ def bucketed_prefix(df: DataFrame, order: str, weight: Column, name: str, bucket
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(offsets, [*keys, "_bucket"])
+        null_safe_join(rows, offsets, [*keys, "_bucket"])
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
         .drop("_weight", "_bucket", "_offset")
     )
@@ -56,9 +65,10 @@ def ranged_prefix(df: DataFrame, order: str, weight: Column, name: str, by: tupl
     """Like :func:`bucketed_prefix` for sparse or uneven ``order`` values, such as hashes.
 
     Buckets are ``parts`` sampled ranges of equal size. They are written out before use, since
-    sampling again could cut elsewhere; ``df`` should hold only the columns needed here.
+    sampling again could cut elsewhere; ``df`` should hold only the columns needed here. A row without an
+    ``order`` value comes first.
     """
-    count = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.withColumn("_weight", weight.cast("bigint")).repartitionByRange(count, order)
     rows = materialize(ranged.withColumn("_bucket", F.spark_partition_id()))
     keys = list(by)
@@ -67,7 +77,7 @@ def ranged_prefix(df: DataFrame, order: str, weight: Column, name: str, by: tupl
     offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(offsets, [*keys, "_bucket"])
+        null_safe_join(rows, offsets, [*keys, "_bucket"])
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
         .drop("_weight", "_bucket", "_offset")
     )
@@ -86,7 +96,7 @@ def bucketed_lag(df: DataFrame, by: str, order: Column, value: str, name: str, b
         by, "_bucket", F.lag("_last").over(Window.partitionBy(by).orderBy("_bucket")).alias("_carried")
     )
     return (
-        rows.join(previous, [by, "_bucket"])
+        null_safe_join(rows, previous, [by, "_bucket"])
         .withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_carried")))
         .drop("_bucket", "_order", "_carried")
     )

@@ -43,15 +43,18 @@ def drop_boilerplate_headings(heads: DataFrame, dim: DataFrame | None = None) ->
     return heads.filter(F.col("text") != "").join(dim, matched, "left_anti")
 
 
-def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def page_titles(pages: DataFrame, nodes: DataFrame | None = None, skip: tuple[str, ...] = BOILERPLATE_HEADINGS,
+                cta_id: str | None = CTA_ID, partitioned: bool = False) -> DataFrame:
     """``(page_id, url, title, title_source)``.
 
+    ``skip`` lists headings (lower case) and ``cta_id`` the id of an element that belong to a site's template.
+
     Cascade: override, first content heading, ``<title>`` without its suffix, ``og:title``,
     "Untitled". One pass over the nodes: every candidate becomes a slot row, then two
     aggregations on the page's own partition pick the winner.
     """
     carry = tuple(c for c in ("url", "title_override") if c in pages.columns)
-    base = html_nodes(pages, carry, prune=True) if nodes is None else nodes
+    base = html_nodes(pages, carry, partitioned, prune=True) if nodes is None else nodes
     override = F.col("title_override") if "title_override" in base.columns else F.lit(None).cast("string")
 
     # All page-ordered flags in shared window operators, so that the page is scanned once.
@@ -66,8 +69,8 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     # Body text is done with; only text of headings and titles goes through the windows below.
     needless = (F.col("kind") == "text") & (F.col("_in_heading") == 0) & (F.col("_in_title") == 0) & (F.col("pos") > 0)
     flagged = flagged.filter(~F.coalesce(needless, F.lit(False)))
-    cta = F.col("_work") & (F.col("kind") == "open") & (attribute_of(F.col("tok"), "id") == CTA_ID)
-    flagged = flag_first(flagged, cta, "_cta")
+    cta = F.col("_work") & (F.col("kind") == "open") & (attribute_of(F.col("tok"), "id") == cta_id)
+    flagged = flag_first(flagged, F.coalesce(cta, F.lit(False)), "_cta")
 
     is_text = F.col("kind") == "text"
     og = (F.col("tag") == "meta") & (attribute_of(F.col("tok"), "property") == "og:title")
@@ -95,7 +98,7 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             F.min_by("_text", "pos").alias("_first"),
         )
     )
-    usable = (F.col("_slot") >= 0) & (F.col("_text") != "") & ~F.lower("_text").isin(*BOILERPLATE_HEADINGS)
+    usable = (F.col("_slot") >= 0) & (F.col("_text") != "") & ~F.lower("_text").isin(*skip)
     picked = slots.groupBy("page_id", "url").agg(
         F.max("_override").alias("_override"),
         F.min_by("_text", F.when(usable, F.col("_slot"))).alias("_heading"),

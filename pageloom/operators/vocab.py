@@ -17,7 +17,7 @@ WHITELIST = (
     "h2", "h3", "h4", "p", "ul", "ol", "li", "blockquote", "pre", "code", "table", "thead",
     "tbody", "tr", "th", "td", "strong", "em", "a", "br", "hr", "sup", "sub",
 )
-TAG_RENAMES = {"h1": "h2", "b": "strong", "i": "em"}
+TAG_RENAMES = {"h1": "h2", "h5": "h4", "h6": "h4", "b": "strong", "i": "em"}
 INLINE_TAGS = ("a", "strong", "em", "b", "i", "code", "br", "sup", "sub", "u")
 IMAGE_TAGS = ("img", "graphic")
 HEADING_TAGS = ("h1", "h2", "h3")
@@ -43,6 +43,13 @@ BOILERPLATE_CONTAINERS = ("div", "section", "ul", "ol", "p", "span", "aside")
 # Elements a person has to look at, and what to call them in the report.
 ATTENTION_RULES = (("form", "form"), ("iframe", "embed"), ("video", "video"), ("object", "embed"),
                    ("canvas", "widget"), ("select", "widget"))
+# Containers whose class or id announces a part that scripts fill.
+ATTENTION_CONTAINERS = ("div", "section", "ul")
+ATTENTION_CLASSES = (
+    ("slider", r"(^|[\s_-])(slider|carousel|slideshow|swiper|slick)($|[\s_-])"),
+    ("map", r"(^|[\s_-])(map|gmap|maps|leaflet|mapbox)($|[\s_-])"),
+    ("widget", r"(^|[\s_-])(widget|calculator|booking)($|[\s_-])"),
+)
 EMBED_PROVIDERS = (
     ("youtube", "video", r"^https?://(www\.)?(youtube\.com|youtube-nocookie\.com|youtu\.be)/"),
     ("vimeo", "video", r"^https?://(www\.|player\.)?vimeo\.com/"),

@@ -81,7 +81,7 @@ def assign_post_ids(spark, sf_dir):
 
 def content_items(spark, sf_dir):
     pages = _converted(spark, sf_dir)
-    return X.content_items(pages, X.assign_post_ids(pages, sideload=False))
+    return X.content_items(pages, X.assign_post_ids(pages, sideload=False, bucket=X.DENSE))
 
 
 def _images(spark, sf_dir) -> DataFrame:
@@ -90,13 +90,13 @@ def _images(spark, sf_dir) -> DataFrame:
 
 
 def attachment_items(spark, sf_dir):
-    ids = X.assign_post_ids(_converted(spark, sf_dir), sideload=True)
+    ids = X.assign_post_ids(_converted(spark, sf_dir), sideload=True, bucket=X.DENSE)
     return X.attachment_items(_images(spark, sf_dir), ids)
 
 
 def item_markup(spark, sf_dir):
     pages = _converted(spark, sf_dir)
-    ids = X.assign_post_ids(pages, sideload=True)
+    ids = X.assign_post_ids(pages, sideload=True, bucket=X.DENSE)
     items = X.content_items(pages, ids).unionByName(X.attachment_items(_images(spark, sf_dir), ids))
     return items.select("post_id", F.md5(X.item_markup()).alias("item_md5"))
 
@@ -109,7 +109,7 @@ def raw_items(spark, sf_dir):
 
 def slug_collisions(spark, sf_dir):
     pages = _converted(spark, sf_dir)
-    return X.slug_collisions(X.content_items(pages, X.assign_post_ids(pages, sideload=False)))
+    return X.slug_collisions(X.content_items(pages, X.assign_post_ids(pages, sideload=False, bucket=X.DENSE)))
 
 
 def compare_exports(spark, sf_dir):
@@ -127,7 +127,7 @@ def archive_raw_pages(spark, sf_dir):
 def export_roundtrip(spark, sf_dir):
     """Items written as sharded import files and read back from them."""
     pages = _converted(spark, sf_dir)
-    ids = X.assign_post_ids(pages, sideload=True)
+    ids = X.assign_post_ids(pages, sideload=True, bucket=X.DENSE)
     items = X.content_items(pages, ids).unionByName(X.attachment_items(_images(spark, sf_dir), ids))
     path = f"{shared_folder(spark).rstrip('/')}/pageloom/{uuid.uuid4().hex}"
     sinks.write_wxr(items, path, items_per_shard=200)
@@ -160,7 +160,7 @@ def write_wxr(spark, sf_dir):
     """Shape of every written file: first and last line, and the items between them."""
     pages = _converted(spark, sf_dir)
     path = f"{shared_folder(spark).rstrip('/')}/pageloom/{uuid.uuid4().hex}"
-    sinks.write_wxr(X.content_items(pages, X.assign_post_ids(pages, sideload=False)), path, items_per_shard=100)
+    sinks.write_wxr(X.content_items(pages, X.assign_post_ids(pages, sideload=False, bucket=X.DENSE)), path, items_per_shard=100)
     files = spark.read.text(path, wholetext=True)
     return files.groupBy("shard").agg(
         F.count("*").alias("files"),

@@ -69,8 +69,10 @@ def convert_cleaned(pages: DataFrame, cleaned: DataFrame, media: DataFrame) -> D
     filled = rows.withColumn("_m", F.when(F.col("markup") != "", F.col("markup")))
     bodies = filled.groupBy("page_id").agg(
         F.coalesce(F.expr("listagg(_m, '\\n\\n') within group (order by block_id, sub, n)"), F.lit("")).alias("body"),
-        F.count("_m").alias("blocks"), F.count("img_index").alias("images"),
+        F.count("_m").alias("blocks"),
     )
+    # All images of the page count, those whose token was lost too, as attachments number them all.
+    bodies = bodies.join(media.groupBy("page_id").agg(F.count("*").alias("images")), "page_id", "left")
     titles = page_titles(pages).select("page_id", "title")
     empty = (F.col("status") == "ok") & (F.coalesce("body", F.lit("")) == "")
     return html.drop("html").join(bodies, "page_id", "left").join(titles, "page_id").select(

@@ -142,8 +142,8 @@ def write_dual_export(spark, sf_dir):
     good = converted.filter("status = 'ok'")
     bodies = M.raw_html(extracted_rows(pages, css="article").filter("has_content")).withColumnRenamed("html", "body")
     raw = materialize(bodies.join(converted.select("page_id", "title", "images"), "page_id"))
-    items = X.content_items(good, X.assign_post_ids(good, sideload=False))
-    raw_items = X.content_items(raw, X.assign_post_ids(raw, sideload=False))
+    items = X.content_items(good, X.assign_post_ids(good, sideload=False, bucket=X.DENSE))
+    raw_items = X.content_items(raw, X.assign_post_ids(raw, sideload=False, bucket=X.DENSE))
     path = f"{shared_folder(spark).rstrip('/')}/pageloom/{uuid.uuid4().hex}"
     sinks.write_dual_export(items, raw_items, path, items_per_shard=100)
     both = sinks.read_export(spark, path).withColumn("export", F.lit("blocks")).unionByName(

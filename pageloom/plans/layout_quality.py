@@ -101,20 +101,36 @@ def politeness_schedule(spark, sf_dir):
     return Q.politeness_schedule(test_pages(spark, sf_dir), 1.5, bucket=64)
 
 
+def politeness_schedule_hot(spark, sf_dir):
+    """Hash ids, one host with a third of the pages, and pages without URL."""
+    number = F.col("page_id")
+    url = F.when(number % 3 == 0, F.lit("https://hot.example.org/p")).when(number % 7 == 0, F.lit(None)).otherwise(F.col("url"))
+    ids = F.concat(F.substring(F.md5(number.cast("string")), 1, 15), F.lit(""))
+    pages = test_pages(spark, sf_dir).select(F.conv(ids, 16, 10).cast("bigint").alias("page_id"), url.alias("url"))
+    return Q.politeness_schedule(pages, 1.5)
+
+
 def rate_audit(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return Q.rate_audit(events, "user_id", "event_id", 600.0, 86_400)
 
 
-def retry_ledger(spark, sf_dir):
+def _attempts(spark, sf_dir) -> DataFrame:
     """Fetches of up to four attempts each, from the event table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    attempts = events.select(
+    return events.select(
         F.floor(F.col("event_id") / 4).cast("bigint").alias("fetch_id"), (F.col("event_id") % 4 + 1).alias("attempt"),
         (F.col("event_type") == "purchase").alias("ok"),
         F.concat(F.col("event_type"), F.lit(" at "), F.col("event_id").cast("string")).alias("error"),
     )
-    return Q.retry_ledger(attempts)
+
+
+def retry_ledger(spark, sf_dir):
+    return Q.retry_ledger(_attempts(spark, sf_dir))
+
+
+def retry_ledger_limited(spark, sf_dir):
+    return Q.retry_ledger(_attempts(spark, sf_dir), max_attempts=3)
 
 
 def manual_attention(spark, sf_dir):
@@ -131,7 +147,8 @@ def _patterns(spark, sf_dir) -> DataFrame:
     counts = rows.groupBy(Q.shape().alias("shape")).agg(F.count("*").alias("n_confirmed"))
     block = F.when(F.col("shape") == "p", F.lit("paragraph")).when(F.col("shape").rlike("^h[1-6]"), F.lit("heading")).when(
         F.col("shape").rlike("^(ul|ol)"), F.lit("list")).otherwise("group")
-    return counts.select("shape", block.alias("block_type"), (F.lit(1.0) / (1 + F.length("shape"))).alias("confidence"), "n_confirmed")
+    return counts.select("shape", block.alias("block_type"), (F.lit(1.0) / (1 + F.length("shape"))).alias("confidence"),
+        "n_confirmed", (F.col("n_confirmed") + F.length("shape")).cast("bigint").alias("n_seen"))
 
 
 def classify_structures(spark, sf_dir):
@@ -143,8 +160,15 @@ def classify_structures(spark, sf_dir):
 def learn_patterns(spark, sf_dir):
     rows = C.content_nodes(_aug(spark, sf_dir), css="article").filter("kind = 'open'")
     findings = rows.select(Q.shape().alias("shape"), F.lit("group").alias("block_type"), (F.col("pos") % 3 != 0).alias("confirmed"))
-    old = _patterns(spark, sf_dir).withColumn("confidence", F.lit(0.5))
-    return Q.learn_patterns(old, findings)
+    return Q.learn_patterns(_patterns(spark, sf_dir), findings)
+
+
+def learn_patterns_twice(spark, sf_dir):
+    """A shape that is never confirmed, learned in two snapshots: rejections are not forgotten."""
+    rows = C.content_nodes(_aug(spark, sf_dir), css="article").filter("kind = 'open'")
+    findings = rows.select(Q.shape().alias("shape"), F.lit("group").alias("block_type"), (F.col("tag") == "p").alias("confirmed"))
+    empty = _patterns(spark, sf_dir).filter(F.lit(False))
+    return Q.learn_patterns(materialize(Q.learn_patterns(empty, findings)), findings)
 
 
 # Block vocabularies of four page kinds: template, section, block type, heading level.
@@ -162,7 +186,12 @@ def _templates(spark) -> DataFrame:
 
 
 def pick_template(spark, sf_dir):
-    return Q.pick_template(_blocks(spark, sf_dir), _templates(spark))
+    return Q.pick_template(_blocks(spark, sf_dir), _templates(spark), test_pages(spark, sf_dir))
+
+
+def pick_template_none(spark, sf_dir):
+    """Pages against templates of tables only: most share no block type and still have their row."""
+    return Q.pick_template(_blocks(spark, sf_dir), _templates(spark).filter("block_type = 'table'"), test_pages(spark, sf_dir))
 
 
 def template_conformance(spark, sf_dir):
@@ -177,6 +206,6 @@ def host_report(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     flatten_token_elements, nested_list_block, image_block_caption, embed_block, gallery_block, columns_block,
-    button_block, progress_log, job_progress, politeness_schedule, rate_audit, retry_ledger, manual_attention,
+    button_block, progress_log, job_progress, politeness_schedule, rate_audit, retry_ledger, retry_ledger_limited, politeness_schedule_hot, learn_patterns_twice, pick_template_none, manual_attention,
     placeholders, classify_structures, learn_patterns, pick_template, template_conformance, host_report,
 )}

@@ -72,7 +72,7 @@ def _results(images: DataFrame) -> DataFrame:
     size = F.length("src")
     return assets.select(
         "src", F.concat(F.lit("https://library.example.org/"), F.md5("src")).alias("url"),
-        (F.col("first_page") * 1000 + F.col("first_index")).alias("media_id"), (size % 3 != 0).alias("ok"),
+        F.conv(F.substring(F.md5("src"), 1, 12), 16, 10).cast("bigint").alias("media_id"), (size % 3 != 0).alias("ok"),
     )
 
 
@@ -96,7 +96,7 @@ def assign_filenames(spark, sf_dir):
     assets = M.distinct_assets(_images(spark, sf_dir))
     keyed = assets.select(
         "src", safe_filename(F.col("src")).alias("name"), F.sha2("src", 256).alias("sha256"),
-        (F.col("first_page") * 1000 + F.col("first_index")).alias("ordinal"),
+        F.struct("first_page", "first_index").alias("ordinal"),
     )
     return M.assign_filenames(materialize(keyed)).select("src", "name", "file_name", "conflict")
 

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.functions.text import strip
-from pageloom.operators.skew import bucketed_prefix
+from pageloom.operators.skew import ranged_prefix
+from pageloom.session import materialize
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """``(ordinal, url, title_override)`` from a text file; see :func:`parse_url_lines`."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
-    return parse_url_lines(lines)
+    """``(ordinal, url, title_override)`` from text files, in the order of path and line; see :func:`parse_url_lines`.
+
+    Lines are Spark's own rows, so a large file is read in pieces by many tasks. Their order is that of the file's
+    blocks, which the number of a row within its piece and the piece's start give.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                 F.monotonically_increasing_id().alias("row")).alias("at"),
+        F.posexplode(F.split(F.regexp_replace("value", r"\r$", ""), r"\r")).alias("part", "line"),
+    )
+    placed = materialize(lines)  # the row numbers hold for this one read
+    return parse_url_lines(placed.select(F.struct("at.path", "at.start", "at.row", "part").alias("line_no"), "line"))
 
 
 def parse_url_lines(lines: DataFrame) -> DataFrame:
-    """``(ordinal, url, title_override)`` from ``(line_no, line)``.
+    """``(ordinal, url, title_override)`` from ``(line_no, line)``; ``line_no`` may be of any type with an order.
 
     Blank and ``#`` lines go; the first ``|`` starts a forced title, which may be empty. The
     ordinal counts the lines kept.
     """
-    rows = lines.select(F.col("line_no").cast("bigint").alias("line_no"), strip(F.col("line")).alias("_line")).filter(
+    rows = lines.select("line_no", strip(F.col("line")).alias("_line")).filter(
         (F.col("_line") != "") & ~F.col("_line").startswith("#")
     )
     rest = F.expr("substring(_line, instr(_line, '|') + 1)")
@@ -29,7 +38,7 @@ def parse_url_lines(lines: DataFrame) -> DataFrame:
         "line_no", strip(F.substring_index("_line", "|", 1)).alias("url"),
         F.when(F.col("_line").contains("|"), strip(rest)).alias("title_override"),
     )
-    ranked = bucketed_prefix(parsed, "line_no", F.lit(1), "_before")
+    ranked = ranged_prefix(parsed, "line_no", F.lit(1), "_before")
     return ranked.select((F.col("_before") + 1).alias("ordinal"), "url", "title_override")
 
 

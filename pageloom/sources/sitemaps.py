@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from pageloom.functions.text import strip
 from pageloom.session import materialize
 
-MAX_SITEMAPS = 50
-MAX_URLS = 5000
-
 _SCHEMA = "url array<struct<loc: array<string>>>, sitemap array<struct<loc: array<string>>>, _corrupt_record string"
 
 
@@ -75,36 +72,77 @@ def bad_sitemaps(docs: DataFrame) -> DataFrame:
     return _parsed(docs).filter(F.col("_x").isNull() | F.col("_x._corrupt_record").isNotNull()).select("doc_url")
 
 
-def expand_sitemaps(entries: DataFrame, roots: DataFrame, max_sitemaps: int = MAX_SITEMAPS,
-                    max_urls: int = MAX_URLS) -> DataFrame:
-    """``(root_url, ordinal, url)``: page URLs below each root, in discovery order.
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Add ``_rank``, the place from 1 in ``(visit, pos)`` order per root.
 
-    Breadth first for all roots at once. Per root each sitemap is visited once, in queue order,
-    up to ``max_sitemaps``; the first ``max_urls`` distinct URLs are kept. Every level is written
-    out, so cycles end and the plan does not grow.
+    In two levels: within a visited document, whose entries are one cell of the source, and over the documents
+    before it; so a root with very many URLs is not one task.
     """
+    per_visit = rows.groupBy("root_url", "visit").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("root_url").orderBy("visit").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_visit.select("root_url", "visit", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("root_url", "visit").orderBy("pos"))
+    return rows.join(offsets, ["root_url", "visit"]).withColumn("_rank", F.col("_offset") + inside).drop("_offset")
+
+
+def _visits(entries: DataFrame, roots: DataFrame, max_sitemaps: int | None) -> tuple[DataFrame, DataFrame]:
+    """``(root_url, doc_url, visit)`` of the sitemaps visited, and ``(root_url, doc_url)`` of those left out."""
     children = entries.filter(F.col("root") == "sitemapindex").select("doc_url", "pos", F.col("loc").alias("_child"))
     first = F.lit(0).cast("bigint").alias("visit")
     visited = materialize(roots.select("root_url", F.col("root_url").alias("doc_url"), first).distinct())
-    frontier = visited
+    frontier, left_out = visited, visited.filter(F.lit(False)).select("root_url", "doc_url")
     while True:
         found = frontier.join(children, "doc_url").groupBy("root_url", F.col("_child").alias("doc_url")).agg(
             F.min(F.struct("visit", "pos")).alias("_order")
         )
-        fresh = found.join(visited, ["root_url", "doc_url"], "left_anti")
+        fresh = found.join(visited, ["root_url", "doc_url"], "left_anti").select("root_url", "doc_url", "_order.*")
         done = visited.groupBy("root_url").agg(F.max("visit").alias("_last"))
-        queue = Window.partitionBy("root_url").orderBy("_order")
-        ranked = fresh.withColumn("_rank", F.row_number().over(queue)).filter(F.col("_rank") < max_sitemaps)
-        level = ranked.join(done, "root_url").select(
-            "root_url", "doc_url", (F.col("_last") + F.col("_rank")).cast("bigint").alias("visit")
-        ).filter(F.col("visit") < max_sitemaps)
-        frontier = materialize(level)
+        level = materialize(_ranked(fresh).join(done, "root_url").select(
+            "root_url", "doc_url", (F.col("_last") + F.col("_rank")).cast("bigint").alias("visit")))
+        if max_sitemaps is not None:
+            left_out = left_out.unionByName(level.filter(F.col("visit") >= max_sitemaps).select("root_url", "doc_url"))
+            level = level.filter(F.col("visit") < max_sitemaps)
+        frontier = level
         if frontier.isEmpty():
-            break
+            return visited, left_out
         visited = visited.unionByName(frontier)
+
+
+def _found_urls(entries: DataFrame, visited: DataFrame) -> DataFrame:
+    """``(root_url, url, ordinal)`` of the distinct page URLs in visited sitemaps."""
     pages = entries.filter(F.col("root") != "sitemapindex").select("doc_url", "pos", F.col("loc").alias("url"))
     urls = visited.join(pages, "doc_url").groupBy("root_url", "url").agg(F.min(F.struct("visit", "pos")).alias("_order"))
-    number = F.row_number().over(Window.partitionBy("root_url").orderBy("_order"))
-    return urls.withColumn("ordinal", number.cast("bigint")).filter(F.col("ordinal") <= max_urls).select(
-        "root_url", "ordinal", "url"
-    )
+    return _ranked(urls.select("root_url", "url", "_order.*")).select(
+        "root_url", F.col("_rank").cast("bigint").alias("ordinal"), "url")
+
+
+def expand_sitemaps(entries: DataFrame, roots: DataFrame, max_sitemaps: int | None = None,
+                    max_urls: int | None = None) -> DataFrame:
+    """``(root_url, ordinal, url)``: page URLs below each root, in discovery order.
+
+    Breadth first for all roots at once. Per root each sitemap is visited once, in queue order. ``max_sitemaps`` and
+    ``max_urls`` limit a root, which :func:`expansion_limits` reports; without them nothing is left out. Every level
+    is written out, so cycles end and the plan does not grow.
+    """
+    visited, _ = _visits(entries, roots, max_sitemaps)
+    urls = _found_urls(entries, visited)
+    return urls if max_urls is None else urls.filter(F.col("ordinal") <= max_urls)
+
+
+def expansion_limits(entries: DataFrame, roots: DataFrame, max_sitemaps: int | None = None,
+                     max_urls: int | None = None) -> DataFrame:
+    """``(root_url, sitemaps, urls, sitemaps_left_out, urls_left_out, truncated)`` of an expansion with these limits.
+
+    What is below a sitemap that was left out is not counted.
+    """
+    visited, left_out = _visits(entries, roots, max_sitemaps)
+    over = F.lit(False) if max_urls is None else F.col("ordinal") > max_urls
+    urls = _found_urls(entries, visited).groupBy("root_url").agg(
+        F.count_if(~over).alias("urls"), F.count_if(over).alias("urls_left_out"))
+    seen = visited.groupBy("root_url").agg(F.count("*").alias("sitemaps"))
+    missed = left_out.distinct().groupBy("root_url").agg(F.count("*").alias("sitemaps_left_out"))
+    none = F.lit(0).cast("bigint")
+    return seen.join(urls, "root_url", "left").join(missed, "root_url", "left").select(
+        "root_url", "sitemaps", F.coalesce("urls", none).alias("urls"),
+        F.coalesce("sitemaps_left_out", none).alias("sitemaps_left_out"), F.coalesce("urls_left_out", none).alias("urls_left_out"),
+        (F.coalesce("sitemaps_left_out", none) + F.coalesce("urls_left_out", none) > 0).alias("truncated"))

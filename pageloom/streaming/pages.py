@@ -50,12 +50,21 @@ def latest_progress(spark: SparkSession, target: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by(fields, "batch_id").alias("_c")).select("job_id", "_c.*")
 
 
-def stream_event_dedup(events: DataFrame, keys: list[str], target: str, checkpoint: str, delay: str = "10 minutes"):
-    """Each event line once; state is kept for ``delay`` of event time only."""
-    unique = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+def stream_event_dedup(events: DataFrame, keys: list[str], target: str, checkpoint: str, delay: str | None = None):
+    """Each event line once, however late it comes.
+
+    The state then holds every key (put it on RocksDB). ``delay`` bounds it to that much event time; events
+    that come later than that are left out, and :func:`late_rows` counts them.
+    """
+    unique = events.dropDuplicates(keys) if delay is None else events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
     return _run(unique, checkpoint, lambda df, batch_id: _write_batch(df, batch_id, target))
 
 
+def late_rows(query) -> int:
+    """Rows that a finished query left out because they came after the watermark."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+
+
 def stream_new_assets(images_of: Callable[[DataFrame], DataFrame], pages: DataFrame, target: str, checkpoint: str):
     """Each image source once over the whole run, by an anti-join to the assets stored so far.
 

@@ -119,7 +119,7 @@ def test_file_names(spark):
         [("s1", "a.jpg", "h1", 1), ("s2", "a.jpg", "h1", 2), ("s3", "a.jpg", "h2", 3), ("s4", "a.jpg", "h3", 4), ("s5", "a-1.jpg", "h4", 5),
          ("s6", ".jpg", "h5", 6), ("s7", ".jpg", "h6", 7)],
         "src string, name string, sha256 string, ordinal bigint")
-    got = {r.src: (r.file_name, r.conflict) for r in M.assign_filenames(assets, bucket=2).collect()}
+    got = {r.src: (r.file_name, r.conflict) for r in M.assign_filenames(assets).collect()}
     assert got == {"s1": ("a.jpg", False), "s2": ("a.jpg", False), "s3": ("a-1.jpg", True), "s4": ("a-2.jpg", False),
                    "s5": ("a-1.jpg", False), "s6": (".jpg", False), "s7": (".jpg-1", False)}
 

@@ -115,9 +115,13 @@ def test_expansion_order_cycles_and_duplicates(spark):
 
 def test_expansion_caps(spark):
     docs = {"root": index(*[f"m{i}" for i in range(60)]), **{f"m{i}": urlset(f"u{i}") for i in range(60)}}
-    assert expand(spark, docs) == [f"u{i}" for i in range(49)]
+    assert expand(spark, docs) == [f"u{i}" for i in range(60)]
     assert expand(spark, docs, max_urls=3) == ["u0", "u1", "u2"]
     assert len(expand(spark, docs, max_sitemaps=5)) == 4
+    entries = S.sitemap_entries(spark.createDataFrame(list(docs.items()), "doc_url string, body string"))
+    roots = spark.createDataFrame([("root",)], "root_url string")
+    assert tuple(S.expansion_limits(entries, roots).first()) == ("root", 61, 60, 0, 0, False)
+    assert tuple(S.expansion_limits(entries, roots, max_sitemaps=5, max_urls=3).first()) == ("root", 5, 3, 56, 1, True)
 
 
 def test_bucketed_prefix_with_one_hot_key(spark):
@@ -159,7 +163,18 @@ def test_schedule_and_ledger(spark):
         [(1, 1, False, "e1"), (1, 2, True, None), (2, 1, False, "e1"), (2, 2, False, "e2"), (2, 3, False, "e3"), (2, 4, True, None)],
         "fetch_id bigint, attempt bigint, ok boolean, error string")
     rows = {r.fetch_id: tuple(r)[1:] for r in Q.retry_ledger(tries).collect()}
-    assert rows == {1: (2, True, None, 1.5), 2: (3, False, "e3", 4.5)}
+    assert rows == {1: (2, True, None, 1.5, 0), 2: (4, True, None, 9.0, 0)}
+    rows = {r.fetch_id: tuple(r)[1:] for r in Q.retry_ledger(tries, max_attempts=3).collect()}
+    assert rows == {1: (2, True, None, 1.5, 0), 2: (3, False, "e3", 4.5, 1)}
+
+
+def test_schedule_of_sparse_ids_keeps_pages_without_url(spark):
+    urls = spark.range(300).select(F.xxhash64("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.lit("http://hot/x")).when(
+        F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("http://h"), F.col("id"))).alias("url"))
+    rows = Q.politeness_schedule(urls, 1.0).collect()
+    assert len(rows) == 300
+    for netloc in ("hot", None):
+        assert sorted(r.start_second for r in rows if r.netloc == netloc) == [float(i) for i in range(100)]
 
 
 def test_progress_lines(spark):
@@ -171,15 +186,19 @@ def test_progress_lines(spark):
 
 
 def test_patterns_and_templates(spark):
-    old = spark.createDataFrame([("p", "paragraph", 0.5, 2)], "shape string, block_type string, confidence double, n_confirmed bigint")
+    old = spark.createDataFrame([("p", "paragraph", 0.5, 2, 4), ("b", "group", 0.0, 0, 10)],
+                                "shape string, block_type string, confidence double, n_confirmed bigint, n_seen bigint")
     findings = spark.createDataFrame([("p", "paragraph", True), ("p", "paragraph", True), ("div.x", "group", False)], "shape string, block_type string, confirmed boolean")
     got = {r.shape: (r.confidence, r.n_confirmed) for r in Q.learn_patterns(old, findings).collect()}
-    assert got == {"p": (0.625, 4), "div.x": (0.3333, 0)}
+    assert got == {"p": (0.625, 4), "div.x": (0.3333, 0), "b": (0.0833, 0)}
     templates = spark.createDataFrame([("a", 1, "heading", 2), ("a", 2, "paragraph", None), ("b", 1, "table", None)], "template string, section_pos int, block_type string, level bigint")
     blocks = spark.createDataFrame([(1, 1, "paragraph", None), (1, 2, "heading", 3), (1, 3, "table", None), (2, 1, "paragraph", None), (2, 2, "heading", 2)],
                                    "page_id bigint, block_pos bigint, block_type string, level bigint")
     chosen = Q.pick_template(blocks, templates)
     assert {r.page_id: (r.template, r.score) for r in chosen.collect()} == {1: ("a", 0.6667), 2: ("a", 1.0)}
+    others = spark.createDataFrame([(1,), (2,), (3,)], "page_id bigint")
+    only_quotes = spark.createDataFrame([("q", 1, "quote", None)], templates.schema)
+    assert {r.page_id: (r.template, r.score) for r in Q.pick_template(blocks, only_quotes, others).collect()} == {i: (None, 0.0) for i in (1, 2, 3)}
     problems = sorted(tuple(r) for r in Q.template_conformance(blocks, chosen, templates).collect())
     assert problems == [(1, 2, "heading", "other level"), (1, 3, "table", "not in template"), (2, 2, "heading", "out of order")]
 

@@ -10,7 +10,7 @@ from verification.prelude import AUG, attr, collapse, decode, esc_all, host, net
 PATTERN_ROWS = f"""{nodes_cte(AUG)}, {ARTICLE},
 sh AS (SELECT page_id, pos, tag || CASE WHEN coalesce({attr('tok', 'class')}, '') <> '' THEN '.' || {attr('tok', 'class')} ELSE '' END AS shape FROM art WHERE kind = 'open'),
 pat AS (SELECT shape, CASE WHEN shape = 'p' THEN 'paragraph' WHEN regexp_matches(shape, '^h[1-6]') THEN 'heading' WHEN regexp_matches(shape, '^(ul|ol)') THEN 'list' ELSE 'group' END AS block_type,
-   1.0 / (1 + length(shape)) AS confidence, count(*) AS n_confirmed FROM sh GROUP BY shape)"""
+   1.0 / (1 + length(shape)) AS confidence, count(*) AS n_confirmed, count(*) + length(shape) AS n_seen FROM sh GROUP BY shape)"""
 EVENTS = f"""p AS (SELECT page_id, url, {host('url')} AS job_id FROM pages), c AS (SELECT job_id, count(*) + 1 AS total FROM p GROUP BY 1)"""
 TEMPLATES = """tp(template, section_pos, block_type, level) AS (VALUES ('article',1,'heading',2),('article',2,'image',NULL),('article',3,'paragraph',NULL),
   ('rates',1,'heading',3),('rates',2,'paragraph',NULL),('rates',3,'table',NULL),('rates',4,'image',NULL),
@@ -20,6 +20,7 @@ PICK = f"""{TEMPLATES}, us AS (SELECT DISTINCT page_id, block_type FROM blk), vo
   sc AS (SELECT page_id, template, round(count(*) / ((SELECT count(*) FROM us z WHERE z.page_id = us.page_id) + (SELECT count(*) FROM vo z WHERE z.template = vo.template) - count(*)), 4) AS score
          FROM us JOIN vo USING (block_type) GROUP BY page_id, template),
   pick AS (SELECT page_id, template, score FROM sc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, template) = 1)"""
+TABLES_ONLY = PICK.replace("FROM tp)", "FROM tp WHERE block_type = 'table')")
 IMG = "('<!-- wp:image {} -->' || chr(10) || '<figure class=\"wp-block-image size-large\"><img src=\"' || url || '/i.png\" alt=\"a&quot;b\"/></figure>' || chr(10) || '<!-- /wp:image -->')"
 
 
@@ -49,6 +50,13 @@ def columns(one: str, two: str) -> str:
 STATUS = "CASE page_id % 4 WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'ok' END"
 ATT = "CASE tag WHEN 'form' THEN 'form' WHEN 'iframe' THEN 'embed' END"
 
+def ledger(where: str, over: str) -> str:
+    return f"""WITH a AS (SELECT event_id // 4 AS fetch_id, event_id % 4 + 1 AS attempt, event_type = 'purchase' AS ok, event_type || ' at ' || event_id AS error FROM events{where}),
+        s AS (SELECT fetch_id, min(attempt) FILTER (WHERE ok) AS f, max(attempt) AS l, max_by(error, attempt) FILTER (WHERE NOT ok) AS e FROM a GROUP BY 1)
+        SELECT fetch_id, coalesce(f, l) AS attempts, f IS NOT NULL AS succeeded, CASE WHEN f IS NULL THEN e END AS last_error,
+          CAST((coalesce(f, l) - 1) * coalesce(f, l) / 2 * 1.5 AS DOUBLE) AS waited, {over} AS over_limit FROM s"""
+
+
 SQL = {
     "flatten_token_elements": " UNION ALL ".join(
         f"SELECT page_id, CAST({n} AS BIGINT) AS block_pos, '{t}' AS block_type, {m} AS markup FROM pages" for n, t, m in (
@@ -78,10 +86,11 @@ SQL = {
     "politeness_schedule": f"SELECT page_id, {netloc('url')} AS netloc, CAST((row_number() OVER (PARTITION BY {netloc('url')} ORDER BY page_id) - 1) * 1.5 AS DOUBLE) AS start_second FROM pages",
     "rate_audit": "SELECT event_id, user_id, gap_us FROM (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events) "
                   "WHERE gap_us < 600000000",
-    "retry_ledger": """WITH a AS (SELECT event_id // 4 AS fetch_id, event_id % 4 + 1 AS attempt, event_type = 'purchase' AS ok, event_type || ' at ' || event_id AS error FROM events WHERE event_id % 4 < 3),
-        s AS (SELECT fetch_id, min(attempt) FILTER (WHERE ok) AS f, max(attempt) AS l, max_by(error, attempt) FILTER (WHERE NOT ok) AS e FROM a GROUP BY 1)
-        SELECT fetch_id, coalesce(f, l) AS attempts, f IS NOT NULL AS succeeded, CASE WHEN f IS NULL THEN e END AS last_error,
-          CAST((coalesce(f, l) - 1) * coalesce(f, l) / 2 * 1.5 AS DOUBLE) AS waited FROM s""",
+    "retry_ledger": ledger("", "0::BIGINT"),
+    "retry_ledger_limited": ledger(" WHERE event_id % 4 < 3", "(SELECT count(*) FROM events WHERE event_id // 4 = fetch_id AND event_id % 4 = 3)"),
+    "politeness_schedule_hot": f"""WITH h AS (SELECT ('0x' || substr(md5(page_id::VARCHAR), 1, 15))::BIGINT AS page_id,
+          CASE WHEN page_id % 3 = 0 THEN 'hot.example.org' WHEN page_id % 7 = 0 THEN NULL ELSE {netloc('url')} END AS netloc FROM pages)
+        SELECT page_id, netloc, CAST((row_number() OVER (PARTITION BY netloc ORDER BY page_id) - 1) * 1.5 AS DOUBLE) AS start_second FROM h""",
     "manual_attention": f"""WITH {nodes_cte(AUG)}, x AS (SELECT *, CASE WHEN kind = 'text' AND regexp_matches(tok, '\\S') THEN {collapse(decode('tok'))} END AS tx FROM n),
         y AS (SELECT *, last_value(tx IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_text,
           first_value(tx IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_text FROM x)
@@ -95,9 +104,12 @@ SQL = {
         SELECT page_id, pos, pn.shape, block_type, round(coalesce(CAST(confidence AS DOUBLE), 0), 4) AS confidence, CASE WHEN confidence >= 0.3 THEN 'auto' ELSE 'placeholder' END AS decision
         FROM pn LEFT JOIN pat ON pat.shape = pn.shape AND pat.shape <> 'b'""",
     "learn_patterns": f"""WITH {PATTERN_ROWS}, f AS (SELECT shape, 'group' AS block_type, count(*) FILTER (WHERE pos % 3 <> 0) AS ok, count(*) AS seen FROM sh GROUP BY shape),
-        u AS (SELECT shape, block_type, n_confirmed AS ok, n_confirmed * 2 AS seen FROM pat UNION ALL SELECT * FROM f)
-        SELECT shape, block_type, round((sum(ok) + 1) / (sum(seen) + 2), 4) AS confidence, CAST(sum(ok) AS BIGINT) AS n_confirmed FROM u GROUP BY ALL""",
-    "pick_template": f"WITH {FULL}, {PICK} SELECT * FROM pick",
+        u AS (SELECT shape, block_type, n_confirmed AS ok, n_seen AS seen FROM pat UNION ALL SELECT * FROM f)
+        SELECT shape, block_type, round((sum(ok) + 1) / (sum(seen) + 2), 4) AS confidence, CAST(sum(ok) AS BIGINT) AS n_confirmed, CAST(sum(seen) AS BIGINT) AS n_seen FROM u GROUP BY ALL""",
+    "learn_patterns_twice": f"""WITH {PATTERN_ROWS}, s AS (SELECT shape, 'group' AS block_type, 2 * count(*) AS seen, 2 * count(*) FILTER (WHERE shape = 'p' OR shape LIKE 'p.%') AS ok FROM sh GROUP BY shape)
+        SELECT shape, block_type, round((ok + 1) / (seen + 2), 4) AS confidence, CAST(ok AS BIGINT) AS n_confirmed, CAST(seen AS BIGINT) AS n_seen FROM s""",
+    "pick_template": f"WITH {FULL}, {PICK} SELECT page_id, template, coalesce(score, 0) AS score FROM (SELECT page_id FROM pages) LEFT JOIN pick USING (page_id)",
+    "pick_template_none": f"WITH {FULL}, {TABLES_ONLY} SELECT page_id, template, coalesce(score, 0) AS score FROM (SELECT page_id FROM pages) LEFT JOIN pick USING (page_id)",
     "template_conformance": f"""WITH {FULL}, {PICK}, j AS (SELECT b.page_id, b.block_pos, b.block_type, b.level,
           (SELECT min(section_pos) FROM tp WHERE tp.template = p.template AND tp.block_type = b.block_type) AS sec,
           (SELECT count(*) FROM tp WHERE tp.template = p.template AND tp.block_type = b.block_type AND tp.level IS NOT NULL AND tp.level <> b.level) AS badlev FROM blk b JOIN pick p USING (page_id)),
