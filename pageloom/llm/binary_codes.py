@@ -87,9 +87,9 @@ def _block_links(rows: pd.DataFrame, band: int, cosine: float) -> pd.DataFrame:
     x = unit_rows(raw)
     turned = x @ rotation(x.shape[1], 5)
     links, root = np.zeros(len(rows), np.int64), ids.copy()
-    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-    within = len(right) == 0
-    right = left if within else right
+    within = bool((side == 0).all())
+    left = np.flatnonzero(side <= 0)
+    right = left if within else np.flatnonzero(side > 0)
     pairs = []
     for a in range(0, len(left), TILE):
         for b in range(a if within else 0, len(right), TILE):
