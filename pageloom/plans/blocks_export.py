@@ -156,6 +156,30 @@ def convert_cleaned(spark, sf_dir):
     return done.select("page_id", "title", "blocks", "images", "status", "message", F.md5("body").alias("body_md5"))
 
 
+def convert_cleaned_checked(spark, sf_dir):
+    """Output of a cleaner that lost, repeated, invented, moved or kept its tokens; one article for every page."""
+    title = F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)", 1)
+    pages = test_pages(spark, sf_dir).select("page_id", "url", F.concat(
+        F.lit("<title>"), title, F.lit("</title><article><p>Text</p><img src='/a.png'><img src='/b.png'></article>")).alias("html"))
+    step = F.col("page_id") % 5
+    tokens = F.when(step == 0, "<p>⟦IMG_0⟧</p><p>⟦IMG_1⟧</p>").when(step == 1, "<p>⟦IMG_0⟧</p>").when(
+        step == 2, "<p>⟦IMG_0⟧</p><p>⟦IMG_0⟧</p><p>⟦IMG_1⟧</p>").when(step == 3, "<p>⟦IMG_0⟧</p><p>⟦IMG_1⟧</p><p>⟦IMG_8⟧</p>").otherwise(
+        "<p>⟦IMG_1⟧</p><p>⟦IMG_0⟧</p>")
+    cleaned = pages.select("page_id", F.concat(F.lit("<p>Text</p>"), tokens).alias("html"), F.lit(False).alias("refused"))
+    media = M.plan_media(extracted_rows(pages, css="article").filter("kind = 'image'"), "remote")
+    done = run_cleaned(pages, cleaned, media)
+    return done.select("page_id", "blocks", "images", "status", "message")
+
+
+def convert_pages_clean(spark, sf_dir):
+    """Every article with a share bar, a sign-up and a related list; none of them is published."""
+    extra = F.lit("<div class='share-bar'><p>Share me</p></div><section id='newsletter'><div><p>Sign up</p></div></section>"
+                  "<ul class='related posts'><li>More</li></ul></article>")
+    pages = _aug(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("</article>"), extra))
+    rows = convert_pages(pages, css="article", boilerplate=False)
+    return rows.select("page_id", "title", "blocks", "images", "status", F.md5("body").alias("body_md5"))
+
+
 def write_wxr(spark, sf_dir):
     """Shape of every written file: first and last line, and the items between them."""
     pages = _converted(spark, sf_dir)
@@ -173,5 +197,6 @@ TYPES = ("paragraph", "heading", "list", "quote", "code", "table", "separator",
 QUERIES = {f.__name__: f for f in (
     segment_blocks, *[_of_type(t) for t in TYPES], join_blocks, block_stats, page_outcomes, job_summary,
     assign_post_ids, content_items, attachment_items, item_markup, raw_items, slug_collisions, compare_exports,
-    archive_raw_pages, export_roundtrip, write_wxr, fallback_paragraph, convert_cleaned,
+    archive_raw_pages, export_roundtrip, write_wxr, fallback_paragraph, convert_cleaned, convert_cleaned_checked,
+    convert_pages_clean,
 )}
