@@ -12,6 +12,8 @@ from pageloom.session import materialize
 
 #: Rows of a table that may be broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
+#: Bytes of an Arrow batch that are worked on at once (one row at least).
+SLICE_BYTES = 1 << 24
 
 
 def tables(spark, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -68,16 +70,21 @@ def _typed(values, kind: pa.DataType) -> pa.Array:
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` over ``function(batch) -> dict of lists``; column types come from ``schema``."""
+    """``mapInArrow`` over ``function(batch) -> dict of lists``; column types come from ``schema``.
+
+    Batches are cut to ``SLICE_BYTES``, so that a task's memory does not follow the length of its texts.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = function(batch)
-            yield pa.RecordBatch.from_arrays([_typed(found[f.name], f.type) for f in target], schema=target)
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes))
+            for start in range(0, whole.num_rows, rows):
+                found = function(whole.slice(start, rows))
+                yield pa.RecordBatch.from_arrays([_typed(found[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
