@@ -155,7 +155,8 @@ def plan_media(images: DataFrame, mode: str, results: DataFrame | None = None) -
     usable = results.filter("ok").select(
         "src", F.col("url").alias("_url"), media.cast("bigint").alias("media_id")
     )
-    return salted_join(base, usable, ["src"], "left", "page_id").select(
+    # A plain join: adaptive execution splits the partitions of sources that very many pages use.
+    return base.join(usable, "src", "left").select(
         "page_id", "img_index", "src", F.coalesce("_url", "src").alias("url"), "media_id", "alt"
     )
 

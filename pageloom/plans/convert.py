@@ -52,10 +52,12 @@ def convert_pages(pages: DataFrame, selectors: DataFrame | None = None, css: str
     rows = extracted_rows(pages, selectors, css, prune=True, boilerplate=boilerplate, partitioned=partitioned)
     if mode in ("upload", "bundle"):
         images = rows.filter("kind = 'image'")
-        media = plan_media(images, mode, results).select(
-            "page_id", "img_index", F.col("url").alias("media_url"), "media_id"
-        )
-        rows = rows.join(media, ["page_id", "img_index"], "left")
+        # One map of images per page, so that the node rows keep their partitioning by page.
+        entry = F.struct("img_index", F.struct(F.col("url").alias("media_url"), "media_id"))
+        media = plan_media(images, mode, results).groupBy("page_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_media"))
+        found = F.when(F.col("kind") == "image", F.element_at("_media", F.col("img_index")))
+        rows = rows.join(media, "page_id", "left").withColumns(
+            {"media_url": found["media_url"], "media_id": found["media_id"]}).drop("_media")
     blocks = block_rows(clean_rows(rows), table_class, carry=CARRY)
     bodies = join_blocks(blocks, CARRY)
     titles = page_titles(pages, partitioned=partitioned).select("page_id", "title")

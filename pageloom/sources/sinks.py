@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.functions.urls import raw_file_name
 from pageloom.operators.export import FOOTER, ExportOptions, envelope_header, item_markup
+from pageloom.session import materialize
 
 
 def export_lines(items: DataFrame, options: ExportOptions = ExportOptions(), items_per_shard: int = 50_000) -> DataFrame:
@@ -26,7 +27,14 @@ def export_lines(items: DataFrame, options: ExportOptions = ExportOptions(), ite
 
 def write_wxr(items: DataFrame, path: str, options: ExportOptions = ExportOptions(),
               items_per_shard: int = 50_000) -> None:
-    """Sharded import files under ``path/shard=N``, each one importable on its own."""
+    """Sharded import files under ``path/shard=N``, each one importable on its own.
+
+    The items are written out first, so that frame and body read them instead of working them out again.
+    """
+    _write_stored(materialize(items), path, options, items_per_shard)
+
+
+def _write_stored(items: DataFrame, path: str, options: ExportOptions, items_per_shard: int) -> None:
     lines = export_lines(items, options, items_per_shard)
     (lines.repartition("shard").sortWithinPartitions("shard", "seq").select("shard", "value")
      .write.mode("overwrite").partitionBy("shard").text(path))
@@ -40,8 +48,9 @@ def write_dual_export(items: DataFrame, raw_items: DataFrame, path: str,
     an export without items.
     """
     for rows, target in ((items, path), (raw_items, f"{path}-raw")):
-        if not rows.isEmpty():
-            write_wxr(rows, target, options, items_per_shard)
+        stored = materialize(rows)
+        if not stored.isEmpty():
+            _write_stored(stored, target, options, items_per_shard)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
