@@ -14,7 +14,7 @@ from pageloom.llm.common import byte_column, hash_order, map_batches, materializ
 from pageloom.llm.toxicity import fit_logistic
 
 TEXT_VIEW, META_VIEW = 18, 40
-#: Labelled and unlabelled rows that the two classifiers are fitted on, at most.
+#: Labelled and unlabelled rows that the two classifiers are fitted on, about.
 LABELLED_ROWS, POOL_ROWS = 12_000, 12_000
 ROUNDS, SHARE = 4, 0.1
 _MARKS = [re.compile(p) for p in (rb"[&%$#*]{3}", rb"!!", rb"\|", rb"https?://", rb"[0-9]", rb"[A-Z]", rb"[.!?]", rb"\n")]
@@ -138,7 +138,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 
 def learn_quality(features: DataFrame, labels: DataFrame, train: tuple[int, int, bool] = (5, 0, False)) -> Model | None:
-    """Model from at most ``LABELLED_ROWS`` labelled and ``POOL_ROWS`` unlabelled training rows of ``views``.
+    """Model from about ``LABELLED_ROWS`` labelled and ``POOL_ROWS`` unlabelled training rows of ``views``, or all if fewer.
 
     Both are chosen by a hash of the id; the held-out part of ``train`` is in neither. None unless both labels occur.
     """
@@ -146,9 +146,17 @@ def learn_quality(features: DataFrame, labels: DataFrame, train: tuple[int, int,
     part = remainder(F.col("doc_id"), modulus)
     usable = features.filter("doc_id IS NOT NULL").filter(part == value if inside else part != value)
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    order = hash_order(F.col("doc_id"), "quality")
-    lab = usable.join(known, "doc_id").orderBy(order, "doc_id").limit(LABELLED_ROWS).toPandas()
-    pool = usable.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL_ROWS).toPandas()
+    share = F.conv(F.substring(hash_order(F.col("doc_id"), "quality"), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+    def sample(ids: DataFrame, rows: int):
+        """About ``rows`` rows: only those whose hash lies below the share that is wanted leave their tasks."""
+        wanted = min(1.0, rows / max(1, ids.count()))
+        chosen = ids.filter(share < wanted)
+        return usable.join(chosen, "doc_id").toPandas().sort_values("doc_id", kind="stable")
+
+    ids = usable.select("doc_id")
+    lab = sample(known.join(ids.distinct(), "doc_id", "left_semi"), LABELLED_ROWS)
+    pool = sample(ids.join(known, "doc_id", "left_anti").distinct(), POOL_ROWS)
     if lab.empty or lab["y"].nunique() < 2:
         return None
     stack = lambda frame, name, width: np.array(frame[name].tolist(), float).reshape(len(frame), width)
