@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,48 @@ def test_lm_base_scores_and_gain(spark, docs_of, monkeypatch):
     assert sum(got[i]["score"] for i in held) > 0.97 * sum(got[i]["base_score"] for i in held)
 
 
+def test_every_training_text_teaches_the_network(spark, docs_of, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words_of(rng, "en", 2000))) for i in range(160)]  # more than the 200,000 tokens of a former sample
+    taught = {}
+
+    def seen(name, function):
+        def run(training, *rest):
+            taught[name] = training.count()
+            return function(training, *rest)
+        return run
+
+    monkeypatch.setattr(gru_lm, "train", seen("network", gru_lm.train))
+    monkeypatch.setattr(gru_lm, "_ending_groups", seen("endings", gru_lm._ending_groups))
+    gru_lm.lm_scores(docs_of(*rows))
+    training = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows)
+    assert taught == {"network": training, "endings": training}
+
+
+def test_shards_are_dealt_over_the_rounds_once(spark, docs_of, monkeypatch):
+    rng = random.Random(13)
+    docs = docs_of(*[(i, " ".join(words_of(rng, "en", 100))) for i in range(90)])
+    counts = gru_lm.word_counts(docs).collect()
+    words = sorted((bytes(r["word"]) for r in counts), key=lambda w: (w != b"", w))[:64]
+    numbers = {bytes(r["word"]): r["n"] for r in counts}
+    vocab = gru_lm.Vocabulary({w: k for k, w in enumerate(words)}, np.array([numbers[w] for w in words]), len(words), {}, 9090,
+                              len(counts), np.full(gru_lm.GROUPS, 5.0), np.full(gru_lm.GROUPS, 0.5))
+    monkeypatch.setattr(gru_lm, "SHARD", 1000)
+    monkeypatch.setattr(gru_lm, "SMALL", 5000)
+    given = []
+    original = gru_lm.materialize
+    monkeypatch.setattr(gru_lm, "materialize", lambda df: given.append(original(df)) or given[-1])
+    flat = gru_lm.train(docs, vocab, 9090)
+    rows = given[0].collect()
+    assert len(rows) == 90 and sum(len(r["ids"]) // 2 for r in rows) == 9090 and {r["shard"] for r in rows} == set(range(9))
+    part = [r for r in rows if r["shard"] % 3 == 0]
+    batch = pa.RecordBatch.from_pylist(sorted(({"shard": r["shard"], "ids": bytes(r["ids"])} for r in part), key=lambda r: (r["shard"], r["ids"])))
+    start = gru_lm.Network(vocab).flat()
+    out = pa.Table.from_batches(list(gru_lm._train_shards([batch.slice(0, 7), batch.slice(7)], vocab, start, 0.2, 1024)))
+    assert set(out["weight"].to_pylist()) == {float(sum(len(r["ids"]) // 2 for r in part))}
+    assert np.isfinite(flat).all() and not np.allclose(flat, start)
+
+
 def test_network_is_a_distribution_and_carries_its_state():
     counts = np.arange(100, 0, -1)
     vocab = gru_lm.Vocabulary({f"w{i}".encode(): i for i in range(100)}, counts, 100, {}, 5050, 100, np.full(gru_lm.GROUPS, 5.0), np.full(gru_lm.GROUPS, 0.5))
