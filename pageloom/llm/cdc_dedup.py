@@ -81,44 +81,69 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
     return found
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, idx, digest) of every chunk with words, idx counted from 0."""
+def windows(own: list[tuple[int, int, int]], min_run: int = MIN_RUN) -> list[tuple[int, int, int]]:
+    """(digest, first chunk, chunk after the last) of the shortest runs of chunks that have ``min_run`` words.
+
+    There is one from every chunk on and one up to every chunk, so any run of ``min_run`` words or more is covered by
+    windows that lie inside it.
+    """
+    if not own:
+        return []
+    digests = np.array([c[0] for c in own], np.int64)
+    words = np.concatenate([[0], np.cumsum([c[2] for c in own])])
+    places, data = np.arange(len(own)), digests.tobytes()
+    onward = np.searchsorted(words, words[:-1] + min_run)
+    backward = np.searchsorted(words, words[1:] - min_run, "right") - 1
+    spans = set(zip(places[onward <= len(own)].tolist(), onward[onward <= len(own)].tolist()))
+    spans.update(zip(backward[backward >= 0].tolist(), (places + 1)[backward >= 0].tolist()))
+    return [(xxhash.xxh3_64_intdigest(data[8 * i: 8 * j]) - (1 << 63), i, j) for i, j in sorted(spans)]
+
+
+def window_table(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, idx, stop, digest) of every window of chunks, chunks counted from 0."""
     def run(batch):
-        ids, order, digests = [], [], []
+        ids, starts, stops, digests = [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), byte_column(batch, "text")):
-            own = chunks(text)
+            own = windows(chunks(text), min_run)
             ids += [doc] * len(own)
-            order += range(len(own))
-            digests += [c[0] for c in own]
-        return {"doc_id": ids, "idx": order, "digest": digests}
+            digests += [w[0] for w in own]
+            starts += [w[1] for w in own]
+            stops += [w[2] for w in own]
+        return {"doc_id": ids, "idx": starts, "stop": stops, "digest": digests}
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, idx int, digest bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, idx int, stop int, digest bigint")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, repeats): positions of the chunks whose content came before, in a smaller (doc_id, idx).
+def repeated_windows(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, repeats): chunks that lie in a window whose content came before, from a smaller (doc_id, idx) on.
 
-    Digests are 64 bits: a wrong match needs one in 2**64 per pair, and a removal needs a run of such.
-    Counts per digest combine before their shuffle; a digest found everywhere is spread by a salted join.
+    Each of ``repeats`` is a range of chunks: 2**32 times the first, plus the one after the last. Where a window runs into
+    its first occurrence in the same document, the chunks of the latter are left out. Digests are 64 bits: a wrong
+    match needs one in 2**64 per pair. Counts per digest combine before their shuffle; a digest found everywhere is
+    spread by a salted join.
     """
-    rows = chunk_table(docs)
+    rows = window_table(docs, min_run)
     first = materialize(rows.groupBy("digest").agg(
         F.min(F.struct("doc_id", "idx")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(
         "digest", F.col("first.doc_id").alias("first_doc"), F.col("first.idx").alias("first_idx")))
-    # Salted by the document, so that the chunks of one digest go to several tasks.
-    again = salted_join(rows, first, ["digest"], "inner", "doc_id", salts=8).filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("idx") == F.col("first_idx"))))
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("idx")).alias("repeats"))
+    # Salted by the document, so that the windows of one digest go to several tasks.
+    again = salted_join(rows, first, ["digest"], "inner", "doc_id", salts=8)
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    start = F.when(same, F.greatest(F.col("idx"), F.col("first_idx") + F.col("stop") - F.col("idx"))).otherwise(F.col("idx"))
+    again = again.filter(~(same & (F.col("idx") == F.col("first_idx")))).withColumn("start", start).filter("start < stop")
+    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set(
+        F.col("start").cast("bigint") * F.lit(1 << 32) + F.col("stop"))).alias("repeats"))
 
 
 def cut_runs(text: bytes, repeats: list[int], min_run: int = MIN_RUN) -> tuple[bytes, int, int, int]:
-    """Text without the runs of repeated chunks that have ``min_run`` words or more.
+    """Text without the runs of repeated chunks (in the ranges ``repeats``) that have ``min_run`` words or more.
 
     Returns (text, chunks, chunks cut, words cut); chunks and white space outside the runs stay as they are.
     """
     own = chunks(text)
     marked = np.zeros(len(own) + 1, bool)
-    marked[[i for i in repeats if i < len(own)]] = True
+    for place in repeats:
+        marked[place >> 32: min(place & 0xFFFFFFFF, len(own))] = True
     kept, at, cut, words_cut, i = [], 0, 0, 0, 0
     while i < len(own):
         j = i
@@ -139,7 +164,8 @@ def cut_runs(text: bytes, repeats: list[int], min_run: int = MIN_RUN) -> tuple[b
 def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, report: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; the first occurrence (by doc_id, position) stays.
 
-    Cut are runs of chunks that all came before and add up to ``min_run`` words; shorter repeats stay. The
+    Cut are runs of chunks worth ``min_run`` words that came before in the same order, next to each other in one
+    document; shorter repeats stay, and so do runs of chunks that came before in different places. The
     words of a passage before its first cut point and after its last (a few each) stay. Null texts stay
     null, empty texts empty; a text that came before as a whole becomes empty; rows that
     repeat a doc_id count as one document, so their equal chunks are not cut. n_chars, if there, follows the new
@@ -148,7 +174,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, report: bool = Fal
     """
     names = [fresh(docs, n) for n in ("chunks", "chunks_cut", "words_cut")]
     key, repeats = fresh(docs, "repeat_id"), fresh(docs, "repeats")
-    found = repeated_chunks(docs).select(F.col("doc_id").alias(key), F.col("repeats").alias(repeats))
+    found = repeated_windows(docs, min_run).select(F.col("doc_id").alias(key), F.col("repeats").alias(repeats))
     joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(F.col(key)), "left").drop(key)
     columns = list(docs.columns)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]

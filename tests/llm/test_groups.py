@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pageloom.llm.binary_codes import codes, embedding_links, estimates, rotation
-from pageloom.llm.cdc_dedup import chunk_ends, chunks, dedup_substrings, gear_hash
+from pageloom.llm.cdc_dedup import chunk_ends, chunks, dedup_substrings, gear_hash, windows
 from pageloom.llm.components import components
 from pageloom.llm.simhash_dedup import fingerprint, grid_links, keep_one, simhash_groups
 
@@ -134,6 +134,36 @@ def test_short_repeats_stay(spark, docs_of):
     assert {r["doc_id"]: r["text"] for r in dedup_substrings(docs_of(*rows)).collect()} == dict(rows)
 
 
+def test_common_phrases_are_no_passage(spark, docs_of):
+    rng = random.Random(9)
+    # Any four words in a row are common, and no 25 come twice.
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "zeta"]) for _ in range(300))) for i in range(40)]
+    words = [t.split() for _, t in rows]
+    runs = [tuple(w[k: k + 25]) for w in words for k in range(276)]
+    assert len(set(runs)) == len(runs)
+    got = {r["doc_id"]: r for r in dedup_substrings(docs_of(*rows), report=True).collect()}
+    assert {i: r["text"] for i, r in got.items()} == dict(rows)
+    assert sum(r["words_cut"] for r in got.values()) == 0
+
+
+def test_windows_cover_every_repeated_run():
+    rng = random.Random(10)
+    for _ in range(50):
+        own = [(rng.randrange(1 << 40), 0, rng.choice([2, 3, 5, 9, 40])) for _ in range(rng.randint(1, 30))]
+        spans = [(i, j) for _, i, j in windows(own)]
+        assert len(set(spans)) == len(spans) and all(sum(c[2] for c in own[i:j]) >= 25 for i, j in spans)
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                inside = {k for a, b in spans if i <= a and b <= j for k in range(a, b)}
+                assert inside == (set(range(i, j)) if sum(c[2] for c in own[i:j]) >= 25 else set())
+
+
+def test_a_repeat_in_its_own_document_leaves_one(spark, docs_of):
+    line = "one two three four five six seven eight nine ten eleven twelve."
+    got = dedup_substrings(docs_of((1, " ".join([line] * 12)))).collect()[0]["text"]
+    assert 25 <= len(got.split()) < 60 and got.startswith(line)
+
+
 def test_cdc_of_odd_rows(odd_docs):
     out = dedup_substrings(odd_docs, report=True)
     assert out.columns == [*odd_docs.columns, "chunks_1", "chunks_cut", "words_cut"]
