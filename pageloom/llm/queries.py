@@ -12,10 +12,17 @@ from pageloom.llm.cotraining import quality
 from pageloom.llm.decontaminate import contamination
 from pageloom.llm.gru_lm import lm_scores
 from pageloom.llm.license_scan import license_matches, notice_table
+from pageloom.llm.prefix_trie import conversation_trie
+from pageloom.llm.quality_rules import language_references, quality_rules
 from pageloom.llm.simhash_dedup import simhash_groups
 from pageloom.llm.source_mix import mix_plan
+from pageloom.llm.statements import SQL as STATEMENTS
+from pageloom.llm.token_alignment import align, read_files
 from pageloom.llm.toxicity import learn_grammar, toxicity
 
+#: Where the public tokenizers' files lie.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _held_out(modulus: int, value: int):
     return (remainder(F.col("doc_id"), modulus) == value).alias("held_out")
@@ -82,6 +89,24 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", _held_out(5, 0), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (conversations,) = tables(spark, sf_dir, "conversations")
+    return conversation_trie(conversations).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    (documents,) = tables(spark, sf_dir, "documents")
+    files = read_files(spark, f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    return align(documents.select(F.col("doc_id").cast("bigint"), "text"), *files)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (documents,) = tables(spark, sf_dir, "documents")
+    return quality_rules(documents, language_references(documents)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "nearest", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -90,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_cdc_dedup, op3_cotraining, op4_simhash, op5_binary_codes, op6_license_scan, op7_source_mix, op8_gru_lm,
-    op9_decontaminate, op10_byte_cnn, pipeline)}
+    op9_decontaminate, op10_byte_cnn, op11_prefix_trie, op12_token_alignment, op13_quality_rules, pipeline)}
 
 _MIX = """
 WITH sized AS (
@@ -144,4 +169,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-SQL = {"op7_source_mix": _MIX, "op9_decontaminate": _LEAKS}
+SQL = {"op7_source_mix": _MIX, "op9_decontaminate": _LEAKS, **STATEMENTS}
