@@ -47,22 +47,23 @@ def token_tag(tok: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
-def attribute(tok: Column, name: str) -> Column:
-    """Decoded value of an attribute; '' when present without a value, NULL when absent.
+def attribute(tok: Column, name: str | Column, normal: bool = False) -> Column:
+    """Decoded value of an attribute (lower-case ``name``); '' when present without a value, NULL when absent.
 
-    The first occurrence wins, and text inside another attribute's quotes never matches.
+    The first occurrence wins, and text inside another attribute's quotes never matches. ``normal`` is for tokens
+    whose character references went through :func:`normalize_entities`.
     """
     names = F.transform(F.regexp_extract_all(tok, F.lit(ATTR_PATTERN), F.lit(1)), F.lower)
     values = F.regexp_extract_all(tok, F.lit(ATTR_PATTERN), F.lit(3))
     raw = F.get(values, (F.array_position(names, name) - 1).cast("int"))
     # The transform over one element binds the value, so that it is written once in the plan.
-    bound = F.transform(F.array(F.regexp_replace(raw, "^[\"']|[\"']$", "")), decode_attribute)
+    bound = F.transform(F.array(F.regexp_replace(raw, "^[\"']|[\"']$", "")), decode_known if normal else decode_attribute)
     return F.get(bound, F.lit(0))
 
 
 def attribute_of(tok: Column, name: str) -> Column:
-    """Like :func:`attribute`, skipping the attribute scan for tokens that cannot have it."""
-    return F.when(F.lower(tok).contains(name), attribute(tok, name))
+    """Like :func:`attribute` for tokens of the node table, skipping the attribute scan for those that cannot have it."""
+    return F.when(F.lower(tok).contains(name), attribute(tok, name, normal=True))
 
 
 # Numbers 128-159 mean the characters of the old Western code page.
@@ -87,9 +88,15 @@ def _number(digits: Column, base: int) -> Column:
     return F.when(F.length(short) <= 8, value.cast("bigint")).otherwise(F.lit(-1))
 
 
-def _decode_piece(piece: Column) -> Column:
+def _decode_pieces(pieces: Column, use) -> Column:
+    """``use(piece, decoded)`` for every piece, joined. The table of names is written once."""
     table = "\x02".join(f"{name}\x01{chars}" for name, chars in _NAMES.items())
     names = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x01"))
+    joined = F.transform(F.array(names), lambda n: F.array_join(F.transform(pieces, lambda p: use(p, _decode_piece(p, n))), ""))
+    return F.get(joined, F.lit(0))
+
+
+def _decode_piece(piece: Column, names: Column) -> Column:
     known = F.element_at(names, F.regexp_extract(piece, "^&(.*);$", 1))
     bare = F.regexp_extract(piece, f"^&({_BARE})", 1)
     return (
@@ -109,20 +116,48 @@ def decode_entities(text: Column) -> Column:
     All names of the standard count, the old ones also without their semicolon, and numbers of any
     length; what names no character becomes U+FFFD.
     """
-    common = text
-    for entity, char in COMMON_ENTITIES:
-        common = F.replace(common, F.lit(entity), F.lit(char))
     pieces = F.regexp_extract_all(text, F.lit(ENTITY_PATTERN), F.lit(0))
     return (
-        F.when(~text.contains("&"), text)
-        .when(~F.regexp_replace(text, _COMMON_PATTERN, "").contains("&"), common)
-        .otherwise(F.array_join(F.transform(pieces, _decode_piece), ""))
+        F.when(~text.contains("&"), text).when(_common_only(text), decode_known(text))
+        .otherwise(_decode_pieces(pieces, lambda piece, decoded: decoded))
     )
 
 
+def _common_only(text: Column) -> Column:
+    return ~F.regexp_replace(text, _COMMON_PATTERN, "").contains("&")
+
+
+def decode_known(text: Column) -> Column:
+    """:func:`decode_entities` for text that went through :func:`normalize_entities`: a few replacements."""
+    common = text
+    for entity, char in COMMON_ENTITIES:
+        common = F.replace(common, F.lit(entity), F.lit(char))
+    return F.when(text.contains("&"), common).otherwise(text)
+
+
+def normalize_entities(tok: Column, in_tag: Column) -> Column:
+    """A text or tag token in which only the common character references are left, and "&" that names nothing.
+
+    Done once per token, when the node table is made, so that whoever reads a token later needs a few replacements instead of the table
+    of names. Characters that mean something in markup come out as their common reference. In tags, names without semicolon stay.
+    """
+    source = F.when(in_tag, F.regexp_replace(tok, _BARE_NAME, "&amp;")).otherwise(tok)
+    pieces = F.regexp_extract_all(source, F.lit(ENTITY_PATTERN), F.lit(0))
+
+    def kept(piece: Column, decoded: Column) -> Column:
+        escaped = F.replace(escape_text(decoded), F.lit('"'), F.lit("&quot;"))
+        common = ~piece.startswith("&") | piece.rlike(f"^(?:{_COMMON_PATTERN})$")
+        return F.when(common | (piece == decoded), piece).otherwise(F.replace(escaped, F.lit("'"), F.lit("&#39;")))
+
+    return F.when(F.coalesce(~tok.contains("&") | _common_only(tok), F.lit(True)), tok).otherwise(_decode_pieces(pieces, kept))
+
+
+_BARE_NAME = "&(?=[a-zA-Z][a-zA-Z0-9]*(?![a-zA-Z0-9;]))"
+
+
 def decode_attribute(text: Column) -> Column:
     """Like :func:`decode_entities`, but a name without semicolon stays, as in ``?a=1&copy=2``."""
-    shielded = F.regexp_replace(text, "&(?=[a-zA-Z][a-zA-Z0-9]*(?![a-zA-Z0-9;]))", "&amp;")
+    shielded = F.regexp_replace(text, _BARE_NAME, "&amp;")
     return F.when(~text.contains("&"), text).otherwise(decode_entities(shielded))
 
 

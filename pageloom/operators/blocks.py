@@ -15,6 +15,7 @@ AFTER_HOISTED = 2**62  # order of a container after the images hoisted out of it
 
 
 # ---------------------------------------------------------------- markup
+# The comments, tags and classes of the target editor's blocks.
 
 
 def paragraph_block(inner: Column) -> Column:
@@ -197,9 +198,17 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
                escape_url: bool = False, carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """``(page_id, *carry, block_id, sub, block_type, level, inner_html, markup, img_index)``, empties included.
 
-    Every page has at least one row, so pages without content stay visible to the outcome stage.
+    Every page has at least one row, so pages without content stay visible to the outcome stage. Images with a ``caption`` get it;
+    rows of kind ``image`` with an ``insert`` (see :func:`pageloom.operators.layout.insert_rows`) become that block, of type ``insert_type``.
     """
-    rows = balance_inline(segment_rows(cleaned))
+    return rendered_blocks(balance_inline(segment_rows(cleaned)), table_class, escape_url, carry)
+
+
+def rendered_blocks(balanced: DataFrame, table_class: str | None = "wp-block-table__table",
+                    escape_url: bool = False, carry: tuple[str, ...] = ("url",)) -> DataFrame:
+    """:func:`block_rows` from rows that :func:`balance_inline` gave."""
+    rows = balanced
+    extra = [c for c in ("caption", "insert", "insert_type") if c in rows.columns]
     if "media_url" not in rows.columns:
         rows = rows.withColumn("media_url", F.col("src")).withColumn("media_id", F.lit(None).cast("bigint"))
     text = F.coalesce(F.expr("listagg(piece, '') within group (order by k1, k2, k3)"), F.lit(""))
@@ -208,6 +217,7 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
     items = rows.withColumn("_tag", tag_here).groupBy("page_id", *carry, "block_id", "sub", "item_id").agg(
         F.max("_tag").alias("tag"), text.alias("inner"), F.max("img_index").alias("img_index"),
         F.max("media_url").alias("media_url"), F.max("media_id").alias("media_id"), F.max("alt").alias("alt"),
+        *[F.max(F.when(F.col("kind") == "image", F.col(c))).alias(c) for c in extra],
     )
     item = F.when(F.col("item_id") > 0, F.when(F.col("tag").isin(*LISTS), list_item(strip(F.col("inner"))))
                   .when(F.col("tag") == "blockquote", paragraph_block(strip(F.col("inner")))))
@@ -218,7 +228,7 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
         F.expr("listagg(_item, '\\n') within group (order by item_id)").alias("_items"),
         F.max("item_id").alias("_last_item"),
         F.max("img_index").alias("img_index"), F.max("media_url").alias("media_url"),
-        F.max("media_id").alias("media_id"), F.max("alt").alias("alt"),
+        F.max("media_id").alias("media_id"), F.max("alt").alias("alt"), *[F.max(c).alias(c) for c in extra],
     )
     tag, inner = F.coalesce("tag", F.lit("text")), strip(F.col("inner"))
     level = F.when(tag.isin(*HEADINGS), F.least(F.greatest(F.substring(tag, 2, 1).try_cast("int"), F.lit(2)), F.lit(4)))
@@ -230,6 +240,12 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
         .when(tag == "table", F.lit("table")).when(tag == "hr", F.lit("separator"))
         .when(tag == "image", F.lit("image")).otherwise(F.lit("paragraph"))
     )
+    image = image_block(F.col("media_url"), F.col("alt"), F.col("media_id"), escape_url)
+    if "caption" in extra:
+        captioned = image_block_caption(F.col("media_url"), F.col("alt"), F.col("caption"))
+        image = F.when(F.coalesce("caption", F.lit("")) != "", captioned).otherwise(image)
+    if "insert" in extra:
+        kind, image = F.coalesce("insert_type", kind), F.coalesce("insert", image)
     markup = (
         F.when(tag.isin(*HEADINGS), heading_block(level, inner))
         .when(tag.isin(*LISTS), list_block(tag, items_text))
@@ -237,7 +253,7 @@ def block_rows(cleaned: DataFrame, table_class: str | None = "wp-block-table__ta
         .when(tag == "pre", code_block(F.col("inner")))
         .when(tag == "table", table_block(F.col("inner"), table_class))
         .when(tag == "hr", separator_block())
-        .when(tag == "image", image_block(F.col("media_url"), F.col("alt"), F.col("media_id"), escape_url))
+        .when(tag == "image", image)
         .when(tag == "break", F.lit(""))
         .otherwise(paragraph_block(inner))
     )

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.html import attribute_of, decode_entities
+from pageloom.functions.html import attribute_of, decode_known
 from pageloom.functions.text import collapse_ws, word_count
 from pageloom.functions.urls import resolve_url, url_host, url_netloc
 from pageloom.operators.nodes import (
     before, body_nodes, closes, element_extents, first_element, flag_first, html_nodes, node_depth, node_depths, opens,
     page, whole_page, so_far,
 )
+from pageloom.operators.selectors import is_structural, structural_hits, structural_steps
 from pageloom.operators.skew import salted_join
 from pageloom.operators.vocab import BLOCK_TAGS, CHROME_TAGS, IMAGE_TAGS
 
+_STRUCTURAL = re.compile(r"[>+~,*:\[]")
 MIN_BLOCK_WORDS = 15
 MAX_LINK_SHARE = 3  # a block is dropped when more than one word in three is link text
 
@@ -46,9 +50,17 @@ def _matches(part: Column) -> Column:
     )
 
 
-def _selector_hit(nodes: DataFrame, max_parts: int) -> DataFrame:
-    """Add boolean ``_hit``: the node matches the page's selector (column ``_parts``)."""
+def _selector_hit(nodes: DataFrame, max_parts: int, structural: bool) -> DataFrame:
+    """Add boolean ``_hit``: the node matches the page's selector (column ``css``).
+
+    Plain selectors are matched with windows that the page needs anyway. With ``structural``, the others are matched in a
+    pass over the tags of their pages, which is joined back as one row per page.
+    """
+    nodes = nodes.withColumn("_parts", selector_parts(F.col("css")))
     count = F.size("_parts")
+    if structural:
+        steps = F.when(is_structural(F.col("css")), structural_steps(F.col("css")))
+        nodes = nodes.join(structural_hits(nodes.withColumn("_steps", steps)), "page_id", "left")
     rows = nodes if max_parts == 1 else element_extents(nodes)
     hit = F.lit(False)
     for k in range(max_parts):
@@ -58,15 +70,22 @@ def _selector_hit(nodes: DataFrame, max_parts: int) -> DataFrame:
             here = here & F.coalesce(F.col("pos") <= reach, F.lit(False))
         rows = rows.withColumn(f"_m{k}", here)
         hit = F.when(count == k + 1, F.col(f"_m{k}")).otherwise(hit)
+    if structural:
+        hit = hit | F.coalesce(F.col("pos") == F.col("hit_pos"), F.lit(False))
     rows = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    return rows.drop("end_pos", *[f"_m{k}" for k in range(max_parts)])
+    return rows.drop("end_pos", "_parts", "hit_pos", *[f"_m{k}" for k in range(max_parts)])
 
 
 def select_first(nodes: DataFrame, css: str) -> DataFrame:
     """Inner nodes of the first element matching ``css`` on each page."""
-    parts = len(css.split())
-    rows = _selector_hit(nodes.withColumn("_parts", selector_parts(F.lit(css))), parts)
-    return flag_first(rows, F.col("_hit"), "_in", inner=True).filter("_in").drop("_in", "_hit", "_parts")
+    structural = _STRUCTURAL.search(css) is not None
+    rows = _selector_hit(nodes.withColumn("css", F.lit(css)), 1 if structural else len(css.split()), structural)
+    return flag_first(rows, F.col("_hit"), "_in", inner=True).filter("_in").drop("_in", "_hit", "css")
+
+
+def supported_selector(css: Column) -> Column:
+    """The selector is one of those that can be matched."""
+    return F.coalesce(selector_parts(css).isNotNull() | structural_steps(css).isNotNull(), F.lit(False))
 
 
 def match_selector(pages: DataFrame, selectors: DataFrame) -> DataFrame:
@@ -120,7 +139,7 @@ def text_blocks(nodes: DataFrame, carry: tuple[str, ...] = ("url",)) -> DataFram
     rows = _text_runs(node_depth(body_nodes(nodes), ("a",), "_in_link")).filter("_filled")
     words = word_count(F.col("tok"))
     return (
-        rows.withColumn("_text", decode_entities(F.col("tok")))
+        rows.withColumn("_text", decode_known(F.col("tok")))
         .groupBy("page_id", *carry, "block_id")
         .agg(
             F.expr("listagg(_text, '') within group (order by pos)").alias("text"),
@@ -198,32 +217,36 @@ def auto_content(nodes: DataFrame) -> DataFrame:
 
 def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,
                   carry: tuple[str, ...] = ("url",), prune: bool = False, partitioned: bool = False,
-                  max_parts: int | None = None) -> DataFrame:
+                  max_parts: int | None = None, structural: bool | None = None) -> DataFrame:
     """Content rows of every page with ``content_source`` (selector, auto, fallback or unsupported).
 
     A page without content keeps one row with a NULL token, so it is never lost. ``css`` sets
     one selector for all pages; ``selectors`` is a ``(host, css)`` table. ``prune`` and ``partitioned`` as in
     :func:`html_nodes`. ``fallback`` is a selector that matched nothing, ``unsupported`` one that was not
-    understood; both take the automatic content. ``max_parts``, the compounds of the longest selector, saves
-    the look at ``selectors`` while the plan is built.
+    understood; both take the automatic content. ``max_parts``, the compounds of the longest selector without structure, and
+    ``structural``, whether any has some (:mod:`pageloom.operators.selectors`), save the look at ``selectors`` while the plan is built.
     """
     if selectors is not None:
         css_of_page = match_selector(pages, selectors)
         if max_parts is None:
-            max_parts = selectors.agg(F.max(F.size(F.split(F.trim("css"), r"\s+")))).first()[0]
+            plain = F.when(~is_structural(F.col("css")), F.size(F.split(F.trim("css"), r"\s+")))
+            max_parts, found = selectors.agg(F.max(plain), F.max(is_structural(F.col("css")))).first()
+            structural = found if structural is None else structural
         max_parts = max(1, max_parts or 1)
+        structural = structural is None or bool(structural)
         keyed = pages.select("page_id", *carry, "html")
         keyed = (keyed if partitioned else keyed.repartition("page_id")).join(css_of_page, "page_id", "left")
         nodes = html_nodes(keyed, (*carry, "css"), partitioned=True, prune=prune)
     else:
         nodes = html_nodes(pages, carry, partitioned, prune).withColumn("css", F.lit(css).cast("string"))
-        max_parts = len(css.split()) if css else 1
+        structural = css is not None and _STRUCTURAL.search(css) is not None
+        max_parts = len(css.split()) if css and not structural else 1
 
-    rows = _selector_hit(nodes.withColumn("_parts", selector_parts(F.col("css"))), max_parts)
+    rows = _selector_hit(nodes, max_parts, structural)
     rows = flag_content(rows, F.col("_hit"))
     source = (
         F.when(F.col("css").isNull(), F.lit("auto")).when(F.col("_matched"), F.lit("selector"))
-        .when(selector_parts(F.col("css")).isNull(), F.lit("unsupported")).otherwise(F.lit("fallback"))
+        .when(~supported_selector(F.col("css")), F.lit("unsupported")).otherwise(F.lit("fallback"))
     )
     keep = F.coalesce(F.when(F.col("_matched"), F.col("_selected")).otherwise(F.col("_auto")), F.lit(False))
     rows = rows.withColumns({"content_source": source, "_keep": keep})
@@ -238,7 +261,7 @@ def content_nodes(pages: DataFrame, selectors: DataFrame | None = None, css: str
 
 def content_summary(content: DataFrame) -> DataFrame:
     """``(page_id, url, content_source, text_chars, images, is_empty)`` per page."""
-    text = F.when(F.col("kind") == "text", collapse_ws(decode_entities(F.col("tok"))))
+    text = F.when(F.col("kind") == "text", collapse_ws(decode_known(F.col("tok"))))
     marked = content.withColumn("_chars", F.length(text))
     image = F.col("tag").isin(*IMAGE_TAGS) & F.col("kind").isNotNull()
     tags = F.col("kind").isin("open", "close", "void")
@@ -257,7 +280,7 @@ def links(nodes: DataFrame) -> DataFrame:
     number = F.sum(F.when(opens("a"), 1).otherwise(0)).over(so_far()).cast("bigint")
     rows = node_depths(nodes, {"_in_link": ("a",)}, link_id=number).filter(F.col("_in_link") > 0)
     rows = rows.withColumn("_href", F.when(opens("a"), attribute_of(F.col("tok"), "href"))).withColumn(
-        "_text", F.when(F.col("kind") == "text", decode_entities(F.col("tok")))
+        "_text", F.when(F.col("kind") == "text", decode_known(F.col("tok")))
     )
     grouped = rows.groupBy("page_id", "url", "link_id").agg(
         F.min_by("_href", F.when(opens("a"), F.col("pos"))).alias("href"),
@@ -278,7 +301,7 @@ def tables(nodes: DataFrame) -> DataFrame:
         nodes, {"_in_table": ("table",), "_in_cell": ("td", "th")},
         table_no=count("table"), _tr=count("tr"), _cell=count("td", "th"),
     ).filter((F.col("_in_table") > 0) & (F.col("_in_cell") > 0))
-    rows = rows.withColumn("_text", F.when(F.col("kind") == "text", decode_entities(F.col("tok"))))
+    rows = rows.withColumn("_text", F.when(F.col("kind") == "text", decode_known(F.col("tok"))))
     cells = rows.groupBy("page_id", "table_no", "_tr", "_cell").agg(
         F.coalesce(F.expr("listagg(_text, '') within group (order by pos)"), F.lit("")).alias("text"),
         F.max(opens("th")).alias("is_header"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.html import attribute_of, decode_entities, escape_text
+from pageloom.functions.html import attribute_of, decode_known, escape_text
 from pageloom.functions.text import collapse_ws, strip_code_fence, word_count
 from pageloom.operators.media import TOKEN_PATTERN, token_text
 from pageloom.operators.nodes import before, drop_subtrees, element_extents, node_depth, opens, whole_page, so_far
@@ -72,7 +72,7 @@ def unwrap_inline(nodes: DataFrame) -> DataFrame:
 def clean_rows(indexed: DataFrame) -> DataFrame:
     """Content rows under the contract, text decoded and escaped once; the input of the block stage."""
     rows = strip_attributes(enforce_whitelist(normalize_tags(indexed), breaks=True))
-    text = escape_text(decode_entities(F.col("tok")))
+    text = escape_text(decode_known(F.col("tok")))
     return rows.withColumn("tok", F.when(F.col("kind") == "text", text).otherwise(F.col("tok")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.html import attribute_of, decode_entities, html_escape
+from pageloom.functions.html import attribute_of, decode_known, html_escape
 from pageloom.functions.text import strip
 from pageloom.functions.urls import resolve_url, url_host
 from pageloom.operators.nodes import node_depths, opens, so_far
@@ -62,7 +62,7 @@ def _with_captions(content: DataFrame) -> DataFrame:
     rows = node_depths(content, {"_in_figure": ("figure",), "_in_caption": ("figcaption",)}, _figure=figure)
     text = F.when(
         (F.col("_in_caption") > 0) & (F.col("_in_figure") > 0) & (F.col("kind") == "text"),
-        decode_entities(F.col("tok")),
+        decode_known(F.col("tok")),
     )
     whole = Window.partitionBy("page_id", "_figure").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from pageloom.functions.html import attribute_of, decode_entities, node_tokens, token_tag
+from pageloom.functions.html import attribute_of, decode_known, node_tokens, normalize_entities, token_tag
 from pageloom.operators.vocab import CHROME_TAGS, RAW_TAGS, VOID_TAGS
 
 def page() -> WindowSpec:
@@ -37,7 +37,8 @@ def html_nodes(pages: DataFrame, carry: tuple[str, ...] = ("url",), partitioned:
 
     Set ``partitioned`` when the pages come from a table bucketed by ``page_id``. ``prune`` leaves
     out scripts, styles and comments before any window sees them, often most of a page's bytes;
-    positions stay, and so does a page's first row, without its text.
+    positions stay, and so does a page's first row, without its text. Rare character references in text and tags become
+    their characters (:func:`pageloom.functions.html.normalize_entities`).
     """
     source = pages.select("page_id", *carry, "html")
     if not partitioned:
@@ -59,7 +60,10 @@ def html_nodes(pages: DataFrame, carry: tuple[str, ...] = ("url",), partitioned:
         .when(tag.isin(*VOID_TAGS), F.lit("void"))
         .otherwise(F.lit("open"))
     )
-    nodes = tagged.withColumn("kind", kind)
+    in_tag = F.col("kind").isin("open", "close", "void")
+    read = F.coalesce(in_tag | (F.col("kind") == "text"), F.lit(False))
+    nodes = tagged.withColumn("kind", kind).withColumn(
+        "tok", F.when(read, normalize_entities(F.col("tok"), in_tag)).otherwise(F.col("tok")))
     if not prune:
         return nodes
     useless = F.coalesce(F.col("kind").isin("raw", "comment", "doctype"), F.lit(False))
@@ -177,7 +181,7 @@ def drop_by_id(nodes: DataFrame, element_id: str) -> DataFrame:
 
 def visible_text(nodes: DataFrame, separator: str = "", name: str = "text") -> DataFrame:
     """Text of each page, text nodes joined with ``separator``."""
-    text = F.when(F.col("kind") == "text", decode_entities(F.col("tok")))
+    text = F.when(F.col("kind") == "text", decode_known(F.col("tok")))
     joined = F.expr(f"listagg(_text, '{separator}') within group (order by pos)")
     return (
         nodes.withColumn("_text", text).groupBy("page_id")

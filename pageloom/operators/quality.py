@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.html import attribute_of, decode_entities
+from pageloom.functions.html import attribute_of, decode_known, html_escape
 from pageloom.functions.text import collapse_ws
 from pageloom.functions.urls import url_host, url_netloc
 from pageloom.operators.nodes import before, element_extents, opens
@@ -99,7 +99,8 @@ def retry_ledger(attempts: DataFrame, max_attempts: int | None = None) -> DataFr
 # ---------------------------------------------------------------- attention
 
 
-def _attention() -> Column:
+def attention_reason() -> Column:
+    """Why a person must look at an element; NULL for all others."""
     names = F.lower(F.concat_ws(" ", attribute_of(F.col("tok"), "class"), attribute_of(F.col("tok"), "id")))
     reason = F.lit(None).cast("string")
     for name, pattern in reversed(ATTENTION_CLASSES):
@@ -116,19 +117,25 @@ def _target() -> Column:
 
 def manual_attention(nodes: DataFrame) -> DataFrame:
     """``(page_id, url, pos, reason, target, before_text, after_text)`` of elements a person must look at."""
-    text = F.when((F.col("kind") == "text") & F.col("tok").rlike(r"\S"), collapse_ws(decode_entities(F.col("tok"))))
+    text = F.when((F.col("kind") == "text") & F.col("tok").rlike(r"\S"), collapse_ws(decode_known(F.col("tok"))))
     backwards = Window.partitionBy("page_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = nodes.withColumn("_text", text).withColumn(
         "before_text", F.last("_text", ignorenulls=True).over(before())
     ).withColumn("after_text", F.last("_text", ignorenulls=True).over(backwards))
-    return rows.withColumn("reason", _attention()).filter(F.col("reason").isNotNull()).select(
+    return rows.withColumn("reason", attention_reason()).filter(F.col("reason").isNotNull()).select(
         "page_id", "url", "pos", "reason", _target().alias("target"), "before_text", "after_text"
     )
 
 
+def placeholder_text() -> Column:
+    return F.concat(
+        F.lit("<strong>[Needs manual attention: "), attention_reason(),
+        F.when(_target() != "", F.concat(F.lit(" "), html_escape(_target()))).otherwise(""), F.lit("]</strong>"))
+
+
 def placeholders(nodes: DataFrame) -> DataFrame:
     """Node rows where each element needing attention became one visible marker paragraph."""
-    rows = element_extents(nodes.withColumn("_reason", _attention()))
+    rows = element_extents(nodes.withColumn("_reason", attention_reason()))
     reach = F.max(F.when(F.col("_reason").isNotNull(), F.col("end_pos"))).over(before())
     rows = rows.withColumn("_outer", F.coalesce(F.col("pos") <= reach, F.lit(False)))
     marker = F.concat(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.functions.html import attribute_of, decode_entities
+from pageloom.functions.html import attribute_of, decode_known
 from pageloom.functions.text import strip, trim_title_suffix
 from pageloom.operators.nodes import flag_first, html_nodes, node_depths, opens, whole_page, so_far
 from pageloom.operators.vocab import BOILERPLATE_HEADINGS, CHROME_TAGS, CTA_ID, HEADING_TAGS
@@ -21,7 +21,7 @@ def headings(nodes: DataFrame) -> DataFrame:
     """
     rows = node_depths(nodes, {"_in_heading": HEADING_TAGS}, heading_id=_heading_number())
     rows = rows.filter(F.col("_in_heading") > 0)
-    rows = rows.withColumn("_text", F.when(F.col("kind") == "text", strip(decode_entities(F.col("tok")))))
+    rows = rows.withColumn("_text", F.when(F.col("kind") == "text", strip(decode_known(F.col("tok")))))
     is_open = opens(*HEADING_TAGS)
     return rows.groupBy("page_id", "heading_id").agg(
         F.min("pos").alias("pos"),
@@ -83,8 +83,8 @@ def page_titles(pages: DataFrame, nodes: DataFrame | None = None, skip: tuple[st
         .otherwise(F.lit(-3))
     )
     text = (
-        F.when(F.col("_slot") >= 0, strip(decode_entities(F.col("tok"))))
-        .when(F.col("_slot") == -1, decode_entities(F.col("tok")))
+        F.when(F.col("_slot") >= 0, strip(decode_known(F.col("tok"))))
+        .when(F.col("_slot") == -1, decode_known(F.col("tok")))
         .when(F.col("_slot") == -2, strip(attribute_of(F.col("tok"), "content")))
     )
     slots = (

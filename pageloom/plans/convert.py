@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.operators.blocks import block_rows, join_blocks
+from pageloom.operators.blocks import balance_inline, block_rows, join_blocks, rendered_blocks, segment_rows
 from pageloom.operators.content import content_nodes
 from pageloom.operators.contract import (
     clean_rows, drop_boilerplate, final_gate, ingest_cleaned, restore_lost_tokens, token_integrity, token_order,
 )
-from pageloom.operators.layout import cleaned_blocks
+from pageloom.operators.layout import MARKS, cleaned_blocks, insert_rows, mark_columns, place_blocks, with_nested_lists
 from pageloom.operators.media import index_images, plan_media
 from pageloom.operators.nodes import whole_page
 from pageloom.operators.titles import page_titles
@@ -31,7 +31,11 @@ def extracted_rows(pages: DataFrame, selectors: DataFrame | None = None, css: st
     content = content_nodes(pages, selectors, css, prune=prune, partitioned=partitioned)
     if not boilerplate:
         content = drop_boilerplate(content)
-    rows = index_images(content, extended=captions)
+    return flag_solid(index_images(content, extended=captions))
+
+
+def flag_solid(rows: DataFrame) -> DataFrame:
+    """Add ``has_content``: the page has a tag, an image or text that is not blank."""
     solid = F.col("kind").isin("open", "close", "void", "image") | (
         (F.col("kind") == "text") & F.col("tok").rlike(r"(?U)\S")
     )
@@ -58,8 +62,11 @@ def convert_pages(pages: DataFrame, selectors: DataFrame | None = None, css: str
         found = F.when(F.col("kind") == "image", F.element_at("_media", F.col("img_index")))
         rows = rows.join(media, "page_id", "left").withColumns(
             {"media_url": found["media_url"], "media_id": found["media_id"]}).drop("_media")
-    blocks = block_rows(clean_rows(rows), table_class, carry=CARRY)
-    bodies = join_blocks(blocks, CARRY)
+    return _outcomes(join_blocks(block_rows(clean_rows(rows), table_class, carry=CARRY), CARRY), pages, partitioned)
+
+
+def _outcomes(bodies: DataFrame, pages: DataFrame, partitioned: bool) -> DataFrame:
+    """Bodies with titles, a status and a message."""
     titles = page_titles(pages, partitioned=partitioned).select("page_id", "title")
     status = F.when(F.col("has_content") & (F.col("body") != ""), F.lit("ok")).otherwise("skipped")
     message = F.when(~F.col("has_content"), F.lit(NO_CONTENT)).when(F.col("body") == "", F.lit(EMPTY))
@@ -69,6 +76,28 @@ def convert_pages(pages: DataFrame, selectors: DataFrame | None = None, css: str
     )
 
 
+def convert_pages_layout(pages: DataFrame, selectors: DataFrame | None = None, css: str | None = None,
+                         table_class: str | None = "wp-block-table__table", boilerplate: bool = True,
+                         partitioned: bool = False) -> DataFrame:
+    """:func:`convert_pages` (``remote`` images) that keeps the layout, with everything at its place in the page.
+
+    Lists stay nested, side-by-side containers become columns with their blocks, runs of images galleries, figures keep their
+    captions, frames of known providers embeds and links styled as buttons buttons; forms, maps, widgets and unknown frames leave a
+    visible placeholder. The balanced node rows are written out, as blocks and nested lists both read them.
+    """
+    content = content_nodes(pages, selectors, css, prune=True, partitioned=partitioned)
+    if not boilerplate:
+        content = drop_boilerplate(content)
+    rows = mark_columns(flag_solid(index_images(insert_rows(content), extended=True)))
+    balanced = materialize(balance_inline(segment_rows(clean_rows(rows))))
+    blocks = with_nested_lists(rendered_blocks(balanced, table_class, carry=(*CARRY, *MARKS)), balanced)
+    counted = blocks.groupBy("page_id", *CARRY).agg(
+        F.count(F.when(F.col("markup") != "", 1)).alias("blocks"), F.count("img_index").alias("images"))
+    bodies = counted.join(place_blocks(blocks, galleries=True).withColumnRenamed("markup", "body"), "page_id", "left").withColumn(
+        "body", F.coalesce("body", F.lit("")))
+    return _outcomes(bodies, pages, partitioned)
+
+
 def convert_cleaned(pages: DataFrame, cleaned: DataFrame, media: DataFrame) -> DataFrame:
     """``(page_id, url, title, body, blocks, images, status, message)`` from an outside cleaner's HTML.
 

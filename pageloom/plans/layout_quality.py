@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.urls import url_host
 from pageloom.operators import blocks as B, content as C, contract as K, layout as Y, media as M, nodes as N, quality as Q
-from pageloom.plans.convert import convert_pages, extracted_rows
+from pageloom.plans.convert import convert_pages, convert_pages_layout as convert_pages_of_layout, extracted_rows
 from pageloom.session import materialize
 from pageloom.sources.tables import augmented_pages, test_pages
 
@@ -63,8 +63,42 @@ def columns_block(spark, sf_dir):
     pages = _aug(spark, sf_dir).withColumn("html", F.coalesce(html, F.col("html")))
     # Every article gets a second pair, so that all pages take part.
     pair = F.lit('<div class="row"><div class="col col-4">One <b>&amp;</b></div><div class="col col-8">Two</div></div></article>')
-    return Y.columns_block(N.html_nodes(pages.withColumn("html", F.replace(F.col("html"), F.lit("</article>"), pair)))).select(
-        "page_id", "columns", "markup")
+    pages = pages.withColumn("html", F.replace(F.col("html"), F.lit("</article>"), pair))
+    return Y.columns_block(extracted_rows(pages, css="article")).select("page_id", "columns", "markup")
+
+
+def _with_end(spark, sf_dir, *parts) -> DataFrame:
+    """Augmented pages whose article ends with ``parts`` (strings or columns)."""
+    tail = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("</article>"))
+    return _aug(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("</article>"), tail))
+
+
+def nested_list_deep(spark, sf_dir):
+    """Four levels, ordered and unordered, unclosed items, links, an image, and the page's own title in the deepest item."""
+    title = F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)", 1)
+    pages = _with_end(
+        spark, sf_dir, "<ol><li>One <a href='/x?a=1&amp;b=2' class='k'>link</a><ul><li> Two<ol><li>Three <img src='/deep.png'> tail<ul><li><b>",
+        title, "</b><li>", F.col("page_id").cast("string"), "</ul>after</li></ol></li><li></li></ul></li><li><i>Last</i></ol>")
+    return Y.nested_list_block(K.clean_rows(extracted_rows(pages, css="article"))).filter(F.col("markup").contains("Three"))
+
+
+def columns_with_blocks(spark, sf_dir):
+    """A column with image, list, heading and link, one with columns inside it, loose text, and containers that make no columns."""
+    pages = _with_end(
+        spark, sf_dir, "<div class='row'><div class='col-4'><h3>Head</h3><p>See <a href='/go'>there</a></p><img src='/c.png' alt='x'><ul><li>a</li><li>b</li></ul></div>"
+        "<div class='col-8'>Before<section class='columns'><div class='column'>", F.col("page_id").cast("string"),
+        "</div><div class='column'><p>In</p><p>ner</p></div></section>After</div>loose</div><div class='row'><p>plain</p></div><div class='col'>alone</div>")
+    rows = Y.columns_block(extracted_rows(pages, css="article"))
+    return rows.filter(F.col("markup").contains("Head")).select("page_id", "columns", "markup")
+
+
+def convert_pages_layout(spark, sf_dir):
+    """Whole conversion with nested lists, columns, a gallery, captions, embeds, buttons and placeholders in place."""
+    pages = _with_end(spark, sf_dir, "<div class='row'><div class='col-6'><ul><li>x<ol><li>y</li></ol></li></ul></div><div class='col-6'>"
+                      "<img src='/1.png'><img src='/2.png'></div></div><p>Watch <iframe src='https://vimeo.com/", F.col("page_id").cast("string"),
+                      "'></iframe> or <a class='btn' href='/buy'>buy <b>now</b></a>.</p><div class='map'><p>gone</p></div><p>End</p>")
+    done = convert_pages_of_layout(pages, css="article")
+    return done.select("page_id", "title", "content_source", "blocks", "images", "status", F.md5("body").alias("body_md5"))
 
 
 def button_block(spark, sf_dir):
@@ -205,7 +239,7 @@ def host_report(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    flatten_token_elements, nested_list_block, image_block_caption, embed_block, gallery_block, columns_block,
+    flatten_token_elements, nested_list_deep, columns_with_blocks, convert_pages_layout, nested_list_block, image_block_caption, embed_block, gallery_block, columns_block,
     button_block, progress_log, job_progress, politeness_schedule, rate_audit, retry_ledger, retry_ledger_limited, politeness_schedule_hot, learn_patterns_twice, pick_template_none, manual_attention,
     placeholders, classify_structures, learn_patterns, pick_template, template_conformance, host_report,
 )}

@@ -102,6 +102,21 @@ def select_first_class(spark, sf_dir):
     return C.select_first(_nodes(spark, sf_dir), "body div.ad").select("page_id", "pos", "tok")
 
 
+STRUCTURAL = ("table.t > tbody tr:nth-child(2), div.columns > .column ~ div", "p:hover", "article > p + p",
+              "blockquote + blockquote, ul > li > ul")
+
+
+def select_structural(spark, sf_dir):
+    """Selectors with children, siblings, lists and positions, by site; what the page's selector found, and where it came from."""
+    host = url_host(F.col("url"))
+    css = F.element_at(F.array(*[F.lit(c) for c in STRUCTURAL]), (F.length(host) % len(STRUCTURAL) + 1).cast("int"))
+    pages = _aug(spark, sf_dir)
+    content = C.content_nodes(pages, selectors=pages.select(host.alias("host"), css.alias("css")).distinct())
+    inside = F.expr("listagg(tok, '') within group (order by pos)")
+    return content.groupBy("page_id", "content_source").agg(inside.alias("inside")).select(
+        "page_id", "content_source", F.when(F.col("content_source") == "selector", F.md5("inside")).alias("inside_md5"))
+
+
 def text_blocks(spark, sf_dir):
     return C.text_blocks(_nodes(spark, sf_dir)).select("page_id", "block_id", "text", "words", "link_words")
 
@@ -169,7 +184,7 @@ def suggest_selector(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     load_pages, html_nodes, node_depth, element_extents, drop_chrome, drop_by_id, headings,
-    drop_boilerplate_headings, page_title, page_title_cascade, match_selector, select_first, select_first_class,
+    drop_boilerplate_headings, page_title, page_title_cascade, match_selector, select_first, select_first_class, select_structural,
     text_blocks, auto_content, site_boilerplate, drop_site_boilerplate, resolve_content, filter_empty_content,
     visible_text, links, tables, duplicate_content, meta_duplication, suggest_selector,
 )}

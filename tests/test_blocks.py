@@ -196,7 +196,7 @@ def test_layout_blocks(pages_of):
     nodes = N.html_nodes(pages_of((URL, html)))
     assert [(r.provider, r.url) for r in Y.embed_block(nodes).collect()] == [("youtube", "https://youtu.be/x")]
     assert ['href="https://h.org/b">B &amp; c</a>' in r.markup for r in Y.button_block(nodes).collect()] == [True]
-    row = Y.columns_block(nodes).first()
+    row = Y.columns_block(extracted_rows(pages_of((URL, f"<main>{html}</main>")), css="main")).first()
     assert row.columns == 2 and row.markup.count('{"width":"50%"}') == 2
     from pageloom.operators.quality import manual_attention, placeholders
     assert [(r.reason, r.target, r.before_text, r.after_text) for r in manual_attention(nodes).collect()] == [("embed", "https://maps.example/", "R", None)]

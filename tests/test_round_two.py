@@ -60,7 +60,7 @@ def test_one_selector_counts_per_host(spark, pages_of):
 
 
 def test_unsupported_selectors_are_told_apart(spark, pages_of):
-    selectors = spark.createDataFrame([("a", "body > p"), ("b", ".missing")], "host string, css string")
+    selectors = spark.createDataFrame([("a", "body p:hover"), ("b", ".missing")], "host string, css string")
     pages = pages_of(("https://a/", "<p>x</p>"), ("https://b/", "<p>x</p>"))
     rows = C.content_summary(C.content_nodes(pages, selectors, max_parts=3)).orderBy("page_id").collect()
     assert [r.content_source for r in rows] == ["unsupported", "fallback"]

@@ -75,7 +75,7 @@ SQL = {
         SELECT page_id, min(block_pos) AS first_pos, count(*) AS images, least(count(*), 3) AS columns, '<!-- wp:gallery {{"columns":' || least(count(*), 3)
           || ',"linkTo":"none"}} --><figure class="wp-block-gallery has-nested-images columns-' || least(count(*), 3) || '">' || chr(10) || string_agg(markup, chr(10) ORDER BY block_pos)
           || chr(10) || '</figure><!-- /wp:gallery -->' AS markup FROM g GROUP BY page_id, run HAVING count(*) > 1""",
-    "columns_block": f"SELECT page_id, CAST(2 AS BIGINT) AS columns, {columns(column('One &amp;', '33.33%'), column('Two', '66.66%'))} AS markup FROM pages "
+    "columns_block": f"SELECT page_id, CAST(2 AS BIGINT) AS columns, {columns(column('One <strong>&amp;</strong>', '33.33%'), column('Two', '66.66%'))} AS markup FROM pages "
                      f"UNION ALL SELECT page_id, 2, CASE WHEN page_id % 2 = 0 THEN {columns(column('Left side', '33.33%'), column('Right side', '66.66%'))} "
                      f"ELSE {columns(column('Left side', None), column('Right side', None))} END FROM pages WHERE page_id % 6 = 5",
     "button_block": f"""SELECT page_id, '<!-- wp:buttons --><div class="wp-block-buttons"><!-- wp:button --><div class="wp-block-button"><a class="wp-block-button__link wp-element-button" href="'
