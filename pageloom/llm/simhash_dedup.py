@@ -120,7 +120,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Data
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """``docs`` with one row per group: that with the smallest doc_id. Rows without doc_id stay.
 
-    Rows that repeat a doc_id are one document, of which one stays. The documents are shuffled once, by id
+    Rows that repeat a doc_id are one document, of which that with the smallest text stays. The documents are shuffled once, by id
     (not at all while Spark finds the dropped ids small enough to broadcast).
     """
     key = fresh(docs, "dropped_id")
@@ -132,5 +132,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     if repeated.isEmpty():
         return kept
     repeated = materialize(repeated)
-    once = kept.join(repeated, kept["doc_id"] == repeated[key], "left_semi").dropDuplicates(["doc_id"])
+    # Chosen in an aggregate that combines before its shuffle, as one id may repeat without end.
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept.columns])
+    once = kept.join(repeated, kept["doc_id"] == repeated[key], "left_semi").groupBy(F.col("doc_id").alias(key)).agg(
+        F.min_by(whole, F.struct("text", F.xxhash64(*kept.columns))).alias("row")).select("row.*")
     return kept.join(repeated, kept["doc_id"] == repeated[key], "left_anti").union(once)

@@ -164,6 +164,82 @@ def test_a_repeat_in_its_own_document_leaves_one(spark, docs_of):
     assert 25 <= len(got.split()) < 60 and got.startswith(line)
 
 
+def test_marks_never_reach_another_text_of_the_id(spark, docs_of):
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    unique = [prose(rng, 300) for _ in range(4)]
+    rows = [(1, f"{passage} {prose(rng, 40)}"), (2, f"{prose(rng, 40)} {passage}"), (2, unique[0]), (2, unique[1]),
+            (None, f"{prose(rng, 30)} {passage} {prose(rng, 30)}"), (None, unique[2]), (None, unique[3]), (7, unique[3])]
+    for limit in (None, 0):
+        if limit is not None:
+            import pageloom.llm.common as common
+            before, common.BROADCAST_ROWS = common.BROADCAST_ROWS, limit
+        got = [r["text"] for r in dedup_substrings(docs_of(*rows).repartition(3)).collect()]
+        if limit is not None:
+            common.BROADCAST_ROWS = before
+        assert len(got) == len(rows) and set(unique[:3]) <= set(got)
+        assert sum(passage in t for t in got) == 1 and sum(unique[3] in t for t in got) == 1
+
+
+def test_texts_without_white_space_are_cut(spark, docs_of):
+    rng = random.Random(12)
+    passage, heads = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1500)), ["".join(
+        chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400)) for _ in range(3)]
+    rows = [(i, h + passage + h[::-1]) for i, h in enumerate(heads)]
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(docs_of(*rows)).collect()}
+    assert got[0] == rows[0][1]
+    for i in (1, 2):
+        assert 800 <= len(got[i]) < 900 and got[i].startswith(heads[i][:380]) and got[i].endswith(heads[i][::-1][-380:])
+    same = ("a" * 5000).encode()
+    stops, words = chunk_ends(same)
+    assert stops[-1] == 5000 and words.sum() >= 5000 // 72 and (np.diff(stops, prepend=0) > 0).all()
+    whole = passage.encode()
+    for stop in chunk_ends(whole)[0]:
+        whole[:stop].decode()
+
+
+def plain_cut(docs, least=25):
+    """Texts after cutting by comparing the words of every window of chunks with all that came before, for unique ids in order."""
+    seen, out = {}, {}
+    for doc, text in sorted(docs):
+        own = chunks(text.encode())
+        marked = [False] * len(own)
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                size = sum(c[2] for c in own[i:j])
+                if size >= least and (size - own[i][2] < least or size - own[j - 1][2] < least):
+                    first = seen.setdefault(tuple(c[0] for c in own[i:j]), (doc, i))
+                    if first != (doc, i):
+                        start = max(i, first[1] + j - i) if first[0] == doc else i
+                        for k in range(start, j):
+                            marked[k] = True
+        kept, at, i, data = b"", 0, 0, text.encode()
+        while i < len(own):
+            j = i
+            while j < len(own) and marked[j]:
+                j += 1
+            if j > i and sum(c[2] for c in own[i:j]) >= least:
+                kept += data[at: own[i - 1][1] if i else 0]
+                at = own[j - 1][1]
+            i = max(j, i + 1)
+        out[doc] = (kept + data[at:]).decode()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_are_those_of_all_windows(spark, docs_of, seed):
+    rng = random.Random(100 + seed)
+    parts = [prose(rng, rng.choice([10, 30, 60])) for _ in range(8)] + ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200))]
+    rows = [(i, " ".join(rng.choice([rng.choice(parts), prose(rng, rng.choice([3, 20]))]) for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    assert {r["doc_id"]: r["text"] for r in dedup_substrings(docs_of(*rows).repartition(4)).collect()} == plain_cut(rows)
+
+
+def test_one_row_of_a_repeated_id_stays_whatever_the_order(spark, docs_of):
+    rows = [(3, "b second text of its own"), (3, "a first text of its own"), (3, "c third one"), (4, "alone")]
+    for n in (1, 3):
+        assert sorted(r["text"] for r in keep_one(docs_of(*rows).repartition(n)).collect()) == ["a first text of its own", "alone"]
+
+
 def test_cdc_of_odd_rows(odd_docs):
     out = dedup_substrings(odd_docs, report=True)
     assert out.columns == [*odd_docs.columns, "chunks_1", "chunks_cut", "words_cut"]
