@@ -120,6 +120,8 @@ QUERIES = {f.__name__: f for f in (
 _MIX = """
 WITH sized AS (
     SELECT doc_id, coalesce('s' || source, 'n') AS k, source,
+        coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(md5(text), '-') || ':'
+            || (row_number() OVER (PARTITION BY doc_id, md5(text)) - 1) AS own,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
     FROM documents
 ), totals AS (
@@ -139,7 +141,7 @@ WITH sized AS (
     SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
 )
 SELECT doc_id, size, source_size, target,
-    (size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+    (size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix:' || own), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
         < rate - floor(rate))::BIGINT))::BIGINT AS taken
 FROM sized JOIN rates USING (k)
 """

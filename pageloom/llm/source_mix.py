@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.llm.common import fresh, join_to_keys, materialize
+from pageloom.llm.common import fresh, join_to_keys, materialize, row_key
+from pageloom.operators.skew import ranged_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,22 +56,42 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), bud
     )
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """Number in [0, 1) from the seed and the id; a null id counts as empty text."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw(key: Column, seed: str) -> Column:
+    """Number in [0, 1) from the seed and a row's key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
+def numbered_keys(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``key``: id, hash of the text, and the number of the row among equal ones (from 0), in one string.
+
+    Equal rows are found by their keys; only they are numbered, in ranges of sampled bounds, so that any number of copies spreads over
+    tasks. Which of them gets which number does not matter, as they are equal.
+    """
+    number = fresh(docs, "equal_number")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    equal = materialize(keyed.groupBy(key).count().filter("count > 1").select(key))
+    count = equal.count()
+    if not count:
+        return keyed.withColumn(key, F.concat(key, F.lit(":0")))
+    hit, order = fresh(keyed, "equal_hit"), fresh(keyed, "equal_order")
+    marked = join_to_keys(keyed, equal.withColumn(hit, F.lit(True)), key, "left", F.monotonically_increasing_id(), count)
+    alone = marked.filter(F.col(hit).isNull()).drop(hit).withColumn(key, F.concat(key, F.lit(":0")))
+    copies = materialize(marked.filter(F.col(hit)).drop(hit).withColumn(order, F.monotonically_increasing_id()))
+    copies = ranged_prefix(copies, order, F.lit(1), number, (key,)).drop(order)
+    return alone.unionByName(copies.withColumn(key, F.concat(key, F.lit(":"), F.col(number).cast("string"))).drop(number))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0,
              seed: str = "mix") -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies (their names made fresh on a clash).
 
     Each document is taken floor(rate) times, plus once more with probability of the fraction, drawn
-    from ``seed`` and doc_id: a rerun gives the same, whatever the partitioning, and rows that repeat a
-    doc_id share the draw. Null or empty text has size 0 and the copies of its source. The per-source
+    from ``seed``, doc_id, text and the number of the row among equal ones: a rerun gives the same rows, whatever the partitioning, and rows without
+    id or with a repeated one are drawn one by one. Null or empty text has size 0 and the copies of its source. The per-source
     sums combine before their shuffle, and the documents meet a broadcast table of sources (by
     shuffling with split keys, if there are over ``BROADCAST_ROWS`` sources); documents are not shuffled
-    by source.
+    by source. Of equal rows, only their keys are counted, and only they are shuffled.
     """
     names = {n: fresh(docs, n) for n in ("size", "source_size", "target", "rate", "copies")}
     key, spread = fresh(docs, "source_key"), fresh(docs, "draw")
@@ -78,10 +99,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: fl
     targets = materialize(source_targets(sized, weights, budget, cap)).select(
         F.col("source_key").alias(key), *[F.col(n).alias(names[n]) for n in ("source_size", "target", "rate")]
     )
-    marked = (
-        docs.withColumn(key, _source_key(F.col("source"))).withColumn(names["size"], word_count(F.col("text")))
-        .withColumn(spread, draw(F.col("doc_id"), seed))
-    )
+    marked = numbered_keys(docs, spread).withColumn(spread, draw(F.col(spread), seed)).withColumn(
+        key, _source_key(F.col("source"))).withColumn(names["size"], word_count(F.col("text")))
     rate = F.col(names["rate"])
     copies = F.floor(rate).cast("int") + (F.col(spread) < rate - F.floor(rate)).cast("int")
     joined = join_to_keys(marked, targets, key, "inner", spread)

@@ -51,6 +51,22 @@ def test_mix_repeats_and_reruns_agree(spark, docs_of):
     assert mixed.count() == sum(r["copies"] for r in rows)
 
 
+def test_mix_draws_every_row(spark, docs_of):
+    """Rows without id, with one id, and equal in all: each draws for itself, and reruns agree."""
+    rows = [(None, f"w{i} " * 10, "en", "a") for i in range(400)] + [(7, f"w{i} " * 10, "en", "a") for i in range(400)]
+    rows += [(None, "same " * 10, "en", "a")] * 400 + [(8, "same " * 10, "en", "a")] * 400 + [(9000 + i, "x " * 30, "en", "b") for i in range(300)]
+    docs = docs_of(*rows)
+    plan = mix_plan(docs, weights=(2, 1), budget=1.5).select("doc_id", "text", "size", "target", "copies", "source")
+    got = sorted(map(str, plan.collect()))
+    assert len(got) == len(rows)
+    assert got == sorted(map(str, mix_plan(docs.repartition(5), weights=(2, 1), budget=1.5).select(*plan.columns).collect()))
+    for key in ("doc_id is null and text not like 'same%'", "doc_id = 7", "doc_id is null and text like 'same%'", "doc_id = 8"):
+        copies = [r["copies"] for r in plan.filter(key).collect()]
+        assert len(set(copies)) == 2, key
+    taken = plan.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) < 0.06 * r["target"] for r in taken)
+
+
 def test_mix_of_odd_rows(spark, odd_docs):
     plan = mix_plan(odd_docs)
     assert plan.columns[: len(odd_docs.columns)] == odd_docs.columns
