@@ -1,4 +1,5 @@
 import random
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -67,20 +68,43 @@ def test_run_agrees_with_the_stages(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
 
 
-def test_entry_works_without_the_folder():
-    code = (
-        "import sys\n"
-        "class Gone:\n"
-        "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith('pageloom.llm') or name == 'corpus_pipeline':\n"
-        "            raise ModuleNotFoundError(name)\n"
-        "import importlib.util as u\n"
-        "real = u.find_spec\n"
-        "u.find_spec = lambda n, p=None: None if n in ('pageloom.llm', 'corpus_pipeline') else real(n, p)\n"
-        "sys.meta_path.insert(0, Gone())\n"
+LEFT = {
+    "no folder": lambda root: None,
+    "empty folder": lambda root: (root / "pageloom/llm").mkdir(),
+    "leftovers": lambda root: (root / "pageloom/llm/__pycache__").mkdir(parents=True),
+    "no xxhash": None,
+}
+
+
+@pytest.mark.parametrize("left", LEFT)
+def test_entry_works_without_the_folder(tmp_path, left):
+    """The rest of the library loads where the folder is gone, empty, or lacks a package it needs."""
+    root, code = tmp_path / "repo", ""
+    ignored = [".git", "tests"] + (["llm", "corpus_pipeline.py"] if LEFT[left] else [])
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(*ignored))
+    if LEFT[left]:
+        LEFT[left](root)
+    else:
+        code = "import sys\nsys.modules['xxhash'] = None\n"
+    code += (
         "import __spark_entry__ as e\n"
         "assert not any(n.startswith('op1_') or n == 'pipeline' for n in e.queries())\n"
-        "assert len(e.queries()) > 100\n"
+        "assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())\n"
     )
-    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_pipeline_of_odd_rows(spark, odd_docs, tmp_path):
+    """Nulls, empty and repeated rows, one very long text and extra columns go through all stages; so do empty tables."""
+    labels = spark.createDataFrame([(5, 1, 0), (8, 0, 1)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no such words"), (2, None)], "item_id bigint, text string")
+    for name, docs, rows in (("odd", odd_docs, True), ("empty", odd_docs.limit(0), False)):
+        where = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{where}/documents.parquet")
+        labels.filter(str(rows)).write.parquet(f"{where}/labels.parquet")
+        bench.filter(str(rows)).write.parquet(f"{where}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, where)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = [r["doc_id"] for r in out.collect()]
+        assert (set(got) <= {1, 2, 3, None, 5, 6, 7, 8} and {5, 6} & set(got)) if rows else not got
