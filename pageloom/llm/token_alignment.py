@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 from pageloom.llm.common import fresh, materialize
 
 #: Ends of A and B together in one piece.
-PIECE_ENDS = 1 << 16
+PIECE_ENDS = 1 << 15
+#: Rows of an Arrow batch while texts and pieces go through Python: what a task holds is so many of them.
+BATCH_ROWS = 1 << 8
 #: Bytes of text that are tokenized at once; longer texts are cut where both tokenizers cut anyway.
 WINDOW_BYTES = 1 << 18
 #: Tokens, texts and distinct pairs that a task works on at once.
@@ -25,12 +28,25 @@ HOT_PAIRS = 1 << 20
 # The pre-tokenizer pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_PIECES = ("row bigint, piece int, pieces int, n_bytes bigint, a array<int>, b array<int>, "
+# Ids are packed, two bytes each where the vocabulary allows.
+_PIECES = ("row bigint, piece int, pieces int, n_bytes bigint, a binary, b binary, "
            "a_skip int, a_open int, b_skip int, b_open int")
 _PIECE_NAMES = [field.split()[0] for field in _PIECES.split(", ")]
 _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
+@contextmanager
+def batches_of(spark, rows: int = BATCH_ROWS):
+    """Arrow batches of at most ``rows`` rows in the jobs run inside; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_files(spark, *paths: str) -> list[bytes]:
     """Whole files, read by Spark on the driver's behalf or from its own disk (tokenizer files of a few MB)."""
     found = []
@@ -64,11 +80,12 @@ class TokenizerA:
         merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in whole["model"]["merges"]]
         if merged != sorted(merged) or len(set(merged)) != len(merged):
             raise ValueError("merge order and ids differ: ids are no ranks")
+        self.joined = TokenBytes(self.bytes)
         self._encoding = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={v: k for k, v in self.bytes.items()},
                                            special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        return self._encoding.encode_ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        return self._encoding.encode_to_numpy(text)
 
 
 class TokenizerB:
@@ -84,11 +101,12 @@ class TokenizerB:
             i: bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         }
+        self.joined = TokenBytes(self.bytes)
         #: No entry holds a space after another character, so a space after one always begins a token.
         self.cuts_at_spaces = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, text: str) -> list[int]:
-        return self._model.encode(text, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self._model.encode(text, num_threads=1), np.int64)
 
 
 def text_windows(text: str, size: int) -> list[str]:
@@ -104,24 +122,36 @@ def text_windows(text: str, size: int) -> list[str]:
     return found
 
 
-def _lengths(tokens: dict[int, bytes]) -> np.ndarray:
-    out = np.zeros(max(tokens) + 1, np.int64)
-    out[list(tokens)] = [len(v) for v in tokens.values()]
-    return out
+def id_type(lengths: np.ndarray) -> np.dtype:
+    return np.dtype("<u2" if len(lengths) <= 1 << 16 else "<u4")
+
+
+class TokenBytes:
+    """Bytes of ids, one after the other."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        whole = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.lengths = np.array([len(t) for t in whole], np.int64)
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        self._data = np.frombuffer(b"".join(whole), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        size = self.lengths[ids]
+        shift = self._starts[ids] - (np.cumsum(size) - size)
+        return self._data[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes()
 
 
-def encode_both(text: str | None, a: TokenizerA, b: TokenizerB, window: int = WINDOW_BYTES) -> tuple[list[int], list[int]]:
+def encode_both(text: str | None, a: TokenizerA, b: TokenizerB, window: int = WINDOW_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Ids of both tokenizers; none for a null or empty text, or if the bytes of either are not those of space and text."""
+    none = np.zeros(0, np.int64)
     if not text:
-        return [], []
-    ids_a, ids_b = [], []
-    for part in text_windows(text, window if b.cuts_at_spaces else len(text)):
-        ids_a += a.encode(" " + part)
-        ids_b += b.encode(part)
+        return none, none
+    parts = text_windows(text, window if b.cuts_at_spaces else len(text))
+    both = [np.concatenate([tokenizer.encode(lead + part) for part in parts]) for tokenizer, lead in ((a, " "), (b, ""))]
     want = b" " + text.encode()
-    if b"".join(map(a.bytes.__getitem__, ids_a)) != want or b"".join(map(b.bytes.__getitem__, ids_b)) != want:
-        return [], []
-    return ids_a, ids_b
+    if any(tokenizer.joined.join(ids) != want for tokenizer, ids in zip((a, b), both)):
+        return none, none
+    return both[0], both[1]
 
 
 def merge_path(ends_a: np.ndarray, ends_b: np.ndarray, diagonal: int) -> tuple[int, int]:
@@ -162,12 +192,6 @@ def pieces_of(ids_a: np.ndarray, ids_b: np.ndarray, len_a: np.ndarray, len_b: np
     return found
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
 def _batches_of(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over ``function(batches) -> iterator of dicts of columns``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -196,21 +220,24 @@ def token_pieces(docs: DataFrame, row: str, file_a: bytes, file_b: bytes, size:
 
     def run(batches):
         a, b = TokenizerA(files.value[0]), TokenizerB(files.value[1])
-        len_a, len_b = _lengths(a.bytes), _lengths(b.bytes)
+        len_a, len_b = a.joined.lengths, b.joined.lengths
+        type_a, type_b = id_type(len_a), id_type(len_b)
         slices = (part for whole in batches for part in _slices(whole, pc.binary_length(whole.column("text")), SLICE_BYTES))
         for batch in slices:
             out, owners = {c: [] for c in _PIECE_NAMES}, []
             for place, text in enumerate(batch.column("text").to_pylist()):
-                own = pieces_of(*(np.array(x, np.int32) for x in encode_both(text, a, b)), len_a, len_b, size)
+                own = pieces_of(*encode_both(text, a, b), len_a, len_b, size)
                 for number, piece in enumerate(own):
-                    for name, value in zip(("a", "b", "a_skip", "a_open", "b_skip", "b_open"), piece):
+                    for name, value in zip(("a_skip", "a_open", "b_skip", "b_open"), piece[2:]):
                         out[name].append(value)
+                    out["a"].append(piece[0].astype(type_a).tobytes())
+                    out["b"].append(piece[1].astype(type_b).tobytes())
                     owners.append(place)
                     out["piece"].append(number)
                     out["pieces"].append(len(own))
                     out["n_bytes"].append(int(len_a[piece[0]].sum()) - piece[2] - piece[3])
             owners = pa.array(owners, pa.int64())
-            yield out | {"row": batch.column("row").take(owners), "a": _lists(out["a"]), "b": _lists(out["b"])} | {
+            yield out | {"row": batch.column("row").take(owners)} | {
                 f"own_{i}": batch.column(f"own_{i}").take(owners) for i in range(len(others))}
 
     renamed = docs.select(F.col(row).alias("row"), "text", *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(others)])
@@ -232,8 +259,11 @@ class Merged:
 
     def __init__(self, batch: pa.RecordBatch, len_a: np.ndarray, len_b: np.ndarray):
         def side(name, lengths):
-            column = batch.column(name)
-            ids, counts = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
+            column, kind = batch.column(name).cast(pa.large_binary()), id_type(lengths)
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+            data = column.buffers()[2] if ends[-1] > ends[0] else b""
+            ids = np.frombuffer(data, np.uint8)[ends[0]: ends[-1]].copy().view(kind).astype(np.int64)
+            counts = np.diff(ends) // kind.itemsize
             own = lengths[ids]
             last = np.cumsum(counts)
             some = counts > 0
@@ -242,17 +272,23 @@ class Merged:
             np.subtract.at(own, last[some] - 1, rest[some])
             return ids, last, np.cumsum(own), rest
 
-        self.a, self.last_a, self.ends_a, self.open_a = side("a", len_a)
-        self.b, self.last_b, self.ends_b, self.open_b = side("b", len_b)
+        self.a, self.last_a, ends_a, self.open_a = side("a", len_a)
+        self.b, self.last_b, ends_b, self.open_b = side("b", len_b)
         self.stops = np.cumsum(batch.column("n_bytes").to_numpy(zero_copy_only=False))
+        # The merge, on the line of bytes: 1 where a token of A ends, 2 where one of B does. Tokens have bytes, so ends differ.
+        line = np.zeros(int(self.stops[-1]) + 1 if len(self.stops) else 1, np.uint8)
+        line[ends_a] = 1
+        line[ends_b] += 2
+        ends = np.flatnonzero(line)
+        kinds = line[ends]
         #: Distinct ends in order: each closes one link, of the tokens that hold the bytes before it.
-        self.ends = np.union1d(self.ends_a, self.ends_b)
-        self.at_a, self.at_b = np.searchsorted(self.ends_a, self.ends), np.searchsorted(self.ends_b, self.ends)
-        self.pairs = (self.a[self.at_a].astype(np.int64) << 32) | self.b[self.at_b].astype(np.int64)
+        self.ends_here_a, self.ends_here_b, self.cut = kinds & 1 > 0, kinds & 2 > 0, kinds == 3
+        at_a = np.cumsum(self.ends_here_a) - self.ends_here_a
+        at_b = np.cumsum(self.ends_here_b) - self.ends_here_b
+        self.pairs = (self.a[at_a] << 32) | self.b[at_b]
         #: Links of piece k: from bounds[k] to bounds[k + 1].
-        self.bounds = np.concatenate([[0], np.searchsorted(self.ends, self.stops, "right")])
-        #: Whether a token of A and one of B both end at each distinct end (truly, not at the edge of a piece).
-        self.cut = (self.ends_a[self.at_a] == self.ends) & (self.ends_b[self.at_b] == self.ends)
+        self.bounds = np.concatenate([[0], np.searchsorted(ends, self.stops, "right")])
+        # At the edge of a piece both sides end, truly or not.
         edge = (self.bounds[1:] - 1)[((self.open_a > 0) | (self.open_b > 0)) & (self.bounds[1:] > self.bounds[:-1])]
         self.cut[edge] = False
 
@@ -260,6 +296,11 @@ class Merged:
         """Sum of a value per link, per piece."""
         return np.diff(np.concatenate([[0], np.cumsum(values)])[self.bounds])
 
+    def groups(self, links: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, int]:
+        """(group of each token of A that has its end among the links, the same of B, cuts), groups numbered from 0."""
+        before = np.cumsum(self.cut[links]) - self.cut[links]
+        return before[self.ends_here_a[links]], before[self.ends_here_b[links]], int(self.cut[links].sum())
+
     def tokens(self, last: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """Tokens that end in each piece."""
         return np.diff(np.concatenate([[0], last])) - (rest > 0)
@@ -277,55 +318,63 @@ def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
     return table, lengths
 
 
-def group_text(merged: Merged, digits: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of ``a1,a2|b1;a3|b2,b3;`` over all pieces, byte end of each piece), for pieces that are whole documents."""
+def written_groups(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, groups: int,
+                   digits: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of ``a1,a2|b1;a3|b2,b3;``, byte end after each id) of ids in groups numbered from 0, each with ids of both sides."""
     table, lengths = digits
-    cut_ends = merged.ends[merged.cut]
-    group_a, group_b = np.searchsorted(cut_ends, merged.ends_a), np.searchsorted(cut_ends, merged.ends_b)
-    per_a, per_b = (np.bincount(g, minlength=len(cut_ends)) for g in (group_a, group_b))
+    per_a, per_b = (np.bincount(g, minlength=groups) for g in (group_a, group_b))
     before_b, through_a = np.cumsum(per_b) - per_b, np.cumsum(per_a)
-    at_a = np.arange(len(merged.a)) + before_b[group_a]
-    at_b = np.arange(len(merged.b)) + through_a[group_b]
+    at_a, at_b = np.arange(len(ids_a)) + before_b[group_a], np.arange(len(ids_b)) + through_a[group_b]
     ids, marks = np.empty(len(at_a) + len(at_b), np.int64), np.full(len(at_a) + len(at_b), ord(","), np.uint8)
-    ids[at_a], ids[at_b] = merged.a, merged.b
+    ids[at_a], ids[at_b] = ids_a, ids_b
     marks[at_a[through_a - 1]] = ord("|")
     marks[at_b[np.cumsum(per_b) - 1]] = ord(";")
     shown, size = table[ids], lengths[ids]
     shown[np.arange(len(ids)), size] = marks
-    return shown[np.arange(table.shape[1]) <= size[:, None]], np.cumsum(np.concatenate([[0], size + 1]))[merged.last_a + merged.last_b]
+    return shown[np.arange(table.shape[1]) <= size[:, None]], np.cumsum(size + 1)
+
+
+def written_ids(ids: np.ndarray, digits: tuple[np.ndarray, np.ndarray]) -> str:
+    """``1,2,3``."""
+    shown, size = digits[0][ids], digits[1][ids]
+    shown[np.arange(len(ids)), size] = ord(",")
+    return shown[np.arange(shown.shape[1]) <= size[:, None]].tobytes()[:-1].decode()
 
 
 def group_hashes(merged: Merged, digits: tuple[np.ndarray, np.ndarray]) -> list[str]:
     """SHA-256 of each whole document's groups; empty for one without tokens."""
     if not len(merged.pairs):
-        return [""] * len(merged.bounds[1:])
-    data, stops = group_text(merged, digits)
-    view, starts = memoryview(data), [0, *stops.tolist()]
+        return [""] * len(merged.stops)
+    group_a, group_b, groups = merged.groups()
+    data, stops = written_groups(merged.a, group_a, merged.b, group_b, groups, digits)
+    view, starts = memoryview(data), [0, *np.concatenate([[0], stops])[merged.last_a + merged.last_b].tolist()]
     return [hashlib.sha256(view[start: stop - 1]).hexdigest() if stop > start else "" for start, stop in zip(starts, starts[1:])]
 
 
-def fragments(merged: Merged, k: int) -> dict:
+def fragments(merged: Merged, k: int, digits: tuple[np.ndarray, np.ndarray]) -> dict:
     """Piece k as text: tokens that end before its first cut, whole groups, tokens that end after its last cut."""
-    links = slice(merged.bounds[k], merged.bounds[k + 1])
-    cut_ends = merged.ends[links][merged.cut[links]]
-    sides = []
-    for ids, last, ends, rest in ((merged.a, merged.last_a, merged.ends_a, merged.open_a),
-                                  (merged.b, merged.last_b, merged.ends_b, merged.open_b)):
+    group_a, group_b, cuts = merged.groups(slice(merged.bounds[k], merged.bounds[k + 1]))
+    own = []
+    for ids, last, rest, group in ((merged.a, merged.last_a, merged.open_a, group_a), (merged.b, merged.last_b, merged.open_b, group_b)):
         start, stop = (last[k - 1] if k else 0), last[k] - (rest[k] > 0)
-        at = start + np.searchsorted(ends[start:stop], cut_ends, "right")
-        texts = np.char.mod("%d", ids[start:stop]) if stop > start else np.array([], "U1")
-        sides.append([",".join(part) for part in np.split(texts, at - start)])
-    a, b = sides
-    if len(cut_ends) == 0:
-        return {"cuts": 0, "head_a": a[0], "head_b": b[0], "middle": "", "tail_a": "", "tail_b": ""}
-    return {"cuts": len(cut_ends), "head_a": a[0], "head_b": b[0],
-            "middle": ";".join(f"{x}|{y}" for x, y in zip(a[1:-1], b[1:-1])), "tail_a": a[-1], "tail_b": b[-1]}
+        own.append((ids[start:stop], group[: stop - start]))  # at a piece's edge an open token seems to end
+    (a, group_a), (b, group_b) = own
+    out = {"cuts": cuts, "middle": ""}
+    for name, ids, group in (("a", a, group_a), ("b", b, group_b)):
+        out[f"head_{name}"] = written_ids(ids[group == 0], digits)
+        out[f"tail_{name}"] = written_ids(ids[group == cuts], digits) if cuts else ""
+    if cuts > 1:
+        in_a, in_b = ((g > 0) & (g < cuts) for g in (group_a, group_b))
+        data, _ = written_groups(a[in_a], group_a[in_a] - 1, b[in_b], group_b[in_b] - 1, cuts - 1, digits)
+        out["middle"] = data.tobytes()[:-1].decode()
+    return out
 
 
 def _merged(batches, len_a: np.ndarray, len_b: np.ndarray):
     """(batch, its :class:`Merged`) in parts of about ``SLICE_TOKENS`` tokens of A."""
+    size = id_type(len_a).itemsize
     for whole in batches:
-        for batch in _slices(whole, pc.list_value_length(whole.column("a")), SLICE_TOKENS):
+        for batch in _slices(whole, pc.binary_length(whole.column("a")), SLICE_TOKENS * size):
             yield batch, Merged(batch, len_a, len_b)
 
 
@@ -397,7 +446,7 @@ def piece_results(pieces: DataFrame, len_a: np.ndarray, len_b: np.ndarray, known
             if whole:
                 out["sha"] = group_hashes(merged, digits)
             else:
-                found = [fragments(merged, k) for k in range(rows)]
+                found = [fragments(merged, k, digits) for k in range(rows)]
                 out |= {name: [f[name] for f in found] for name in ("cuts", *_TEXTS)}
             yield empty | out
             if not known.all():
@@ -426,13 +475,15 @@ def align(docs: DataFrame, file_a: bytes, file_b: bytes, size: int = PIECE_ENDS,
     """
     spark, own = docs.sparkSession, [c for c in docs.columns if c != "text"]
     names = [fresh(docs, n) for n in (*_NUMBERS, "groups_sha256")]
-    len_a, len_b = _lengths(TokenizerA(file_a).bytes), _lengths(TokenizerB(file_b).bytes)
+    len_a, len_b = TokenizerA(file_a).joined.lengths, TokenizerB(file_b).joined.lengths
     # Numbers are written with what they number: read again, a row keeps its own.
     row = fresh(docs, "row_number")
-    pieces = materialize(token_pieces(docs.withColumn(row, F.monotonically_increasing_id()), row, file_a, file_b, size))
+    with batches_of(spark):
+        pieces = materialize(token_pieces(docs.withColumn(row, F.monotonically_increasing_id()), row, file_a, file_b, size))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     single, long = pieces.filter("pieces = 1"), pieces.filter("pieces > 1").repartition(tasks, "row", "piece")
-    counts = materialize(pair_counts(single.union(long), len_a, len_b))
+    with batches_of(spark):
+        counts = materialize(pair_counts(single.union(long), len_a, len_b))
     best = materialize(counts.groupBy("b").agg(F.max("n").alias("most")))
     code = F.shiftleft(F.col("a").cast("bigint"), 32).bitwiseOR(F.col("b").cast("bigint")).alias("code")
     top, high = hot_pairs(counts, hot).select(code, "n").toArrow(), best.toArrow()
@@ -441,13 +492,15 @@ def align(docs: DataFrame, file_a: bytes, file_b: bytes, size: int = PIECE_ENDS,
     most[high.column("b").to_numpy()] = high.column("most").to_numpy()
     sent = spark.sparkContext.broadcast((codes[order], n[order], most))
     parts = piece_results(single, len_a, len_b, sent, True).union(piece_results(long, len_a, len_b, sent, False))
-    work = materialize(parts)
+    with batches_of(spark):
+        work = materialize(parts)
     a, b = F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b")
     none = {n: F.lit(0).cast("bigint").alias(n) for n in _NUMBERS}
     met = work.filter("code is not null").select("row", a, b, "times").join(counts, ["a", "b"]).join(best, "b").select(
         "row", *[none[n] for n in _NUMBERS[:4]], F.when(F.col("n") == F.col("most"), F.col("times")).otherwise(0).alias("n_best"),
         (F.col("times") * F.col("n")).alias("count_sum"), F.lit(None).cast("string").alias("sha"))
-    stitched = stitch(work.filter("cuts is not null"), tasks).select("row", *none.values(), "sha")
+    with batches_of(spark):
+        stitched = materialize(stitch(work.filter("cuts is not null"), tasks)).select("row", *none.values(), "sha")
     shares = work.filter("code is null").select("row", *_NUMBERS, "sha").union(met).union(stitched)
     total = shares.groupBy("row").agg(*[F.sum(n).alias(n) for n in _NUMBERS], F.max("sha").alias("sha"))
     kept = pieces.filter("piece = 0").select("row", *[f"own_{i}" for i in range(len(own))])
