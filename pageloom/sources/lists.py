@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pageloom.functions.text import strip
 from pageloom.operators.skew import ranged_prefix
 from pageloom.session import materialize
+from pageloom.sources.snapshots import read_snapshot, write_snapshot
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -91,3 +92,23 @@ def bundle_add(bundle: DataFrame, pages: DataFrame) -> DataFrame:
 def bundle_remove(bundle: DataFrame, links: DataFrame) -> DataFrame:
     """Bundle without the given links."""
     return bundle.join(links.select("link"), "link", "left_anti")
+
+
+BUNDLE_SCHEMA = "link string, title string, content string, added bigint"
+
+
+def load_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored bundle; empty before anything was added."""
+    stored = read_snapshot(spark, folder, BUNDLE_SCHEMA)
+    return spark.createDataFrame([], BUNDLE_SCHEMA) if stored is None else stored
+
+
+def store_added(folder: str, pages: DataFrame) -> int:
+    """Add pages to the stored bundle as :func:`bundle_add` does; returns the new version. Adding the same again changes nothing."""
+    pages = pages.select("link", "title", "content", F.col("added").cast("bigint").alias("added"))
+    return write_snapshot(bundle_add(load_bundle(pages.sparkSession, folder), pages), folder)
+
+
+def store_removed(folder: str, links: DataFrame) -> int:
+    """Remove links from the stored bundle; returns the new version."""
+    return write_snapshot(bundle_remove(load_bundle(links.sparkSession, folder), links), folder)

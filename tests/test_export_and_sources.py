@@ -232,6 +232,115 @@ def test_streams_equal_batch_over_two_triggers(spark, tmp_path, pages_of):
     assert [tuple(r) for r in P.latest_progress(spark, str(tmp_path / "jobs")).collect()] == [("j", 6, 5, 1)]
 
 
+def test_new_assets_over_batches_and_runs(spark, tmp_path, pages_of):
+    """Repeated pages, a replaced file and a second run: each source comes out once, and a batch reads its own rows only."""
+    from pageloom.operators.content import content_nodes
+    from pageloom.operators.media import extract_images
+
+    def images_of(df):
+        return extract_images(content_nodes(df, css="main"))
+
+    def run():
+        stream = P.stream_table(spark, str(tmp_path / "in"), "*.parquet", P.PAGE_SCHEMA, files_per_trigger=1)
+        query = P.stream_new_assets(images_of, stream, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        return query
+
+    def put(name, *sources):
+        docs = [(f"https://h/{name}", "<main>" + "".join(f"<img src='/{s}.jpg'>" for s in sources) + "</main>")]
+        pages_of(*docs).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / f"raw/{name}"))
+        import shutil
+        part = next((tmp_path / f"raw/{name}").glob("part-*"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        shutil.copy(part, tmp_path / f"in/{name}.parquet")
+
+    put("a", 1, 2, 2)
+    put("b", 2, 3)
+    run()
+    put("c", 1, 2, 3, 4)
+    query = run()
+    state = [o for p in query.recentProgress for o in p["stateOperators"]]
+    assert sum(o["numRowsUpdated"] for o in state) == 1 and state[-1]["numRowsTotal"] == 4
+    assert "RocksDB" in str(state[-1]["customMetrics"].keys()) or any("rocksdb" in k.lower() for k in state[-1]["customMetrics"])
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 4
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.src for r in rows) == [f"https://h/{k}.jpg" for k in (1, 2, 3, 4)]
+    assert sorted(r.src for r in P.known_assets(spark, str(tmp_path / "check")).collect()) == [f"https://h/{k}.jpg" for k in (1, 2, 3, 4)]
+
+
+def test_finished_jobs_leave_the_progress_state(spark, tmp_path):
+    rows = [("a", "ok", 3), ("a", "failed", 3), ("b", "ok", None)], [("a", "ok", 3), ("b", "ok", None), ("c", "ok", 5)], [
+        ("d", None, 2)], [("a", "ok", 3), ("d", "ok", 2)]
+    schema = "job_id string, status string, total bigint"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = P.stream_table(spark, str(tmp_path / "in/*"), "*.parquet", schema)
+        P.stream_job_progress(stream, str(tmp_path / "out"), str(tmp_path / "check"), idle_batches=3).awaitTermination()
+        active = {r.job_id for r in P.active_jobs(spark, str(tmp_path / "out")).collect()}
+        assert active == [{"a", "b"}, {"b", "c"}, {"b", "c", "d"}, {"a", "b", "c"}][k]
+        every = [r for p in rows[: k + 1] for r in p]
+        want = {(j, sum(r[0] == j for r in every), sum(r[0] == j and r[1] == "ok" for r in every)) for j in {r[0] for r in every}}
+        got = P.latest_progress(spark, str(tmp_path / "out")).collect()
+        assert {(r.job_id, r.done, r.succeeded) for r in got} == want and all(r.failed == r.done - r.succeeded for r in got)
+    # Two batches on, the idle ones are settled, and nothing is counted twice when the last batch runs again.
+    spark.createDataFrame([("e", "ok", None)], schema).coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    stream = P.stream_table(spark, str(tmp_path / "in/*"), "*.parquet", schema)
+    P.stream_job_progress(stream, str(tmp_path / "out"), str(tmp_path / "check"), idle_batches=3).awaitTermination()
+    assert {r.job_id for r in P.active_jobs(spark, str(tmp_path / "out")).collect()} == {"a", "e"}
+    assert sum(r.done for r in P.latest_progress(spark, str(tmp_path / "out")).collect()) == 10
+
+
+def test_late_events_go_to_the_side(spark, tmp_path):
+    """Over a hundred batches and times out of order: on time and late together are all, and what is on time comes once."""
+    import datetime as dt
+    import os
+
+    start = dt.datetime(2024, 1, 1)
+    batches = [[(k, start + dt.timedelta(minutes=k), "x"), (k, start + dt.timedelta(minutes=k), "x")] for k in range(103)]
+    batches[50].append((1000, start + dt.timedelta(minutes=3), "late"))   # 46 minutes behind
+    batches[60].append((1001, start + dt.timedelta(minutes=55), "on time"))
+    batches[102] += [(101, start + dt.timedelta(minutes=101), "x"), (1000, start + dt.timedelta(minutes=3), "late")]
+    schema = "event_id bigint, ts timestamp, line string"
+    (tmp_path / "in").mkdir()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    for k, part in enumerate(batches):
+        table = pa.table({"event_id": [r[0] for r in part], "ts": pa.array([r[1] for r in part], pa.timestamp("us", "UTC")), "line": [r[2] for r in part]})
+        pq.write_table(table, tmp_path / f"in/{k:03d}.parquet")
+        os.utime(tmp_path / f"in/{k:03d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = P.stream_table(spark, str(tmp_path / "in"), "*.parquet", schema, files_per_trigger=1)
+    P.stream_event_dedup(stream, ["event_id"], str(tmp_path / "out"), str(tmp_path / "check"), delay="10 minutes").awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    late = P.late_events(spark, str(tmp_path / "out_late"), schema).collect()
+    assert sorted(r.event_id for r in out) == [*range(103), 1001]
+    assert sorted((r.event_id, r.batch_id) for r in late) == [(1000, 50), (1000, 102)]
+    on_time = spark.read.parquet(str(tmp_path / "check_on_time")).count()
+    assert on_time + len(late) == sum(map(len, batches))
+
+
+def test_stored_bundle(spark, tmp_path):
+    """Add, replace, remove and reload; a write that failed half way changes nothing, and its retry takes effect."""
+    from pageloom.sources import lists as L, snapshots as S
+
+    folder = str(tmp_path / "bundle")
+    schema = "link string, title string, content string, added bigint"
+    assert S.read_snapshot(spark, folder) is None and L.load_bundle(spark, folder).count() == 0
+    L.store_added(folder, spark.createDataFrame([("a", "A", "x", 1), ("b", "B", "y", 2)], schema))
+    L.store_added(folder, spark.createDataFrame([("b", "B2", "z", 3), ("c", "C", "w", 4), ("a", "old", "v", 0)], schema))
+    assert [(r.link, r.title) for r in L.load_bundle(spark, folder).orderBy("added").collect()] == [("a", "A"), ("b", "B2"), ("c", "C")]
+    # What a crash leaves: files without the marker.
+    broken = tmp_path / "bundle" / "version=000000003"
+    broken.mkdir()
+    (broken / "part-00000.parquet").write_bytes(b"half a file")
+    assert L.load_bundle(spark, folder).count() == 3
+    L.store_removed(folder, spark.createDataFrame([("b",), ("missing",)], "link string"))
+    assert [r.link for r in L.load_bundle(spark, folder).orderBy("added").collect()] == ["a", "c"]
+    assert S.versions(spark, folder) == [2, 3]
+    L.store_added(folder, spark.createDataFrame([("b", "B3", "again", 9)], schema))
+    L.store_added(folder, spark.createDataFrame([("b", "B3", "again", 9)], schema))
+    assert sorted((r.link, r.added) for r in L.load_bundle(spark, folder).collect()) == [("a", 1), ("b", 9), ("c", 4)]
+
+
 def test_pages_from_files(spark, tmp_path):
     from urllib.parse import quote
 
