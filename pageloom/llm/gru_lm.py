@@ -20,11 +20,10 @@ KNOWN, OWN, CLASS = 150_000, 1024, 32
 #: Classes of all other words, by their ending; endings looked at, and frequent words that describe them.
 GROUPS, ENDINGS, AROUND = 12, 20_000, 64
 HIDDEN = 16
-#: Tokens of a shard, about; up to SMALL tokens every round takes all shards, above that each shard is taken in one round.
-SHARD, SMALL = 400_000, 2_000_000
-ROUNDS = 3
+#: Tokens of a shard, about; shards are dealt over the rounds, so that every text is learned from once.
+SHARD, ROUNDS = 1_200_000, 3
 #: Steps of a truncated backpropagation, and of a scoring window; texts side by side in each (training: least and most).
-TRAIN_STEPS, TRAIN_LANES, STEPS, LANES = 20, (48, 192), 48, 384
+TRAIN_STEPS, TRAIN_LANES, STEPS, LANES = 20, (32, 384), 48, 384
 END = b""
 #: Distinct words counted in a task before the counts are passed on.
 COUNTED = 400_000
@@ -53,11 +52,17 @@ class Vocabulary:
     distinct: int
     group_mass: np.ndarray
     group_new: np.ndarray
+    #: Input number of every word with a count, and one more.
+    inputs: np.ndarray | None = None
 
     def __post_init__(self):
-        groups = [self.own + self.group(w) for w in list(self.index)[self.own:]]
-        #: Input number of every word with a count, and one more.
-        self.inputs = np.array([*range(self.own), *groups, 0], np.int32)
+        if self.inputs is None:
+            groups = [self.own + self.group(w) for w in list(self.index)[self.own:]]
+            self.inputs = np.array([*range(self.own), *groups, 0], np.int32)
+
+    def plain(self) -> tuple:
+        """Dictionaries, arrays and numbers alone, to be broadcast: tasks need no copy of this class."""
+        return tuple(getattr(self, f) for f in self.__dataclass_fields__)
 
     @property
     def classes(self) -> int:
@@ -204,16 +209,12 @@ def _sign(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _positive(x: np.ndarray) -> np.ndarray:
-    """exp(x) within 4 %, in place, by writing x / ln 2 into the exponent of a float.
-
-    A softmax over any positive function is a distribution; this one costs a fraction of exp.
-    """
-    np.maximum(x, -80, out=x)
-    np.minimum(x, 80, out=x)
-    x *= np.float32(2**23 / math.log(2))
-    x += np.float32(127 * 2**23 - 366_393)
-    return x.astype(np.int32).view(np.float32)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place; scores beyond 60 either way count as 60, which keeps exp finite without a pass for the largest."""
+    np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
+    return x
 
 
 class Network:
@@ -246,89 +247,110 @@ class Network:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
 
     def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """State before each token of (lanes, steps), the last state, and what a backward pass needs."""
-        size, gate, emb = HIDDEN, self.p["gate"], self.p["emb"] + self.p["bias"]
-        before, trace = np.empty((ids.shape[1], len(ids), size), np.float32), []
-        restart, columns = fresh.any(axis=0), np.ascontiguousarray(ids.T)
-        for t in range(ids.shape[1]):
+        """State before each token of (lanes, steps), by step, the last state, and what a backward pass needs: gates, proposals and their products."""
+        size, gate, steps, lanes = HIDDEN, self.p["gate"], ids.shape[1], len(ids)
+        inputs = (self.p["emb"] + self.p["bias"]).take(ids.T.ravel(), axis=0).reshape(steps, lanes, 3 * size)
+        kind = gate.dtype
+        before = np.empty((steps, lanes, size), kind)
+        restart = fresh.any(axis=0)
+        if keep:
+            gates, proposals, products = (np.empty((steps, lanes, n), kind) for n in (2 * size, size, size))
+        for t in range(steps):
             if restart[t]:
                 h = h * ~fresh[:, t, None]
             before[t] = h
-            a, g = emb.take(columns[t], axis=0), h @ gate
+            a, g = inputs[t], h @ gate
             zr = _sign(a[:, : 2 * size] + g[:, : 2 * size])
             zr += 1
             zr *= np.float32(0.5)
-            z, r = zr[:, :size], zr[:, size:]
-            n = _sign(a[:, 2 * size:] + r * g[:, 2 * size:])
+            n = zr[:, size:] * g[:, 2 * size:]
+            n += a[:, 2 * size:]
+            _sign(n)
             if keep:
-                trace.append((z, r, n, g[:, 2 * size:], h))
-            h = n + z * (h - n)
-        return before, h, trace
+                gates[t], proposals[t], products[t] = zr, n, g[:, 2 * size:]
+            h = h - n
+            h *= zr[:, :size]
+            h += n
+        return before, h, (gates, proposals, products) if keep else None
+
+    def classes_of(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids < self.own, ids // CLASS, self.fixed + ids - self.own)
+
+    def by_class(self, cls: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """(rows of own words sorted by class, (class, its part of them) for the classes that occur)."""
+        own = cls[rows].astype(np.int16)
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(self.fixed + 1)).tolist()
+        return rows[order], [(c, slice(cuts[c], cuts[c + 1])) for c in range(self.fixed) if cuts[c + 1] > cuts[c]]
 
     def log_probability(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for own words, of P(word | class), per row of states."""
-        own = ids < self.own
-        cls = np.where(own, ids // CLASS, self.fixed + ids - self.own)
-        chances = np.empty((2, len(ids)), np.float32)
-        chances[1] = 1
-        p = _positive(h @ self.p["cls"] + self.p["cls_bias"])
-        chances[0] = p[np.arange(len(ids)), cls] / p.sum(axis=1)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.fixed + 1)).tolist()
-        sorted_h, place = h[order], (ids - cls * CLASS)[order]
-        for c in range(self.fixed):
-            at = slice(cuts[c], cuts[c + 1])
-            if at.stop > at.start:
-                part = slice(c * CLASS, (c + 1) * CLASS)
-                p = _positive(sorted_h[at] @ self.p["word"][part].T + self.p["word_bias"][part])
-                chances[1, order[at]] = p[np.arange(len(p)), place[at]] / p.sum(axis=1)
-        return np.log(chances).sum(axis=0)
+        cls = self.classes_of(ids)
+        chances = np.ones((2, len(ids)), h.dtype)
+        chances[0] = _softmax(h @ self.p["cls"] + self.p["cls_bias"])[np.arange(len(ids)), cls]
+        rows, parts = self.by_class(cls, np.flatnonzero(ids < self.own))
+        here, place, found = h[rows], ids[rows] % CLASS, np.empty(len(rows), h.dtype)
+        for c, at in parts:
+            part = slice(c * CLASS, (c + 1) * CLASS)
+            p = _softmax(here[at] @ self.p["word"][part].T + self.p["word_bias"][part])
+            found[at] = p[np.arange(len(p)), place[at]]
+        chances[1, rows] = found
+        return np.log(np.maximum(chances, 1e-30)).sum(axis=0)
 
     def gradients(self, ids, fresh, live, h):
         """Gradients of the summed loss over (lanes, steps) where ``live`` (of ``emb``: rows and theirs), and the last state."""
-        size, p = HIDDEN, self.p
-        before, last, trace = self.states(ids, fresh, h, keep=True)
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("emb", "cls", "cls_bias")}
+        size, p, steps = HIDDEN, self.p, ids.shape[1]
+        before, last, (gates, n, products) = self.states(ids, fresh, h, keep=True)
+        grad = {k: np.zeros_like(p[k]) for k in ("word", "word_bias")}
         hs, flat, on = before.reshape(-1, size), ids.T.ravel(), live.T.ravel()
-        own = flat < self.own
-        cls = np.where(own, flat // CLASS, self.fixed + flat - self.own)
-        z = hs @ p["cls"] + p["cls_bias"]
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
+        cls = self.classes_of(flat)
+        e = _softmax(hs @ p["cls"] + p["cls_bias"])
         e[np.arange(len(flat)), cls] -= 1
-        e *= on[:, None]
+        if not on.all():
+            e *= on[:, None]
         grad["cls"], grad["cls_bias"] = hs.T @ e, e.sum(axis=0)
         back = e @ p["cls"].T
-        rows = np.flatnonzero(own & on)
-        rows = rows[np.argsort(cls[rows], kind="stable")]
-        cuts = np.searchsorted(cls[rows], np.arange(self.fixed + 1)).tolist()
-        for c in range(self.fixed):
-            at = rows[cuts[c]: cuts[c + 1]]
-            if not len(at):
-                continue
+        rows, parts = self.by_class(cls, np.flatnonzero((flat < self.own) & on))
+        own_hs, place, own_back = hs[rows], flat[rows] % CLASS, np.empty((len(rows), size), hs.dtype)
+        for c, at in parts:
             part = slice(c * CLASS, (c + 1) * CLASS)
-            z = hs[at] @ p["word"][part].T + p["word_bias"][part]
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(at)), flat[at] - c * CLASS] -= 1
-            grad["word"][part], grad["word_bias"][part] = e.T @ hs[at], e.sum(axis=0)
-            back[at] += e @ p["word"][part]
+            here = own_hs[at]
+            e = _softmax(here @ p["word"][part].T + p["word_bias"][part])
+            e[np.arange(len(here)), place[at]] -= 1
+            grad["word"][part], grad["word_bias"][part] = e.T @ here, e.sum(axis=0)
+            np.matmul(e, p["word"][part], out=own_back[at])
+        back[rows] += own_back
         back = back.reshape(before.shape)
-        dh = np.zeros_like(h)
-        inputs = np.empty((ids.shape[1], len(ids), 3 * size), np.float32)
-        for t in reversed(range(ids.shape[1])):
-            z, r, n, g, prev = trace[t]
-            dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
-            dz = dh * (prev - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-            dr = dn * g * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
-            inputs[t] = np.hstack([dz, dr, dn])
-            gates = np.hstack([dz, dr, dn * r])
-            grad["gate"] += prev.T @ gates
-            dh = (dh * z + gates @ p["gate"].T + back[t]) * ~fresh[:, t, None]
+        # Slopes of all steps at once; the loop back through time is left with a few products.
+        z, r = gates[:, :, :size], gates[:, :, size:]
+        slope = 1 - np.abs(2 * gates - 1)
+        slope *= slope
+        slope *= np.float32(0.5)
+        of_n = 1 - np.abs(n)
+        of_n *= of_n
+        of_n *= 1 - z
+        of_z, of_r = (before - n) * slope[:, :, :size], products * slope[:, :, size:]
+        keeps = ~fresh.T[:, :, None]
+        inputs, outputs = (np.empty((steps, len(ids), 3 * size), hs.dtype) for _ in range(2))
+        dh, gate = np.zeros_like(h), np.ascontiguousarray(p["gate"].T)
+        for t in reversed(range(steps)):
+            own, out = inputs[t], outputs[t]
+            dn = dh * of_n[t]
+            np.multiply(dh, of_z[t], out=own[:, :size])
+            np.multiply(dn, of_r[t], out=own[:, size: 2 * size])
+            own[:, 2 * size:] = dn
+            out[:, : 2 * size] = own[:, : 2 * size]
+            np.multiply(dn, r[t], out=out[:, 2 * size:])
+            dh = dh * z[t]
+            dh += out @ gate
+            dh += back[t]
+            dh *= keeps[t]
+        grad["gate"] = hs.T @ outputs.reshape(-1, 3 * size)
         flat_in = inputs.reshape(-1, 3 * size)
-        order = np.argsort(flat, kind="stable")
-        names, starts = np.unique(flat[order], return_index=True)
-        grad["emb"] = names, np.add.reduceat(flat_in[order], starts, axis=0)
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        names = flat[order]
+        starts = np.flatnonzero(np.diff(names, prepend=-1))
+        grad["emb"] = names[starts], np.add.reduceat(flat_in[order], starts, axis=0)
         grad["bias"] = flat_in.sum(axis=0)
         return grad, last
 
@@ -426,20 +448,22 @@ def _train_shards(batches, vocab: Vocabulary, flat: np.ndarray, rate: float, blo
 def train(training: DataFrame, vocab: Vocabulary, train_tokens: int, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` of training and averaging; every text of ``training`` takes part.
 
-    The number of shards follows the tokens, so a shard stays a bounded piece of work. Up to ``SMALL`` tokens each
-    round takes all shards; above, the shards are dealt over the rounds, which makes one pass over everything. A round
+    The number of shards follows the tokens, so a shard stays a bounded piece of work, and there is one for each round at least. They are dealt over
+    the rounds, which makes one pass over everything, whatever the size. A round
     starts every shard from the same parameters. Sums weighted by tokens are built in each task, then on Spark in
     blocks, and the driver gets one set of parameters, whose size does not depend on the data.
     """
-    shards = max(1, round(train_tokens / SHARD))
+    shards = max(rounds, round(train_tokens / SHARD))
     spark = training.sparkSession
-    words = spark.sparkContext.broadcast(vocab)
+    words = spark.sparkContext.broadcast(vocab.plain())
 
     def numbers(batch):
+        vocab = Vocabulary(*words.value)
         return {"shard": batch.column("shard"),
-                "ids": [encode(tokens(t), words.value)[0].astype(np.uint16).tobytes() for t in byte_column(batch, "text")]}
+                "ids": [encode(tokens(t), vocab)[0].astype(np.uint16).tobytes() for t in byte_column(batch, "text")]}
 
-    dealt = training.select("text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    # Dealt by chance with a fixed seed: equal rows go to different shards.
+    dealt = training.select("text", F.floor(F.rand(17) * shards).cast("int").alias("shard"))
     dealt = materialize(map_batches(dealt, numbers, "shard int, ids binary"))
     flat = Network(vocab).flat()
     block = 1024
@@ -450,13 +474,15 @@ def train(training: DataFrame, vocab: Vocabulary, train_tokens: int, rounds: int
 
     for turn in range(rounds):
         rate = 0.2 / (1 + turn)
-        now = dealt if train_tokens <= SMALL else dealt.filter(F.col("shard") % rounds == turn)
+        now = dealt.filter(F.col("shard") % rounds == turn)
         start = spark.sparkContext.broadcast(flat)
 
         def run(batches, start=start, rate=rate):
-            yield from _train_shards(batches, words.value, start.value, rate, block)
+            yield from _train_shards(batches, Vocabulary(*words.value), start.value, rate, block)
 
-        parts = now.repartition("shard").sortWithinPartitions("shard", "ids").mapInArrow(
+        # One task per shard: its work is in numpy, not in its bytes.
+        mine = now.withColumn("shard", F.floor(F.col("shard") / rounds).cast("int"))
+        parts = mine.repartitionById(-(-shards // rounds), F.col("shard")).sortWithinPartitions("shard", "ids").mapInArrow(
             run, "block int, weight double, v array<double>").groupBy("block").applyInPandas(
             average, "block int, v array<double>").collect()
         if parts:
@@ -497,14 +523,15 @@ def lm_scores(docs: DataFrame, train_part: tuple[int, int, bool] = (10, 0, False
     flat = train(training, vocab, total) if vocab.own else None
     spread = vocab.total + 0.1 * (vocab.distinct + 1)
     mass, new = vocab.group_mass, vocab.group_new
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))  # bounded by KNOWN, ENDINGS and OWN
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.plain(), flat))  # bounded by KNOWN, ENDINGS and OWN
     known_base = np.log10((vocab.counts + 0.1) / spread)
     groups = vocab.inputs[vocab.own: -1] - vocab.own
     in_group = np.zeros(len(vocab.counts))  # own words have it from the network
     in_group[vocab.own:] = np.log10((1 - new[groups]) * vocab.counts[vocab.own:] / mass[groups])
 
     def run(batch):
-        vocab, flat = shared.value
+        fields, flat = shared.value
+        vocab = Vocabulary(*fields)
         encoded = [encode(tokens(t), vocab) for t in byte_column(batch, "text")]
         scores = np.zeros(len(encoded))
         if flat is not None:

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -172,7 +173,6 @@ def test_shards_are_dealt_over_the_rounds_once(spark, docs_of, monkeypatch):
     vocab = gru_lm.Vocabulary({w: k for k, w in enumerate(words)}, np.array([numbers[w] for w in words]), len(words), {}, 9090,
                               len(counts), np.full(gru_lm.GROUPS, 5.0), np.full(gru_lm.GROUPS, 0.5))
     monkeypatch.setattr(gru_lm, "SHARD", 1000)
-    monkeypatch.setattr(gru_lm, "SMALL", 5000)
     given = []
     original = gru_lm.materialize
     monkeypatch.setattr(gru_lm, "materialize", lambda df: given.append(original(df)) or given[-1])
@@ -201,6 +201,37 @@ def test_network_is_a_distribution_and_carries_its_state():
     assert np.allclose(together, alone, atol=1e-2)
 
 
+def test_scores_are_those_of_a_plain_loop():
+    vocab = gru_lm.Vocabulary({f"w{i}".encode(): i for i in range(70)}, np.arange(70, 0, -1), 70, {}, 999, 70, np.full(gru_lm.GROUPS, 5.0), np.full(gru_lm.GROUPS, 0.5))
+    assert b"pageloom" not in pickle.dumps(vocab.plain())
+    net = gru_lm.Network(gru_lm.Vocabulary(*vocab.plain()))
+    p, size = {k: v.astype(float) for k, v in net.p.items()}, gru_lm.HIDDEN
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 70 + gru_lm.GROUPS, n).astype(np.int32) for n in (1, 3, 120, 17)]
+
+    def squash(x):
+        return x / (1 + abs(x))
+
+    def softmax(x):
+        return np.exp(x) / np.exp(x).sum()
+
+    want = []
+    for text in texts:
+        h, total = np.zeros(size), 0.0
+        for token in text.tolist():
+            cls = token // gru_lm.CLASS if token < 70 else net.fixed + token - 70
+            total += math.log(softmax(h @ p["cls"] + p["cls_bias"])[cls])
+            if token < 70:
+                part = slice(cls * gru_lm.CLASS, (cls + 1) * gru_lm.CLASS)
+                total += math.log(softmax(p["word"][part] @ h + p["word_bias"][part])[token % gru_lm.CLASS])
+            a, g = p["emb"][token] + p["bias"], h @ p["gate"]
+            z, r = (0.5 * (1 + squash(a[k * size: (k + 1) * size] + g[k * size: (k + 1) * size])) for k in (0, 1))
+            n = squash(a[2 * size:] + r * g[2 * size:])
+            h = (1 - z) * n + z * h
+        want.append(total)
+    assert np.allclose(gru_lm.score_texts(texts, net), want, rtol=1e-4)
+
+
 def test_gradients_match_differences():
     vocab = gru_lm.Vocabulary({f"w{i}".encode(): i for i in range(70)}, np.arange(70, 0, -1), 70, {}, 999, 70, np.full(gru_lm.GROUPS, 5.0), np.full(gru_lm.GROUPS, 0.5))
     net = gru_lm.Network(vocab)
