@@ -14,6 +14,7 @@ from pageloom.operators.nodes import (
     page, whole_page, so_far,
 )
 from pageloom.operators.selectors import is_structural, structural_hits, structural_steps
+from pageloom.operators.similarity import similar_pairs, word_shingles
 from pageloom.operators.skew import salted_join
 from pageloom.operators.vocab import BLOCK_TAGS, CHROME_TAGS, IMAGE_TAGS
 
@@ -351,6 +352,69 @@ def duplicate_content(blocks: DataFrame) -> DataFrame:
     )
 
 
+def near_copies(blocks: DataFrame, by: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """``(by, a, b, similarity)``: pairs of different texts within ``by`` (a column) whose word shingles agree to ``threshold`` or more.
+
+    ``a`` and ``b`` are md5 of the texts, the smaller first. Exact: no pair is lost to a hash of signatures. Equal texts are one, so copies make no pairs, and a shingle
+    that all texts of a site share is only met by texts that have nothing rarer.
+    """
+    texts = blocks.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias(by), "text").distinct()
+    return similar_pairs(texts.select(F.md5("text").alias("id"), by, word_shingles(F.col("text"), words).alias("tokens")), threshold, [by])
+
+
+def duplicate_content_near(blocks: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """``(page_id, blocks, near, near_ratio)`` of pages with text blocks that repeat an earlier one of the page, nearly or wholly."""
+    texts = blocks.groupBy("page_id", "text").agg(F.min("block_id").alias("_first"), F.count("*").alias("_n"))
+    firsts = texts.select(F.col("page_id").cast("string").alias("page_id"), F.md5("text").alias("id"), "_first")
+    pairs = near_copies(blocks, "page_id", threshold, words)
+    for side in ("a", "b"):
+        pairs = pairs.join(firsts.select("page_id", F.col("id").alias(side), F.col("_first").alias(f"_{side}")), ["page_id", side])
+    later = pairs.select("page_id", F.when(F.col("_a") > F.col("_b"), F.col("a")).otherwise(F.col("b")).alias("_id")).distinct()
+    marked = texts.withColumns({"_page": F.col("page_id").cast("string"), "_id": F.md5("text")}).join(
+        later.withColumnRenamed("page_id", "_page").withColumn("_near", F.lit(1)), ["_page", "_id"], "left")
+    near = F.col("_n") - F.when(F.col("_near").isNull(), 1).otherwise(0)
+    return marked.groupBy("page_id").agg(F.sum("_n").alias("blocks"), F.sum(near).alias("near")).filter("near > 0").withColumn(
+        "near_ratio", F.round(F.col("near") / F.col("blocks"), 4))
+
+
+def meta_overlap(nodes: DataFrame, words: int = 5) -> DataFrame:
+    """``(page_id, grams, found, ratio)``: runs of ``words`` words of the meta description that the page's text holds, across block borders.
+
+    A shorter description is one run. Pages without a description have no row.
+    """
+    is_description = (F.col("tag") == "meta") & (F.lower(attribute_of(F.col("tok"), "name")) == "description")
+    description = F.when(is_description, collapse_ws(attribute_of(F.col("tok"), "content")))
+    described = nodes.withColumn("description", F.max(description).over(whole_page())).filter(F.coalesce("description", F.lit("")) != "")
+    text = F.concat(F.lit(" "), F.expr("listagg(text, ' ') within group (order by block_id)"), F.lit(" "))
+    pages = text_blocks(described, ("url", "description")).groupBy("page_id", "description").agg(text.alias("_text"))
+    own = F.regexp_extract_all("description", F.lit(r"\S+"), F.lit(0))
+    last = F.greatest(F.size("_own") - words + 1, F.lit(1))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(
+        F.lit(" "), F.array_join(F.slice("_own", i, F.lit(words)), " "), F.lit(" ")))
+    rows = pages.withColumn("_own", own).withColumn("_grams", F.array_distinct(grams))
+    found = F.size(F.filter("_grams", lambda g: F.col("_text").contains(g)))
+    return rows.select("page_id", F.size("_grams").cast("bigint").alias("grams"), found.cast("bigint").alias("found"),
+                       F.round(found / F.size("_grams"), 4).alias("ratio"))
+
+
+def boilerplate_sketches(blocks: DataFrame) -> DataFrame:
+    """``(host, text, sketch)`` of one run: the pages each text stands on, as a sketch that runs can be merged by."""
+    return blocks.groupBy(url_host(F.col("url")).alias("host"), "text").agg(F.hll_sketch_agg("page_id").alias("sketch"))
+
+
+def merge_sketches(*runs: DataFrame) -> DataFrame:
+    """Sketches of several runs as if of one; a page that came in two runs counts once."""
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run)
+    return every.groupBy("host", "text").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def shared_texts(sketches: DataFrame, min_pages: int = 3) -> DataFrame:
+    """:func:`site_boilerplate` from sketches: counts of a few pages are exact, large ones within about 2 %."""
+    return sketches.select("host", "text", F.hll_sketch_estimate("sketch").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
+
+
 def meta_duplication(nodes: DataFrame) -> DataFrame:
     """``(page_id, blocks, echoed)``: text blocks whose text also stands in the meta description."""
     is_description = (F.col("tag") == "meta") & (F.lower(attribute_of(F.col("tok"), "name")) == "description")
@@ -367,15 +431,16 @@ def meta_duplication(nodes: DataFrame) -> DataFrame:
 def suggest_selector(pages: DataFrame, coverage: float = 0.9) -> DataFrame:
     """``(host, css, n_pages, votes)``: the container most pages of a host would pick.
 
-    Per page, the smallest container holding ``coverage`` of the automatically found words.
+    Per page, the smallest container holding ``coverage`` of the automatically found words and of the images among them.
     """
     rows = flag_content(html_nodes(pages))
     words = F.when(F.col("kind") == "text", word_count(F.col("tok"))).otherwise(0)
     rows = rows.withColumn("_w", words)
     good = F.when(F.col("_auto"), F.col("_w")).otherwise(0)
-    rows = rows.withColumns({"_all": F.sum("_w").over(so_far()), "_good": F.sum(good).over(so_far())})
-    rows = rows.withColumn("_page_good", F.max("_good").over(whole_page()))
-    rows = element_extents(rows, ("_all", "_good"))
+    image = F.when(F.col("_auto") & F.col("tag").isin(*IMAGE_TAGS) & F.col("kind").isin("open", "void"), 1).otherwise(0)
+    rows = rows.withColumns({"_all": F.sum("_w").over(so_far()), "_good": F.sum(good).over(so_far()), "_pics": F.sum(image).over(so_far())})
+    rows = rows.withColumns({"_page_good": F.max("_good").over(whole_page()), "_page_pics": F.max("_pics").over(whole_page())})
+    rows = element_extents(rows, ("_all", "_good", "_pics"))
     ident = F.coalesce(attribute_of(F.col("tok"), "id"), F.lit(""))
     first_class = F.regexp_extract(F.coalesce(attribute_of(F.col("tok"), "class"), F.lit("")), r"\S+", 0)
     css = F.concat(
@@ -385,7 +450,7 @@ def suggest_selector(pages: DataFrame, coverage: float = 0.9) -> DataFrame:
     )
     inside_good, inside_all = F.col("_good_end") - F.col("_good"), F.col("_all_end") - F.col("_all")
     candidates = rows.filter(opens("div", "article", "section", "main", "body") & (F.col("_page_good") > 0)).filter(
-        inside_good >= F.col("_page_good") * coverage
+        (inside_good >= F.col("_page_good") * coverage) & (F.col("_pics_end") - F.col("_pics") >= F.col("_page_pics") * coverage)
     ).select("page_id", "url", "pos", css.alias("css"), inside_all.alias("size"))
     best = candidates.groupBy("page_id", "url").agg(
         F.min_by("css", F.struct(F.col("size"), -F.col("pos"))).alias("css")

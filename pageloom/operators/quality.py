@@ -8,8 +8,10 @@ from pageloom.functions.html import attribute_of, decode_known, html_escape
 from pageloom.functions.text import collapse_ws
 from pageloom.functions.urls import url_host, url_netloc
 from pageloom.operators.nodes import before, element_extents, opens
+from pageloom.operators.similarity import candidates, ranked, verified
 from pageloom.operators.skew import bucketed_lag, bucketed_prefix, ranged_prefix, salted_join
 from pageloom.operators.vocab import ATTENTION_CLASSES, ATTENTION_CONTAINERS, ATTENTION_RULES
+from pageloom.session import materialize
 
 # Fixed value: back-off of one failed attempt.
 BACKOFF_SECONDS = 1.5
@@ -188,25 +190,37 @@ def learn_patterns(patterns: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def _vocabularies(rows: DataFrame, name: str) -> DataFrame:
+    """``(name, tokens, id)``: the block types of each, sorted, and as one text; as many as there are block types at most."""
+    types = rows.filter(F.col("block_type").isNotNull()).groupBy(name).agg(F.array_sort(F.collect_set("block_type")).alias("tokens"))
+    return types.withColumn("id", F.array_join("tokens", "\x01"))
+
+
+#: Least similarity of the candidates in each round of :func:`pick_template`; the last takes whatever shares a type.
+TEMPLATE_ROUNDS = (0.75, 0.4, 0.0)
+
+
 def pick_template(blocks: DataFrame, templates: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``(page_id, template, score)``: the template whose block vocabulary overlaps most with the page's.
 
     A page that shares no block type with any template has template NULL and score 0; ``pages`` adds those
-    that have no block at all.
+    that have no block at all. Pages and templates with equal vocabularies are one each in the search. A round looks at pairs that share one
+    of their rarest types and fit in size, by the similarity it asks for; what finds its best there takes no part in the next.
     """
-    used = blocks.select("page_id", "block_type").distinct()
-    vocabulary = templates.select("template", "block_type").distinct()
-    sizes = vocabulary.groupBy("template").agg(F.count("*").alias("_theirs"))
-    mine = used.withColumn("_mine", F.count("*").over(Window.partitionBy("page_id")))
-    # Joined on the block type: a page meets only templates it shares a type with.
-    shared = salted_join(mine, vocabulary.groupBy("block_type").agg(F.collect_set("template").alias("_templates")),
-                         ["block_type"], "inner", "page_id")
-    pairs = shared.select("page_id", "_mine", F.explode("_templates").alias("template")).groupBy(
-        "page_id", "template", "_mine").agg(F.count("*").alias("_both"))
-    scored = salted_join(pairs, sizes, ["template"], "inner", "page_id").withColumn(
-        "score", F.round(F.col("_both") / (F.col("_mine") + F.col("_theirs") - F.col("_both")), 4))
-    best = F.min_by(F.struct("template", "score"), F.struct(-F.col("score"), F.col("template")))
-    chosen = scored.groupBy("page_id").agg(best.alias("_b"))
+    mine, theirs = _vocabularies(blocks, "page_id"), _vocabularies(templates, "template")
+    named = materialize(theirs.groupBy("id", "tokens").agg(F.min("template").alias("template")))
+    order = materialize(ranked(named.select("id", "tokens"), []))
+    left = materialize(ranked(mine.select("id", "tokens").distinct(), [], counted=named))
+    found = None
+    for least in TEMPLATE_ROUNDS:
+        met = verified(candidates(left, order, least, []), left, order, []).join(named.select(F.col("id").alias("b"), "template"), "b")
+        scored = met.withColumn("score", F.round("similarity", 4))
+        best = materialize(scored.groupBy("a").agg(
+            F.max("similarity").alias("_top"), F.min_by(F.struct("template", "score"), F.struct(-F.col("score"), F.col("template"))).alias("_b")
+        ).filter(F.col("_top") >= least).select(F.col("a").alias("id"), "_b"))
+        found = best if found is None else found.union(best)
+        left = left.join(best.select("id"), "id", "left_anti")
+    chosen = salted_join(mine.select("page_id", "id"), found, ["id"], "inner", "page_id")
     every = (blocks if pages is None else pages).select("page_id").distinct()
     return every.join(chosen, "page_id", "left").select(
         "page_id", F.col("_b.template").alias("template"), F.coalesce("_b.score", F.lit(0.0)).alias("score"))

@@ -178,11 +178,53 @@ def meta_duplication(spark, sf_dir):
     return C.meta_duplication(N.html_nodes(pages))
 
 
+def _with_near_copies(spark, sf_dir) -> DataFrame:
+    """Articles that repeat their first plain paragraph with another last word, and once more as it is."""
+    first = F.regexp_extract("html", "<p>([^<]+)</p>", 1)
+    again = F.concat(F.lit("<p>"), F.regexp_replace(first, r"\S+$", "changed"), F.lit("</p><p>"), first, F.lit("</p></article>"))
+    return test_pages(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("</article>"), again))
+
+
+def duplicate_content_near(spark, sf_dir):
+    return C.duplicate_content_near(C.text_blocks(N.html_nodes(_with_near_copies(spark, sf_dir))))
+
+
+def near_copies(spark, sf_dir):
+    """Pairs of nearly equal texts within a site."""
+    blocks = C.text_blocks(N.html_nodes(_with_near_copies(spark, sf_dir))).withColumn("host", url_host(F.col("url")))
+    return C.near_copies(blocks, "host").withColumn("similarity", F.round("similarity", 4))
+
+
+def meta_overlap(spark, sf_dir):
+    """Descriptions that run from one paragraph into the next, or end in words of their own."""
+    end = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(" words that stand nowhere else here")
+    first = F.regexp_replace(F.regexp_extract("html", "<p>([^<]+)</p>", 1), r'"', "")
+    second = F.regexp_extract(F.regexp_replace("html", r"^(?s:.*?)<p>[^<]+</p>", ""), r"^<p>(\S+ \S+)", 1)
+    meta = F.concat(F.lit('<meta name="description" content="'), first, F.lit(" "), second, end, F.lit('"></head>'))
+    pages = test_pages(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("</head>"), meta))
+    return C.meta_overlap(N.html_nodes(pages))
+
+
+def site_boilerplate_merged(spark, sf_dir):
+    """Two runs over half of the pages each, one page in both, merged by their sketches."""
+    blocks = C.text_blocks(_nodes(spark, sf_dir))
+    runs = [C.boilerplate_sketches(blocks.filter(cond)) for cond in ("page_id % 2 = 0 or page_id = 1", "page_id % 2 = 1")]
+    return C.shared_texts(C.merge_sketches(*runs))
+
+
+def suggest_selector_images(spark, sf_dir):
+    """The text lies in one part of the article and the images in another: by text alone the first part would win."""
+    pics = ('</div><div class="pics"><img src="/1.jpg"><img src="/2.jpg"><p>Two views of the place as it is seen from the road in the morning and in the evening light</p></div></article>')
+    pages = _derive(spark, sf_dir, "<article>", '<article><div class="story">')
+    return C.suggest_selector(pages.withColumn("html", F.replace(F.col("html"), F.lit("</article>"), F.lit(pics))))
+
+
 def suggest_selector(spark, sf_dir):
     return C.suggest_selector(test_pages(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
+    duplicate_content_near, near_copies, meta_overlap, site_boilerplate_merged, suggest_selector_images,
     load_pages, html_nodes, node_depth, element_extents, drop_chrome, drop_by_id, headings,
     drop_boilerplate_headings, page_title, page_title_cascade, match_selector, select_first, select_first_class, select_structural,
     text_blocks, auto_content, site_boilerplate, drop_site_boilerplate, resolve_content, filter_empty_content,

@@ -1,5 +1,6 @@
 """Cases that used to lose or change data."""
 
+import random
 import html as stdlib_html
 from types import SimpleNamespace
 from urllib.parse import unquote
@@ -113,3 +114,75 @@ def test_intermediates_need_a_shared_folder_on_a_cluster(tmp_path):
     for master in ("yarn", "local-cluster[2,1,512]", "spark://h:7077"):
         with pytest.raises(RuntimeError):
             session.shared_folder(fake(master))
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    from pageloom.operators.similarity import similar_pairs
+
+    rng = random.Random(5)
+    sets = [(f"{k:03d}", rng.choice("xy"), sorted({rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))})) for k in range(160)]
+    frame = spark.createDataFrame(sets, "id string, host string, tokens array<string>")
+    for least in (0.5, 0.8, 1.0):
+        got = {(r.a, r.b): round(r.similarity, 9) for r in similar_pairs(frame, least, ["host"]).collect()}
+        want = {}
+        for a, host, x in sets:
+            for b, other, y in sets:
+                like = len(set(x) & set(y)) / len(set(x) | set(y))
+                if a < b and host == other and like >= least - 1e-9:
+                    want[a, b] = round(like, 9)
+        assert got == want
+
+
+def test_templates_meet_few_pages_and_lose_none(spark):
+    """Ten thousand templates: the best of each page as by comparing all, from a small part of the pairs."""
+    from pageloom.operators import quality as Q, similarity as S
+
+    rng = random.Random(6)
+    types = ["paragraph", *[f"type{k}" for k in range(60)]]
+    templates = [(f"t{k:05d}", p, b, None) for k in range(10_000) for p, b in enumerate({"paragraph", *rng.sample(types, rng.randint(1, 6))})]
+    pages = [(i, p, b, None) for i in range(40) for p, b in enumerate({"paragraph", *rng.sample(types, rng.randint(1, 6))})]
+    pages += [(90, 0, "unknown", None), (91, 0, None, None)]
+    left = spark.createDataFrame(pages, "page_id bigint, block_pos int, block_type string, level bigint")
+    right = spark.createDataFrame(templates, "template string, section_pos int, block_type string, level bigint")
+    vocabulary = {}
+    for name, _, block, _ in templates:
+        vocabulary.setdefault(name, set()).add(block)
+    got = {r.page_id: (r.template, r.score) for r in Q.pick_template(left, right).collect()}
+    for i in range(40):
+        own = {b for p, _, b, _ in pages if p == i}
+        score, name = min((-round(len(own & v) / len(own | v), 4), n) for n, v in vocabulary.items())
+        assert got[i] == (name, -score)
+    assert got[90] == got[91] == (None, 0.0)
+    mine, theirs = Q._vocabularies(left, "page_id"), Q._vocabularies(right, "template").select("id", "tokens").distinct()
+    order = S.ranked(theirs, [])
+    first = S.candidates(S.ranked(mine.select("id", "tokens").distinct(), [], counted=theirs), order, Q.TEMPLATE_ROUNDS[0], [])
+    assert first.count() < 40 * theirs.count() / 20
+
+
+def test_near_copies_across_block_borders_and_odd_pages(spark, pages_of):
+    from pageloom.operators import content as C, nodes as N
+
+    text = " ".join(f"word{k}" for k in range(60))
+    page = f"<head><meta name='description' content='word57 word58 word59 tail of the page'></head><body><p>{text}</p><p>tail of the page</p><p>{text} more</p><p>{text}</p><p>x</p></body>"
+    pages = pages_of(("https://a/1", page), ("https://a/2", f"<p>{text} other</p>"), ("https://b/1", f"<p>{text}</p>"), ("https://b/2", ""))
+    blocks = C.text_blocks(N.html_nodes(pages))
+    row = C.duplicate_content_near(blocks).collect()
+    assert [tuple(r) for r in row] == [(0, 5, 2, 0.4)]
+    from pageloom.functions.urls import url_host
+    pairs = C.near_copies(blocks.withColumn("host", url_host(F.col("url"))), "host").collect()
+    assert {r.host for r in pairs} == {"a"} and len(pairs) == 3
+    assert [tuple(r) for r in C.meta_overlap(N.html_nodes(pages)).collect()] == [(0, 3, 3, 1.0)]
+    runs = [C.boilerplate_sketches(blocks.filter(c)) for c in ("page_id < 2", "page_id > 0")]
+    assert C.shared_texts(C.merge_sketches(*runs), 1).count() == C.site_boilerplate(blocks, 1).count()
+
+
+def test_sketches_of_two_runs_are_those_of_one(spark):
+    from pageloom.operators import content as C
+
+    blocks = spark.range(60_000).select(F.col("id").alias("page_id"), F.lit("https://h/").alias("url"),
+                                        F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("text"))
+    whole = {r.text: r.n_pages for r in C.shared_texts(C.boilerplate_sketches(blocks)).collect()}
+    halves = [C.boilerplate_sketches(blocks.filter(c)) for c in ("page_id < 40000", "page_id > 20000")]
+    merged = {r.text: r.n_pages for r in C.shared_texts(C.merge_sketches(*halves)).collect()}
+    for text in ("t0", "t1"):
+        assert abs(merged[text] - 30_000) < 0.05 * 30_000 and abs(merged[text] - whole[text]) < 0.05 * 30_000
