@@ -17,6 +17,7 @@ from pageloom.operators.selectors import is_structural, structural_hits, structu
 from pageloom.operators.similarity import similar_pairs, word_shingles
 from pageloom.operators.skew import salted_join
 from pageloom.operators.vocab import BLOCK_TAGS, CHROME_TAGS, IMAGE_TAGS
+from pageloom.session import materialize
 
 _STRUCTURAL = re.compile(r"[>+~,*:\[]")
 MIN_BLOCK_WORDS = 15
@@ -364,7 +365,8 @@ def near_copies(blocks: DataFrame, by: str, threshold: float = 0.8, words: int =
 
 def duplicate_content_near(blocks: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """``(page_id, blocks, near, near_ratio)`` of pages with text blocks that repeat an earlier one of the page, nearly or wholly."""
-    texts = blocks.groupBy("page_id", "text").agg(F.min("block_id").alias("_first"), F.count("*").alias("_n"))
+    blocks = materialize(blocks.select("page_id", "block_id", "text"))
+    texts = materialize(blocks.groupBy("page_id", "text").agg(F.min("block_id").alias("_first"), F.count("*").alias("_n")))
     firsts = texts.select(F.col("page_id").cast("string").alias("page_id"), F.md5("text").alias("id"), "_first")
     pairs = near_copies(blocks, "page_id", threshold, words)
     for side in ("a", "b"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.operators.skew import salted_join
+from pageloom.session import materialize
 
 
 def word_shingles(text: Column, n: int = 5) -> Column:
@@ -56,6 +57,6 @@ def similar_pairs(sets: DataFrame, threshold: float, by: list[str]) -> DataFrame
     ``sets`` has unique ``id`` within ``by`` and ``tokens`` without repeats; equal sets should be one row, so that a group of
     copies makes no pairs.
     """
-    order = ranked(sets, by)
+    order = materialize(ranked(materialize(sets), by))  # every step below reads it
     pairs = candidates(order, order, threshold, by).filter("a < b")
     return verified(pairs, order, order, by).filter(F.col("similarity") >= threshold - 1e-9)
