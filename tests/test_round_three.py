@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.operators import nodes as N
 from pageloom.plans import streams as Q
 from pageloom.streaming import pages as P
 
@@ -26,3 +27,11 @@ def test_streams_read_tables_of_one_file(spark, tmp_path, pages_of):
     stream = P.stream_table(spark, str(tmp_path / "in"), "pages.parquet", P.PAGE_SCHEMA)
     P.stream_new_assets(lambda df: df.select(F.col("html").alias("src")), stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_pages_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5(F.concat_ws("-", "id", i))))
+    for rows in (100, 800):
+        spark.range(rows).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), text.alias("html")).write.parquet(str(tmp_path / str(rows)))
+    dealt = [N.by_page(spark.read.parquet(str(tmp_path / str(rows)))).rdd.getNumPartitions() for rows in (100, 800)]
+    assert dealt[1] > 4 and dealt[1] > dealt[0]
