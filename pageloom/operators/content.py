@@ -365,15 +365,11 @@ def near_copies(blocks: DataFrame, by: str, threshold: float = 0.8, words: int =
 
 def duplicate_content_near(blocks: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """``(page_id, blocks, near, near_ratio)`` of pages with text blocks that repeat an earlier one of the page, nearly or wholly."""
-    blocks = materialize(blocks.select("page_id", "block_id", "text"))
     texts = materialize(blocks.groupBy("page_id", "text").agg(F.min("block_id").alias("_first"), F.count("*").alias("_n")))
-    firsts = texts.select(F.col("page_id").cast("string").alias("page_id"), F.md5("text").alias("id"), "_first")
-    pairs = near_copies(blocks, "page_id", threshold, words)
-    for side in ("a", "b"):
-        pairs = pairs.join(firsts.select("page_id", F.col("id").alias(side), F.col("_first").alias(f"_{side}")), ["page_id", side])
-    later = pairs.select("page_id", F.when(F.col("_a") > F.col("_b"), F.col("a")).otherwise(F.col("b")).alias("_id")).distinct()
-    marked = texts.withColumns({"_page": F.col("page_id").cast("string"), "_id": F.md5("text")}).join(
-        later.withColumnRenamed("page_id", "_page").withColumn("_near", F.lit(1)), ["_page", "_id"], "left")
+    texts = texts.withColumn("_at", F.struct("_first", F.md5("text").alias("_md5")))
+    sets = texts.filter("page_id is not null").select("page_id", F.col("_at").alias("id"), word_shingles(F.col("text"), words).alias("tokens"))
+    later = similar_pairs(sets, threshold, ["page_id"], bounded=True).select("page_id", F.col("b").alias("_at")).distinct()
+    marked = texts.join(later.withColumn("_near", F.lit(1)), ["page_id", "_at"], "left")
     near = F.col("_n") - F.when(F.col("_near").isNull(), 1).otherwise(0)
     return marked.groupBy("page_id").agg(F.sum("_n").alias("blocks"), F.sum(near).alias("near")).filter("near > 0").withColumn(
         "near_ratio", F.round(F.col("near") / F.col("blocks"), 4))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import nodes as N
+from pageloom.operators import content as C, nodes as N, similarity as S
+from pageloom.operators.quality import pick_template
 from pageloom.plans import streams as Q
 from pageloom.streaming import pages as P
 
@@ -35,3 +36,37 @@ def test_pages_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path):
         spark.range(rows).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), text.alias("html")).write.parquet(str(tmp_path / str(rows)))
     dealt = [N.by_page(spark.read.parquet(str(tmp_path / str(rows)))).rdd.getNumPartitions() for rows in (100, 800)]
     assert dealt[1] > 4 and dealt[1] > dealt[0]
+
+
+def test_counts_of_shingles_are_not_repeated_for_every_salt(spark):
+    sets = spark.createDataFrame([("x", [1, 2, 3]), ("y", [2, 3, 4]), ("z", [3])], "id string, tokens array<bigint>")
+    order = S.ranked(sets, [])
+    assert "_salt" not in order._jdf.queryExecution().toString()
+    assert {r.id: r.tokens for r in order.collect()} == {"x": [1, 2, 3], "y": [4, 2, 3], "z": [3]}
+
+
+def test_near_copies_within_pages_and_sites(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    plain, near = " ".join(words), " ".join([*words[:-1], "changed"])
+    rows = [(1, 1, plain), (1, 2, "else"), (1, 3, near), (1, 4, "else"), (2, 1, plain), (3, 1, near), (None, 1, plain), (None, 2, near),
+            (4, 1, plain), (4, 1, near)]  # page 4 came twice
+    blocks = spark.createDataFrame(rows, "page_id bigint, block_id bigint, text string").withColumn("host", F.lit("h"))
+    assert sorted((r.page_id, r.blocks, r.near) for r in C.duplicate_content_near(blocks).collect()) == [(1, 4, 2), (4, 2, 1)]
+    pairs = C.near_copies(blocks, "host").collect()
+    assert len(pairs) == 1 and pairs[0].a < pairs[0].b and round(pairs[0].similarity, 4) == round(11 / 13, 4)
+    assert C.near_copies(blocks.withColumn("host", F.col("text")), "host").count() == 0
+
+
+def test_templates_read_the_blocks_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(kind):
+        read.add(1)
+        return kind
+
+    rows = spark.createDataFrame([(i, "table" if i % 2 else "list") for i in range(8)], "page_id bigint, block_type string")
+    blocks = rows.withColumn("block_type", F.udf(seen, "string")("block_type"))
+    templates = spark.createDataFrame([("t", 1, "table", None)], "template string, section_pos int, block_type string, level bigint")
+    found = pick_template(blocks, templates, rows).collect()
+    assert sorted((r.page_id, r.template) for r in found) == [(i, "t" if i % 2 else None) for i in range(8)]
+    assert read.value <= 16  # a filter and the column itself read each row
