@@ -207,7 +207,7 @@ def pick_template(blocks: DataFrame, templates: DataFrame, pages: DataFrame | No
     that have no block at all. Pages and templates with equal vocabularies are one each in the search. A round looks at pairs that share one
     of their rarest types and fit in size, by the similarity it asks for; what finds its best there takes no part in the next.
     """
-    mine, theirs = _vocabularies(blocks, "page_id"), _vocabularies(templates, "template")
+    mine, theirs = materialize(_vocabularies(blocks, "page_id")), _vocabularies(templates, "template")  # read twice; blocks are dear
     named = materialize(theirs.groupBy("id", "tokens").agg(F.min("template").alias("template")))
     order = materialize(ranked(named.select("id", "tokens"), []))
     left = materialize(ranked(mine.select("id", "tokens").distinct(), [], counted=named))
