@@ -13,7 +13,7 @@ from pageloom.operators.nodes import (
     before, body_nodes, by_page, closes, element_extents, first_element, flag_first, html_nodes, node_depth, node_depths, opens,
     page, whole_page, so_far,
 )
-from pageloom.operators.selectors import is_structural, structural_hits, structural_steps
+from pageloom.operators.selectors import is_structural, structural_steps, with_structural_hits
 from pageloom.operators.similarity import similar_pairs, word_shingles
 from pageloom.operators.skew import salted_join
 from pageloom.operators.vocab import BLOCK_TAGS, CHROME_TAGS, IMAGE_TAGS
@@ -56,13 +56,12 @@ def _selector_hit(nodes: DataFrame, max_parts: int, structural: bool) -> DataFra
     """Add boolean ``_hit``: the node matches the page's selector (column ``css``).
 
     Plain selectors are matched with windows that the page needs anyway. With ``structural``, the others are matched in a
-    pass over the tags of their pages, which is joined back as one row per page.
+    pass over the tags of their pages, for which a page's rows stand in one array.
     """
     nodes = nodes.withColumn("_parts", selector_parts(F.col("css")))
     count = F.size("_parts")
     if structural:
-        steps = F.when(is_structural(F.col("css")), structural_steps(F.col("css")))
-        nodes = nodes.join(structural_hits(nodes.withColumn("_steps", steps)), "page_id", "left")
+        nodes = with_structural_hits(nodes)
     rows = nodes if max_parts == 1 else element_extents(nodes)
     hit = F.lit(False)
     for k in range(max_parts):

@@ -74,12 +74,11 @@ def _attribute_holds(tok: Column, a: Column) -> Column:
         .when(kind == "*=", value.contains(want) & part), F.lit(False))
 
 
-def _step_matches(step: Column) -> Column:
-    """The node's own tag satisfies a step's compound (its position aside)."""
-    tok = F.col("tok")
+def _step_matches(step: Column, tok: Column, tag: Column) -> Column:
+    """A node's own tag satisfies a step's compound (its position aside)."""
     classes = F.split(F.coalesce(attribute_of(tok, "class"), F.lit("")), r"\s+")
     return (
-        ((step["tag"] == "") | (step["tag"] == F.col("tag")))
+        ((step["tag"] == "") | (step["tag"] == tag))
         & ((step["id"] == "") | F.coalesce(attribute_of(tok, "id") == step["id"], F.lit(False)))
         & ((F.size(step["classes"]) == 0) | (F.size(F.array_except(step["classes"], classes)) == 0))
         & F.forall(step["attrs"], lambda a: _attribute_holds(tok, a))
@@ -96,6 +95,7 @@ def _mask(steps: Column, chosen) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 
+_TAG_KINDS = ("open", "close", "void")
 _FRAME = "struct<tag:string,own:bigint,above:bigint,last:bigint,sibs:bigint,n:int>"
 
 
@@ -112,12 +112,37 @@ def structural_hits(nodes: DataFrame) -> DataFrame:
     One pass over the page's tags in order, in one expression. A closing tag ends the innermost open element of its name and all
     inside it; a block-level tag ends an open paragraph, and a list item the one before it in its list.
     """
-    is_tag = F.col("kind").isin("open", "close", "void")
-    starts = F.col("kind") != "close"
-    bits = F.when(starts, _mask(F.col("_steps"), lambda s, k: _step_matches(s))).otherwise(F.lit(0).cast("bigint"))
+    is_tag = F.col("kind").isin(*_TAG_KINDS)
     rows = nodes.filter(F.col("_steps").isNotNull() & is_tag).select(
-        "page_id", "_steps", F.struct("pos", "kind", "tag", bits.alias("bits")).alias("_tag"))
+        "page_id", "_steps", _tag_of(F.col("pos"), F.col("kind"), F.col("tag"), F.col("tok")).alias("_tag"))
     pages = rows.groupBy("page_id").agg(F.first("_steps").alias("_steps"), F.array_sort(F.collect_list("_tag")).alias("_tags"))
+    return _first_hits(pages).select("page_id", "hit_pos").filter("hit_pos is not null")
+
+
+def with_structural_hits(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``hit_pos``, as :func:`structural_hits` finds it for their selector (``css``); NULL where that is a plain one or matches nothing.
+
+    The rows of a page are put side by side for the pass and taken apart again, so that they are worked out once. Rows
+    without ``page_id`` have no hit. Where rows of one page differ in their selector, one of those that need the pass counts.
+    """
+    css = F.when(is_structural(F.col("css")), F.col("css"))
+    rest = [c for c in nodes.columns if c != "page_id"]
+    pages = nodes.groupBy("page_id").agg(F.max(css).alias("_css"), F.collect_list(F.struct(*rest)).alias("_nodes"))
+    pages = pages.withColumn("_steps", F.when(F.col("page_id").isNotNull(), structural_steps(F.col("_css"))))
+    tags = F.filter("_nodes", lambda n: n["kind"].isin(*_TAG_KINDS) & (n["css"] == F.col("_css")))
+    tags = F.array_sort(F.transform(tags, lambda n: _tag_of(n["pos"], n["kind"], n["tag"], n["tok"])))
+    hits = _first_hits(pages.withColumn("_tags", F.when(F.col("_steps").isNotNull(), tags)))
+    return hits.select("page_id", "hit_pos", F.inline("_nodes"))
+
+
+def _tag_of(pos: Column, kind: Column, tag: Column, tok: Column) -> Column:
+    """A tag for :func:`_first_hits`: ``bits`` are the steps (``_steps``) that it satisfies by itself."""
+    bits = F.when(kind != "close", _mask(F.col("_steps"), lambda s, k: _step_matches(s, tok, tag))).otherwise(F.lit(0).cast("bigint"))
+    return F.struct(pos.alias("pos"), kind.alias("kind"), tag.alias("tag"), bits.alias("bits"))
+
+
+def _first_hits(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``hit_pos``, from ``_steps`` and the tags of the page in order (``_tags``, see :func:`_tag_of`)."""
     steps = F.col("_steps")
     masks = {name: _mask(steps, lambda s, k, link=link: s["link"] == link) for name, link in (
         ("_first", ""), ("_desc", " "), ("_child", ">"), ("_next", "+"), ("_later", "~"))}
@@ -175,5 +200,4 @@ def structural_hits(nodes: DataFrame) -> DataFrame:
     def merge(state: Column, e: Column) -> Column:
         return F.when(state["at"].isNotNull(), state).when(e["kind"] == "close", ended(state, e)).otherwise(opened(state, e))
 
-    hit = F.aggregate("_tags", start, merge, lambda s: s["at"])
-    return pages.select("page_id", hit.alias("hit_pos")).filter("hit_pos is not null")
+    return pages.withColumn("hit_pos", F.aggregate("_tags", start, merge, lambda s: s["at"]))

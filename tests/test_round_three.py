@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import content as C, nodes as N, similarity as S
+from pageloom.operators import content as C, nodes as N, selectors as L, similarity as S
 from pageloom.operators.quality import pick_template
 from pageloom.plans import streams as Q
 from pageloom.streaming import pages as P
@@ -70,3 +70,29 @@ def test_templates_read_the_blocks_once(spark):
     found = pick_template(blocks, templates, rows).collect()
     assert sorted((r.page_id, r.template) for r in found) == [(i, "t" if i % 2 else None) for i in range(8)]
     assert read.value <= 16  # a filter and the column itself read each row
+
+
+def test_structural_selectors_parse_a_page_once(spark, pages_of, capsys):
+    html = "<body><nav><p>n</p></nav><div id=a><p>one</p><p>two</p></div></body>"
+    pages = pages_of(("https://a.example/", html), ("https://b.example/", html), ("https://c.example/", html)).unionByName(
+        spark.createDataFrame([(None, "https://a.example/", html)], "page_id bigint, url string, html string"))
+    selectors = spark.createDataFrame([("a.example", "div > p + p"), ("b.example", "div p"), ("c.example", "div > h1")], "host string, css string")
+    content = C.content_nodes(pages, selectors)
+    content.explain()
+    assert capsys.readouterr().out.count("Generate posexplode") == 1
+    text = F.expr("listagg(if(kind = 'text', tok, null), ' ') within group (order by pos)")
+    found = {(r.page_id, r.content_source, r.text) for r in content.groupBy("page_id", "content_source").agg(text.alias("text")).collect()}
+    assert found >= {(0, "selector", "two"), (1, "selector", "one")} and (2, "fallback") in {f[:2] for f in found} and len(found) == 4
+
+
+def test_hits_are_the_same_with_their_rows_and_alone(spark):
+    html = "<div class=row><p>a<p>b</div><ul><li>c<li><b>d</b></ul>"
+    rows = [(1, html, "p + p"), (2, html, "ul > li"), (3, html, "ul li"), (4, "", "p > b"), (5, html, None), (None, html, "p + p")]
+    nodes = N.html_nodes(spark.createDataFrame(rows, "page_id bigint, html string, css string"), ("css",))
+    steps = F.when(L.is_structural(F.col("css")), L.structural_steps(F.col("css")))
+    alone = {r.page_id: r.hit_pos for r in L.structural_hits(nodes.withColumn("_steps", steps).filter("page_id is not null")).collect()}
+    marked = L.with_structural_hits(nodes)
+    assert marked.count() == nodes.count() and alone == {1: 3, 2: 7}
+    assert {(r.page_id, r.hit_pos) for r in marked.select("page_id", "hit_pos").distinct().collect()} == {
+        (i, alone.get(i)) for i in (1, 2, 3, 4, 5, None)}
+    assert marked.select(*nodes.columns).exceptAll(nodes).count() == 0
