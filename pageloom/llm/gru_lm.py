@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import byte_column, map_batches, materialize, remainder
+from pageloom.llm.common import map_batches, materialize, remainder
 
 #: Words whose counts go to every task, at most; words with outputs of their own; words in a class.
 KNOWN, OWN, CLASS = 150_000, 1024, 32
@@ -27,6 +28,8 @@ TRAIN_STEPS, TRAIN_LANES, STEPS, LANES = 20, (32, 384), 48, 384
 END = b""
 #: Distinct words counted in a task before the counts are passed on.
 COUNTED = 400_000
+#: Bytes of texts whose words are told apart at once (one text at least).
+SPLIT_BYTES = 1 << 23
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -36,6 +39,40 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
+class Words(NamedTuple):
+    """The :func:`tokens` of several texts: their distinct words, each token's place among these, and each text's tokens."""
+
+    distinct: pa.Array
+    tokens: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def texts(self) -> np.ndarray:
+        """The text of each token, by its place."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+def split_texts(texts: pa.Array):
+    """:class:`Words` of about ``SPLIT_BYTES`` of texts at a time, in order; words are cut and told apart by Arrow."""
+    step = max(1, len(texts) * SPLIT_BYTES // max(1, texts.nbytes))
+    for start in range(0, len(texts), step):
+        lower = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(start, step), pa.scalar("", texts.type))))
+        # White space after the last word leaves an empty one there, the end; an empty text is one already.
+        nothing, blank = pa.scalar("", lower.type), pa.scalar(" ", lower.type)
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(lower, nothing), nothing, pc.binary_join_element_wise(lower, blank, nothing)))
+        words = lists.flatten().dictionary_encode()
+        yield Words(words.dictionary.cast(pa.large_binary()), words.indices.to_numpy(), pc.list_value_length(lists).to_numpy())
+
+
+def _words(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.large_binary())
+
+
+def _find(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word in ``among``, -1 where it is not there."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy().astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     """Counts of frequent words, the first of which have outputs of their own; totals of the corpus.
@@ -57,8 +94,8 @@ class Vocabulary:
 
     def __post_init__(self):
         if self.inputs is None:
-            groups = [self.own + self.group(w) for w in list(self.index)[self.own:]]
-            self.inputs = np.array([*range(self.own), *groups, 0], np.int32)
+            groups = self.own + self.groups(_words(list(self.index)[self.own:]))
+            self.inputs = np.concatenate([np.arange(self.own), groups, [0]]).astype(np.int32)
 
     def plain(self) -> tuple:
         """Dictionaries, arrays and numbers alone, to be broadcast: tasks need no copy of this class."""
@@ -68,25 +105,36 @@ class Vocabulary:
     def classes(self) -> int:
         return -(-self.own // CLASS) + GROUPS
 
-    def group(self, word: bytes) -> int:
-        return self.endings.get(word[-3:], self.endings.get(word[-1:], 0))
+    @cached_property
+    def known(self) -> pa.Array:
+        return _words(list(self.index))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Index of each word's count, -1 where it has none."""
+        return _find(words, self.known)
+
+    def groups(self, words: pa.Array) -> np.ndarray:
+        """Group of each word, by its last three bytes if these are among the endings, else its last one."""
+        endings, group = _words(list(self.endings)), np.array([*self.endings.values(), 0], np.int32)
+        three, one = (_find(pc.binary_slice(words, k), endings) for k in (-3, -1))
+        return group[np.where(three < 0, one, three)]  # the entry of -1 is the last
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; summed within each task, as far as ``COUNTED`` words, before the shuffle."""
     def run(batches):
-        counts: Counter = Counter()
+        counts: dict[bytes, int] = {}
 
         def flush():
-            words = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[w] for w in words], pa.int64())],
-                                               names=["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
             return batch
 
         for batch in batches:
-            for text in byte_column(batch, "text"):
-                counts.update(tokens(text))
+            for part in split_texts(batch.column("text")):
+                times = np.bincount(part.tokens, minlength=len(part.distinct)).tolist()
+                for word, n in zip(part.distinct.to_numpy(zero_copy_only=False).tolist(), times):
+                    counts[word] = counts.get(word, 0) + n
                 if len(counts) > COUNTED:
                     yield flush()
         yield flush()
@@ -115,35 +163,35 @@ def _ending_groups(training: DataFrame, own: list[bytes]) -> dict[bytes, int]:
     Endings are vectors of the frequent words around them, over all training texts; a few rounds of k-means on
     at most ``ENDINGS`` of them (the most frequent) give the groups.
     """
-    known = {w: i for i, w in enumerate(own[:AROUND])}
-    everywhere = frozenset(own)
+    everywhere = _words(own)
 
     def run(batch):
         number: dict[bytes, int] = {}
-        names, times, sizes, vectors = [], [], [], []
-        for text in byte_column(batch, "text"):
-            count = Counter(tokens(text))
-            around = np.zeros(AROUND + 1)
-            found: dict[bytes, int] = {}
-            for w, n in count.items():
-                if w not in everywhere:
-                    for ending in (w[-1:], w[-3:]):
-                        found[ending] = found.get(ending, 0) + n
-                elif w in known:
-                    around[known[w]] = n
-            around /= max(1.0, np.sqrt((around**2).sum()))
-            around[AROUND] = 1.0
-            names += [number.setdefault(e, len(number)) for e in found]
-            times += found.values()
-            sizes.append(len(found))
-            vectors.append(around)
+        found = []
+        for part in split_texts(batch.column("text")):
+            texts, size = part.texts, len(part.sizes)
+            at = _find(part.distinct, everywhere)
+            place = np.where(at < 0, AROUND, np.minimum(at, AROUND))[part.tokens]
+            around = np.bincount(texts * (AROUND + 1) + place, minlength=size * (AROUND + 1)).reshape(size, -1).astype(float)
+            around[:, AROUND] = 0
+            around /= np.maximum(1.0, np.sqrt((around**2).sum(axis=1, keepdims=True)))
+            around[:, AROUND] = 1.0
+            # Times that a text has an ending, of other words; sorted by ending.
+            other = (at < 0)[part.tokens]
+            owners, which = texts[other], (np.cumsum(at < 0) - 1)[part.tokens[other]]
+            pairs = []
+            for k in (-1, -3):
+                ending = pc.binary_slice(part.distinct.filter(pa.array(at < 0)), k).dictionary_encode()
+                numbers = np.array([number.setdefault(e, len(number)) for e in ending.dictionary.to_pylist()], np.int64)
+                pairs.append(numbers[ending.indices.to_numpy()][which] * size + owners)
+            pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+            names, owner = np.divmod(pairs, size)
+            cuts = [*np.flatnonzero(np.diff(names, prepend=-1)).tolist(), len(names)]
+            found.append((names[cuts[:-1]], [times[a:b] @ around[owner[a:b]] for a, b in zip(cuts, cuts[1:])]))
         v = np.zeros((len(number), AROUND + 1))
-        order = np.argsort(np.array(names, np.int64), kind="stable")
-        owner, times = np.repeat(np.arange(len(sizes)), sizes)[order], np.array(times, float)[order]
-        ends = np.cumsum(np.bincount(np.array(names, np.int64), minlength=len(number))).tolist()
-        vectors = np.array(vectors)
-        for k, (start, stop) in enumerate(zip([0, *ends], ends)):
-            v[k] = times[start:stop] @ vectors[owner[start:stop]]
+        for names, rows in found:
+            if rows:
+                v[names] += rows
         return {"ending": list(number), "v": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), AROUND + 1)}
 
     sums = [F.sum(F.col("v")[k]).alias(f"s{k}") for k in range(AROUND + 1)]
@@ -182,15 +230,14 @@ def build_vocabulary(counts: DataFrame, training: DataFrame) -> Vocabulary:
     vocab = Vocabulary({w: i for i, w in enumerate(words)}, np.array([numbers[w] for w in words], np.int64), own,
                        _ending_groups(training, words[:own]) if words else {}, int(total["n"] or 0), int(total["v"] or 0),
                        np.zeros(GROUPS), np.ones(GROUPS))
-    first = frozenset(words[:own])
+    first = _words(words[:own])
 
     def run(batch):
-        mass, once = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
-        for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            if w not in first:
-                g = vocab.group(w)
-                mass[g] += n
-                once[g] += n == 1
+        words, n = batch.column("word").cast(pa.large_binary()), batch.column("n").to_numpy()
+        other = _find(words, first) < 0
+        g, n = vocab.groups(words)[other], n[other]
+        mass, once = np.zeros(GROUPS, np.int64), np.bincount(g[n == 1], minlength=GROUPS)
+        np.add.at(mass, g, n)
         return {"g": range(GROUPS), "mass": mass, "once": once}
 
     slim = counts.select("word", "n")
@@ -209,10 +256,16 @@ def _sign(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp, in place; scores beyond 60 either way count as 60, which keeps it finite without a pass for the largest."""
+    np.minimum(x, 60, out=x)
+    np.maximum(x, -60, out=x)
+    return np.exp(x, out=x)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place; scores beyond 60 either way count as 60, which keeps exp finite without a pass for the largest."""
-    np.clip(x, -60, 60, out=x)
-    np.exp(x, out=x)
+    """Softmax of each row, in place."""
+    x = _exp(x)
     x /= x @ np.ones((x.shape[1], 1), x.dtype)
     return x
 
@@ -246,55 +299,67 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
 
+    def thirds(self, name: str) -> np.ndarray:
+        """A parameter's columns for update, reset and proposal, each of them in one piece."""
+        return np.ascontiguousarray(self.p[name].reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
     def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """State before each token of (lanes, steps), by step, the last state, and what a backward pass needs: gates, proposals and their products."""
-        size, gate, steps, lanes = HIDDEN, self.p["gate"], ids.shape[1], len(ids)
-        inputs = (self.p["emb"] + self.p["bias"]).take(ids.T.ravel(), axis=0).reshape(steps, lanes, 3 * size)
+        size, gate, steps, lanes = HIDDEN, self.thirds("gate"), ids.shape[1], len(ids)
+        table = self.thirds("emb") + self.p["bias"].reshape(3, 1, size)
+        inputs = table.take(ids.T.ravel(), axis=1).reshape(3, steps, lanes, size)
         kind = gate.dtype
         before = np.empty((steps, lanes, size), kind)
         restart = fresh.any(axis=0)
-        if keep:
-            gates, proposals, products = (np.empty((steps, lanes, n), kind) for n in (2 * size, size, size))
+        # Without ``keep``, every step writes to the same place.
+        kept = steps if keep else 1
+        gates, products, proposals = (np.empty(s, kind) for s in ((2, kept, lanes, size), (3, kept, lanes, size), (kept, lanes, size)))
         for t in range(steps):
             if restart[t]:
                 h = h * ~fresh[:, t, None]
             before[t] = h
-            a, g = inputs[t], h @ gate
-            zr = _sign(a[:, : 2 * size] + g[:, : 2 * size])
+            at = t if keep else 0
+            a, g, zr, n = inputs[:, t], products[:, at], gates[:, at], proposals[at]
+            np.matmul(before[t], gate, out=g)
+            np.add(a[:2], g[:2], out=zr)
+            _sign(zr)
             zr += 1
             zr *= np.float32(0.5)
-            n = zr[:, size:] * g[:, 2 * size:]
-            n += a[:, 2 * size:]
+            np.multiply(zr[1], g[2], out=n)
+            n += a[2]
             _sign(n)
-            if keep:
-                gates[t], proposals[t], products[t] = zr, n, g[:, 2 * size:]
-            h = h - n
-            h *= zr[:, :size]
+            h = before[t] - n
+            h *= zr[0]
             h += n
-        return before, h, (gates, proposals, products) if keep else None
+        return before, h, (gates, proposals, products[2]) if keep else None
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.own, ids // CLASS, self.fixed + ids - self.own)
 
-    def by_class(self, cls: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-        """(rows of own words sorted by class, (class, its part of them) for the classes that occur)."""
-        own = cls[rows].astype(np.int16)
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.fixed + 1)).tolist()
-        return rows[order], [(c, slice(cuts[c], cuts[c + 1])) for c in range(self.fixed) if cuts[c + 1] > cuts[c]]
+    def word_scores(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+        """For rows of own words sorted by class: scores of the words of their class, where the row's own word stands in
+        them, and per class that occurs its rows and words."""
+        cls = ids // CLASS
+        cuts = np.searchsorted(cls, np.arange(self.fixed + 1)).tolist()
+        parts = [(slice(cuts[c], cuts[c + 1]), slice(c * CLASS, (c + 1) * CLASS)) for c in range(self.fixed) if cuts[c + 1] > cuts[c]]
+        scores = np.empty((len(ids), CLASS), h.dtype)
+        for at, words in parts:
+            np.matmul(h[at], self.p["word"][words].T, out=scores[at])
+        scores += self.p["word_bias"].reshape(-1, CLASS).take(cls, axis=0)
+        return scores, np.arange(len(ids)) * CLASS + ids % CLASS, parts
 
     def log_probability(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for own words, of P(word | class), per row of states."""
-        cls = self.classes_of(ids)
+        def chance(scores, at):
+            scores = _exp(scores)
+            return scores.ravel()[at] / (scores @ np.ones(scores.shape[1], scores.dtype))
+
         chances = np.ones((2, len(ids)), h.dtype)
-        chances[0] = _softmax(h @ self.p["cls"] + self.p["cls_bias"])[np.arange(len(ids)), cls]
-        rows, parts = self.by_class(cls, np.flatnonzero(ids < self.own))
-        here, place, found = h[rows], ids[rows] % CLASS, np.empty(len(rows), h.dtype)
-        for c, at in parts:
-            part = slice(c * CLASS, (c + 1) * CLASS)
-            p = _softmax(here[at] @ self.p["word"][part].T + self.p["word_bias"][part])
-            found[at] = p[np.arange(len(p)), place[at]]
-        chances[1, rows] = found
+        chances[0] = chance(h @ self.p["cls"] + self.p["cls_bias"], np.arange(len(ids)) * self.classes + self.classes_of(ids))
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        rows = order[: np.count_nonzero(ids < self.own)]
+        scores, at, _ = self.word_scores(h.take(rows, axis=0), ids[rows])
+        chances[1, rows] = chance(scores, at)
         return np.log(np.maximum(chances, 1e-30)).sum(axis=0)
 
     def gradients(self, ids, fresh, live, h):
@@ -303,55 +368,67 @@ class Network:
         before, last, (gates, n, products) = self.states(ids, fresh, h, keep=True)
         grad = {k: np.zeros_like(p[k]) for k in ("word", "word_bias")}
         hs, flat, on = before.reshape(-1, size), ids.T.ravel(), live.T.ravel()
-        cls = self.classes_of(flat)
+        every = on.all()
         e = _softmax(hs @ p["cls"] + p["cls_bias"])
-        e[np.arange(len(flat)), cls] -= 1
-        if not on.all():
+        e.ravel()[np.arange(len(flat)) * self.classes + self.classes_of(flat)] -= 1
+        if not every:
             e *= on[:, None]
-        grad["cls"], grad["cls_bias"] = hs.T @ e, e.sum(axis=0)
+        ones = np.ones(len(flat), hs.dtype)
+        grad["cls"], grad["cls_bias"] = hs.T @ e, ones @ e
         back = e @ p["cls"].T
-        rows, parts = self.by_class(cls, np.flatnonzero((flat < self.own) & on))
-        own_hs, place, own_back = hs[rows], flat[rows] % CLASS, np.empty((len(rows), size), hs.dtype)
-        for c, at in parts:
-            part = slice(c * CLASS, (c + 1) * CLASS)
-            here = own_hs[at]
-            e = _softmax(here @ p["word"][part].T + p["word_bias"][part])
-            e[np.arange(len(here)), place[at]] -= 1
-            grad["word"][part], grad["word_bias"][part] = e.T @ here, e.sum(axis=0)
-            np.matmul(e, p["word"][part], out=own_back[at])
+        # One order by input serves both ends: own words come first in it, by class.
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        names = flat[order]
+        rows = order[: np.searchsorted(names, self.own)]
+        if not every:
+            rows = rows[on[rows]]
+        own_hs = hs.take(rows, axis=0)
+        e, at, parts = self.word_scores(own_hs, flat[rows])
+        e = _softmax(e)
+        e.ravel()[at] -= 1
+        own_back = np.empty_like(own_hs)
+        for at, words in parts:
+            grad["word"][words], grad["word_bias"][words] = e[at].T @ own_hs[at], ones[at] @ e[at]
+            np.matmul(e[at], p["word"][words], out=own_back[at])
         back[rows] += own_back
         back = back.reshape(before.shape)
         # Slopes of all steps at once; the loop back through time is left with a few products.
-        z, r = gates[:, :, :size], gates[:, :, size:]
-        slope = 1 - np.abs(2 * gates - 1)
+        z, r = gates
+        slope = gates * 2
+        slope -= 1
+        np.abs(slope, out=slope)
+        np.subtract(1, slope, out=slope)
         slope *= slope
         slope *= np.float32(0.5)
-        of_n = 1 - np.abs(n)
+        of_n = np.abs(n)
+        np.subtract(1, of_n, out=of_n)
         of_n *= of_n
         of_n *= 1 - z
-        of_z, of_r = (before - n) * slope[:, :, :size], products * slope[:, :, size:]
-        keeps = ~fresh.T[:, :, None]
-        inputs, outputs = (np.empty((steps, len(ids), 3 * size), hs.dtype) for _ in range(2))
-        dh, gate = np.zeros_like(h), np.ascontiguousarray(p["gate"].T)
+        of_z, of_r = slope
+        of_z *= before - n
+        of_r *= products
+        restart = fresh.any(axis=0)
+        # Of update, reset and the proposal's product with the state; then of the proposal.
+        slopes = np.empty((4, *before.shape), hs.dtype)
+        dh, gate = np.zeros_like(h), np.ascontiguousarray(self.thirds("gate").transpose(0, 2, 1))
         for t in reversed(range(steps)):
-            own, out = inputs[t], outputs[t]
-            dn = dh * of_n[t]
-            np.multiply(dh, of_z[t], out=own[:, :size])
-            np.multiply(dn, of_r[t], out=own[:, size: 2 * size])
-            own[:, 2 * size:] = dn
-            out[:, : 2 * size] = own[:, : 2 * size]
-            np.multiply(dn, r[t], out=out[:, 2 * size:])
+            own = slopes[:, t]
+            dn = np.multiply(dh, of_n[t], out=own[3])
+            np.multiply(dh, of_z[t], out=own[0])
+            np.multiply(dn, of_r[t], out=own[1])
+            np.multiply(dn, r[t], out=own[2])
             dh = dh * z[t]
-            dh += out @ gate
+            for part in np.matmul(own[:3], gate):
+                dh += part
             dh += back[t]
-            dh *= keeps[t]
-        grad["gate"] = hs.T @ outputs.reshape(-1, 3 * size)
-        flat_in = inputs.reshape(-1, 3 * size)
-        order = np.argsort(flat.astype(np.int16), kind="stable")
-        names = flat[order]
+            if restart[t]:
+                dh *= ~fresh[:, t, None]
+        slopes = slopes.reshape(4, -1, size)
+        grad["gate"] = np.concatenate([hs.T @ part for part in slopes[:3]], axis=1)
         starts = np.flatnonzero(np.diff(names, prepend=-1))
-        grad["emb"] = names[starts], np.add.reduceat(flat_in[order], starts, axis=0)
-        grad["bias"] = flat_in.sum(axis=0)
+        inputs = [np.add.reduceat(slopes[k].take(order, axis=0), starts, axis=0) for k in (0, 1, 3)]
+        grad["emb"] = names[starts], np.concatenate(inputs, axis=1)
+        grad["bias"] = grad["emb"][1].sum(axis=0)
         return grad, last
 
 
@@ -367,30 +444,38 @@ def _lanes(texts: list[np.ndarray], most: int) -> list[list[int]]:
 
 def _windows(texts: list[np.ndarray], lanes: list[list[int]], steps: int):
     """(ids, fresh, live, text of each token) per window of the lanes that still run."""
-    streams = [np.concatenate([texts[i] for i in own]) for own in lanes]
-    owners = [np.repeat(np.array(own, np.int32), [len(texts[i]) for i in own]) for own in lanes]
-    first = [np.concatenate([np.arange(len(texts[i])) == 0 for i in own]) for own in lanes]
-    for at in range(0, len(streams[0]) if streams else 0, steps):
-        running = [k for k, s in enumerate(streams) if len(s) > at]
-        wide = min(steps, len(streams[0]) - at)
-        shape = (len(running), wide)
-        ids, owner = np.zeros(shape, np.int32), np.zeros(shape, np.int64)
-        fresh, live = np.zeros(shape, bool), np.zeros(shape, bool)
-        for row, k in enumerate(running):
-            n = min(wide, len(streams[k]) - at)
-            ids[row, :n], owner[row, :n] = streams[k][at: at + n], owners[k][at: at + n]
-            fresh[row, :n], live[row, :n] = first[k][at: at + n], True
-        yield ids, fresh, live, owner
-
-
-def encode(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int]]]:
-    """(input numbers: own words, then groups; index of each word with a count, else -1; the others with their group)."""
-    at = np.array(list(map(vocab.index.get, words, repeat(-1))), np.int64)
-    ids = vocab.inputs[at]  # the entry of -1 is the last, and replaced
-    others = np.flatnonzero(at < 0).tolist()
-    rest = [(words[k], vocab.group(words[k])) for k in others]
-    ids[others] = [vocab.own + g for _, g in rest]
-    return ids, at, rest
+    if not lanes:
+        return
+    order = [i for own in lanes for i in own]
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    stream, owners = np.concatenate([texts[i] for i in order]), np.repeat(np.array(order, np.int64), sizes)
+    first = np.zeros(len(stream), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    ends = np.cumsum([sum(len(texts[i]) for i in own) for own in lanes])
+    lengths = np.diff(ends, prepend=0)  # the longest lane comes first
+    for at in range(0, int(lengths[0]), steps):
+        running = int(np.count_nonzero(lengths > at))
+        wide = min(steps, int(lengths[0]) - at)
+        place = at + np.arange(wide)
+        live = place < lengths[:running, None]
+        place = np.minimum((ends - lengths)[:running, None] + place, len(stream) - 1)
+        if live.all():
+            yield stream[place], first[place], live, owners[place]
+        else:
+            yield stream[place] * live, first[place] & live, live, owners[place] * live
+
+
+def encode(words: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per distinct word: input number (own words, then groups), index of its count, else -1, and group of a word without one."""
+    at, groups = vocab.numbers(words.distinct), vocab.groups(words.distinct)
+    ids = np.where(at < 0, vocab.own + groups, vocab.inputs[at])  # the entry of -1 is not used
+    return ids, at, groups
+
+
+def by_text(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Tokens of several texts, taken apart."""
+    ends = np.cumsum(sizes).tolist()
+    return [tokens[start:stop] for start, stop in zip([0, *ends], ends)]
 
 
 def train_shard(net: Network, texts: list[np.ndarray], rate: float) -> Network:
@@ -459,8 +544,11 @@ def train(training: DataFrame, vocab: Vocabulary, train_tokens: int, rounds: int
 
     def numbers(batch):
         vocab = Vocabulary(*words.value)
-        return {"shard": batch.column("shard"),
-                "ids": [encode(tokens(t), vocab)[0].astype(np.uint16).tobytes() for t in byte_column(batch, "text")]}
+        ids = []
+        for part in split_texts(batch.column("text")):
+            inputs = encode(part, vocab)[0].astype(np.uint16)[part.tokens]
+            ids += [text.tobytes() for text in by_text(inputs, part.sizes)]
+        return {"shard": batch.column("shard"), "ids": ids}
 
     # Dealt by chance with a fixed seed: equal rows go to different shards.
     dealt = training.select("text", F.floor(F.rand(17) * shards).cast("int").alias("shard"))
@@ -532,23 +620,32 @@ def lm_scores(docs: DataFrame, train_part: tuple[int, int, bool] = (10, 0, False
     def run(batch):
         fields, flat = shared.value
         vocab = Vocabulary(*fields)
-        encoded = [encode(tokens(t), vocab) for t in byte_column(batch, "text")]
-        scores = np.zeros(len(encoded))
+        texts, sizes, base, seen, more, rare, rares = [], [], [], [], [], [], []
+        kinds = [pa.field("word", pa.binary()), pa.field("g", pa.int32()), pa.field("times", pa.int64())]
+        for words in split_texts(batch.column("text")):
+            ids, at, groups = encode(words, vocab)
+            texts += by_text(ids[words.tokens], words.sizes)
+            starts = np.cumsum(words.sizes) - words.sizes  # no text is without an end
+            has = at >= 0
+            for sums, values in ((base, np.where(has, known_base[at], 0.0) if len(known_base) else np.zeros(len(at))), (seen, has.astype(np.int64)),
+                                 (more, np.where(has, in_group[at], 0.0) if len(in_group) else np.zeros(len(at)))):
+                sums.append(np.add.reduceat(values[words.tokens], starts))
+            sizes.append(words.sizes)
+            # Words without a count, once per text.
+            other = ~has[words.tokens]
+            pairs, times = np.unique(words.texts[other] * len(at) + words.tokens[other], return_counts=True)
+            owner, word = np.divmod(pairs, len(at))
+            rare.append(pa.StructArray.from_arrays([words.distinct.take(pa.array(word)).cast(pa.binary()), pa.array(groups[word]),
+                                                    pa.array(times, pa.int64())], fields=kinds))
+            rares.append(np.bincount(owner, minlength=len(words.sizes)))
+        scores = np.concatenate([np.zeros(0), *more])
         if flat is not None:
-            scores = score_texts([ids for ids, _, _ in encoded], Network(vocab, flat)) / math.log(10)
-        base, seen, ends, rare = [], [], [0], []
-        for k, (_, at, rest) in enumerate(encoded):
-            hit = at[at >= 0]
-            base.append(float(known_base[hit].sum()))
-            seen.append(len(hit))
-            scores[k] += in_group[hit].sum()
-            rare += Counter(rest).items()
-            ends.append(len(rare))
-        fields = [pa.field("word", pa.binary()), pa.field("g", pa.int32()), pa.field("times", pa.int64())]
-        struct = pa.StructArray.from_arrays([pa.array([w for (w, _), _ in rare], pa.binary()), pa.array([g for (_, g), _ in rare], pa.int32()),
-                                             pa.array([n for _, n in rare], pa.int64())], fields=fields)
-        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(ids) for ids, _, _ in encoded], "seen": seen, "base": base,
-                "model": scores, "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)}
+            scores += score_texts(texts, Network(vocab, flat)) / math.log(10)
+        ends = np.concatenate([[0], *rares]).cumsum()
+        rare = pa.concat_arrays(rare) if rare else pa.array([], pa.struct(kinds))
+        sizes, seen, base = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((sizes, np.int64), (seen, np.int64), (base, float)))
+        return {"doc_id": batch.column("doc_id"), "n_tokens": sizes, "seen": seen, "base": base,
+                "model": scores, "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)}
 
     scored = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run,
                          "doc_id bigint, n_tokens bigint, seen bigint, base double, model double,"

@@ -146,6 +146,28 @@ def test_lm_base_scores_and_gain(spark, docs_of, monkeypatch):
     assert sum(got[i]["score"] for i in held) > 0.97 * sum(got[i]["base_score"] for i in held)
 
 
+def test_lm_words_cut_by_arrow_are_the_tokens(monkeypatch):
+    monkeypatch.setattr(gru_lm, "SPLIT_BYTES", 1 << 12)  # many parts
+    rng = random.Random(4)
+    odd = ["".join(chr(rng.choice([0, 9, 10, 11, 12, 13, 28, 32, 65, 90, 97, 133, 160, 0x130, 0x2003, 0x1F600])) for _ in range(rng.randint(0, 9)))
+           for _ in range(5000)] + ["", None, " ", "\n\n", " a", "A "]
+    vocab = gru_lm.Vocabulary({w: k for k, w in enumerate([b"", b"a", b"aa", b"za"])}, np.array([9, 5, 3, 2]), 3, {b"aza": 4, b"z": 7, b"a": 2}, 99, 9,
+                              np.full(gru_lm.GROUPS, 5.0), np.full(gru_lm.GROUPS, 0.5))
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(odd, kind).slice(3)
+        cut, inputs = [], []
+        for part in gru_lm.split_texts(texts):
+            words = part.distinct.to_pylist()
+            assert len(set(words)) == len(words)
+            cut += [[words[k] for k in text] for text in gru_lm.by_text(part.tokens, part.sizes)]
+            inputs += gru_lm.by_text(gru_lm.encode(part, vocab)[0][part.tokens], part.sizes)
+        want = [gru_lm.tokens(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+        assert cut == want
+        # A word with an output is itself, any other its group: by the last three bytes, else the last one, else the first group.
+        group = lambda w: 3 + vocab.endings.get(w[-3:], vocab.endings.get(w[-1:], 0))
+        assert [i.tolist() for i in inputs] == [[[b"", b"a", b"aa"].index(w) if w in (b"", b"a", b"aa") else group(w) for w in t] for t in want]
+
+
 def test_every_training_text_teaches_the_network(spark, docs_of, monkeypatch):
     rng = random.Random(12)
     rows = [(i, " ".join(words_of(rng, "en", 2000))) for i in range(160)]  # more than the 200,000 tokens of a former sample
