@@ -1,10 +1,13 @@
 """Tables in part files, tasks that do not grow with a table, and near-copies within a page."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import content as C, nodes as N, selectors as L, similarity as S
 from pageloom.operators.quality import pick_template
+from pageloom.plans.convert import convert_pages
 from pageloom.plans import streams as Q
 from pageloom.streaming import pages as P
 
@@ -38,6 +41,20 @@ def test_pages_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path):
     assert dealt[1] > 4 and dealt[1] > dealt[0]
 
 
+def test_conversion_keeps_the_parts_its_pages_were_dealt_to(spark, tmp_path, capsys):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5(F.concat_ws("-", "id", i))))
+    html = F.concat(F.lit("<body><article><p>"), text, F.lit("</p></article></body>"))
+    dealt = []
+    for rows in (400, 800):
+        spark.range(rows).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html")).write.parquet(str(tmp_path / str(rows)))
+        convert_pages(spark.read.parquet(str(tmp_path / str(rows))), css="article").explain()
+        exchanges = [line for line in capsys.readouterr().out.splitlines() if re.search(r"\bExchange", line)]  # small titles may be broadcast
+        parts = [re.search(r"Exchange hashpartitioning\(page_id#\d+L, (\d+)\), REPARTITION_BY_NUM", line) for line in exchanges]
+        assert len(parts) == 2 and all(parts)  # content and titles: no window, aggregate or join deals the rows anew
+        dealt.append({int(p.group(1)) for p in parts})
+    assert all(len(d) == 1 for d in dealt) and max(dealt[1]) >= 1.5 * max(dealt[0]) > 4
+
+
 def test_counts_of_shingles_are_not_repeated_for_every_salt(spark):
     sets = spark.createDataFrame([("x", [1, 2, 3]), ("y", [2, 3, 4]), ("z", [3])], "id string, tokens array<bigint>")
     order = S.ranked(sets, [])
