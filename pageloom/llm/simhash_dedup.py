@@ -68,7 +68,8 @@ def grid_links(prints: DataFrame, distance: int = 2) -> DataFrame:
     print enters its own cell and the cells one step away, and two prints within two steps meet in a cell
     between them. Which step each took decides whether this is the one cell that reports the pair, so no
     pair comes twice; the exact distance is checked in the join. A cell holds few prints unless
-    they are close: at most 2,081 lie within two bits of one.
+    they are close: at most 2,081 lie within two bits of one. Both sides are shuffled: Spark sizes them by the
+    prints, not by their up to 33 cells, and would send a table far over its limit through the driver.
     """
     if distance != 2:
         raise ValueError("the grid is laid out for a distance of 2")
@@ -90,7 +91,7 @@ def grid_links(prints: DataFrame, distance: int = 2) -> DataFrame:
         " OR (x_move = 1 AND y_move = 1 AND x_axis < y_axis)"
     )
     close = F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= distance
-    return placed("x", (1, -1)).join(placed("y", (1,)), "cell").filter(
+    return placed("x", (1, -1)).hint("merge").join(placed("y", (1,)), "cell").filter(
         meet & close & (F.col("x_node") != F.col("y_node"))).select(
         F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
