@@ -15,15 +15,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
 
     ``how`` is left, inner, left_semi or left_anti. The right side is repeated ``salts``
     times, so it should be the smaller one; its keys must be unique, as each row of a key counts
-    (callers aggregate by ``on`` first). Spark may still broadcast it when its own size check allows.
+    (callers aggregate by ``on`` first). When Spark's own size check lets it broadcast the right side, that goes out once:
+    Spark would size the copies like the one table they come from, and a broadcast needs no salt.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
+    if not right.isStreaming and _broadcastable(right):
+        return left.join(right, on, how)
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def _broadcastable(table: DataFrame) -> bool:
+    """Whether Spark's estimate of ``table`` is within its limit for broadcasts."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join in which a NULL key equals a NULL key; the keys come from ``left``."""
     renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
